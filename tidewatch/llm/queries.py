@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, packing, simhash
+from tidewatch.llm import bpe, extract, packing, pii, quality_lm, quality_rules, simhash, topk, urlfilter, warc
 from tidewatch.llm.common import table
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -20,5 +29,57 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op4_simhash_near_dedup, op5_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", pii.pseudonymised(F.col("text")).alias("text"))
+
+
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """The crawl that ``pages`` stands for: each page is a full response, and later is asked for again with
+    its validators and answered by a revisit record over the other scheme."""
+    tag = F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16)
+    at = F.col("page_id") * 60
+    first = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", at.alias("seconds"), F.lit("response").alias("kind"), F.lit(200).alias("status"), tag.alias("digest"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string")).alias("headers"),
+    )
+    later = at + 3600 * (1 + F.col("page_id") % 48)
+    again = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.regexp_replace("url", "^https?:", "https:").alias("url"), later.alias("seconds"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/plain"), F.lit("date"), later.cast("string")).alias("headers"),
+    )
+    return first.unionByName(again)
+
+
+def op9_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(captures(table(spark, sf_dir, "pages")))
+    headers = [F.element_at("headers", F.lit(h)).alias(h.replace("-", "_")) for h in ("etag", "content-type", "date")]
+    return found.select("record_id", "canonical_url", "seconds", "status", "resolved_id", "digest", "valid", *headers)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_topk, op2_html_extraction, op3_bpe_codec, op4_simhash_near_dedup, op5_best_fit_packing, op6_quality_rules, op7_pii_pseudonyms, op8_url_verdicts, op9_revisit_resolution, op10_quality_classifier)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+            from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+        select query_id, n::integer as rank, vec_id, score from ranked where n <= 20""",
+}

@@ -211,3 +211,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
         whole.where("root = fp").select("fp").join(least.withColumnRenamed("root", "fp"), "fp").select("fp", "component_id")), "named")
     discard(whole)
     return marked.join(named, "fp", "left").select(F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns. Rows that share
+    an id count as one document; rows without an id can't be named and stay."""
+    named = stored(near_duplicates(docs, key=key, text=text, **options).select(F.col(key).alias("doc_id"), "component_id"), "components")
+    first = named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(first, key, "left_semi").select(*docs.columns)
+    if named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))
