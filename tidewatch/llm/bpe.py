@@ -2,6 +2,8 @@
 
 Every white-space-free chunk that a batch of texts holds is handled once per batch:
 
+0. Plain texts are lower-cased, and punctuation is set apart from the letters before it: no word
+   goes across that place, and far fewer different chunks are left.
 1. *Speculate*: greedy longest match proposes tokens for each new word.
 2. *Verify*: one vectorised check over all adjacent token pairs of all new words. A
    tokenization is the one that the merges give if and only if each token is reachable by
@@ -31,12 +33,16 @@ from pyspark.sql import DataFrame
 from tidewatch.llm.common import spans
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers.
-BATCH_BYTES, REMEMBERED = 8 << 20, 800_000
+BATCH_BYTES, REMEMBERED = 4 << 20, 300_000
 #: Longer words are merged one by one on a heap.
 LONG_WORD = 64
 #: Below this code point the fast path normalises by lower-casing alone (NFC changes nothing there).
 PLAIN_END, DOTTED_I = 0x250, "İ"
+#: Texts with such characters are left to the library's normalizer, chunk by chunk.
+BEYOND_PLAIN = r"[^\x00-\x{24F}]|\x{130}"
 NEVER = np.int64(1 << 40)
+#: Stands behind each word in the trie of tokens; no byte letter.
+WORD_END = chr(600)
 
 
 def default_path() -> str:
@@ -55,13 +61,12 @@ def byte_letters() -> list[str]:
 class Codec:
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         model = said["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         vocab = model["vocab"]
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -100,9 +105,15 @@ class Codec:
         self.mark_split = regex.compile(f"({self.marks})") if self.marks else None
         self._forget()
 
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, whose normalizer takes the rare characters; most workers never load it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.seen_words: dict[str, list[int]] = {}
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
@@ -134,6 +145,7 @@ class Codec:
             for token, i in letters.items():
                 if len(token) == 1:
                     table[ord(token)] = i
+        self._plant()
         self.longest_from: dict[str, int] = {}
         for token in self.inner:
             self.longest_from[token[:2]] = max(len(token), self.longest_from.get(token[:2], 1))
@@ -167,6 +179,53 @@ class Codec:
             limit[todo] = np.where(undo_left, rx, ry + 1)
         return fine
 
+    def _plant(self) -> None:
+        """The tokens as a trie: sorted keys node * 1024 + letter, their children, and each node's token."""
+        children: dict[int, int] = {}
+        accept = [-1]
+        for ending, table in (("", self.inner), (WORD_END if self.suffix else "", self.last)):
+            for token, i in table.items():
+                node = 0
+                for c in token + ending:
+                    node = children.setdefault(node * 1024 + ord(c), len(accept))
+                    if node == len(accept):
+                        accept.append(-1)
+                accept[node] = i
+        self.trie_keys = np.array(sorted(children), np.int64)
+        self.trie_next = np.array([children[k] for k in self.trie_keys.tolist()], np.int64)
+        self.accept = np.array(accept, np.int64)
+
+    def _propose_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words side by side; tokens in order, and how many each word has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer((WORD_END.join(words) + WORD_END).encode("utf-32-le"), np.uint32).astype(np.int64)
+        end = np.cumsum(sizes + 1) - 1
+        word = np.arange(len(words))
+        at = end - sizes
+        node, best, token = np.zeros(len(words), np.int64), at.copy(), np.full(len(words), -1)
+        out_word, out_token = [], []
+        while len(word):
+            letter = points[at]
+            keys = node * 1024 + letter
+            place = np.minimum(np.searchsorted(self.trie_keys, keys), len(self.trie_keys) - 1)
+            on = self.trie_keys[place] == keys
+            node = np.where(on, self.trie_next[place], node)
+            at = at + on
+            closing = letter == ord(WORD_END)
+            found = self.accept[node]
+            # a token inside the word has to leave a letter for one that ends it
+            good = on & (found >= 0) & (closing | (at < end))
+            best, token = np.where(good, at, best), np.where(good, found, token)
+            if (stop := ~on | closing).any():
+                out_word.append(word[stop])
+                out_token.append(token[stop])
+                at, node = np.where(stop, best, at), np.where(stop, 0, node)
+                live = ~stop | (best <= end)
+                word, at, node, best, token, end = (v[live] for v in (word, at, node, best, token, end))
+        owner = np.concatenate(out_word)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(out_token)[order], np.bincount(owner, minlength=len(words))
+
     def _propose(self, word: str) -> list[int]:
         out, i, n = [], 0, len(word)
         inner, last = self.inner, self.last
@@ -183,15 +242,16 @@ class Codec:
                     break
         return out
 
-    def _merge_together(self, words: list[str]) -> list[list[int]]:
-        """The merges of many words side by side: in each round every word makes its next merge."""
+    def _merge_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of many words side by side: in each round every word makes its next merge.
+        Returns the tokens and the word that each belongs to, a word's tokens in order."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
         ids = self.letter_inner[points]
         ids[ends - 1] = self.letter_last[points[ends - 1]]
         of = np.repeat(np.arange(len(words)), sizes)
-        out: list[list[int]] = [[]] * len(words)
+        out_word, out_token = [], []
 
         def ranks(at: np.ndarray) -> np.ndarray:
             nxt = np.minimum(at + 1, len(ids) - 1)
@@ -204,9 +264,9 @@ class Codec:
             first = np.minimum.reduceat(due, starts)
             done = first == NEVER
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[of[starts[k]]] = ids[starts[k] : starts[k] + sizes[k]].tolist()
                 keep = np.repeat(~done, sizes)
+                out_word.append(of[~keep])
+                out_token.append(ids[~keep])
                 ids, of, due, first, sizes = ids[keep], of[keep], due[keep], first[~done], sizes[~done]
                 if not len(ids):
                     break
@@ -220,7 +280,7 @@ class Codec:
             due[at] = ranks(at)
             before = at[(at > 0) & (of[at - 1] == of[at])] - 1
             due[before] = ranks(before)
-        return out
+        return np.concatenate(out_token), np.concatenate(out_word)
 
     def _merge(self, word: str) -> list[int]:
         """The merges themselves, lowest rank first and leftmost of equals, on a linked list."""
@@ -244,55 +304,78 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
+    def _lettered(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
     def _words(self, chunk: str) -> list[str]:
         """A chunk's words, in byte letters."""
-        low = chunk.lower()
-        if low.isascii() and low.isprintable():
-            if low.isalpha():
-                return [low]
-            if low[:-1].isalpha() and not low[-1].isalnum():
-                return [low[:-1], low[-1]]
-            return self.pattern.findall(low)
         if DOTTED_I not in chunk and max(chunk) < chr(PLAIN_END):
-            found = [low] if low.isalpha() else self.pattern.findall(low)
-            return [w.encode().decode("latin-1").translate(self.letters) for w in found]
+            return [self._lettered(w) for w in self.pattern.findall(chunk.lower())]
         plain = self.library.normalizer.normalize_str(chunk)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        plan = [self._propose(w) for w in words]
-        sizes = np.fromiter(map(len, plan), np.int64, len(plan))
-        flat = np.fromiter((t for p in plan for t in p), np.int64, int(sizes.sum()))
-        if len(flat) > 1:
-            of = np.repeat(np.arange(len(plan)), sizes)
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words in order, and how many each has: proposed, verified, and where need be merged."""
+        alone = np.fromiter((len(w) > LONG_WORD or not self.suffix for w in words), bool, len(words))
+        together = np.flatnonzero(~alone)
+        tokens, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(together):
+            some = [words[i] for i in together.tolist()] if alone.any() else words
+            flat, sizes = self._propose_together(some)
+            of = np.repeat(np.arange(len(some)), sizes)
             inside = np.flatnonzero(of[:-1] == of[1:])
-            failed = np.unique(of[inside[~self._compatible(flat[inside], flat[inside + 1])]]).tolist()
-            short = [w for w in failed if len(words[w]) <= LONG_WORD]
-            for w, ids in zip(short, self._merge_together([words[w] for w in short]), strict=True):
-                plan[w] = ids
-            for w in failed:
-                if len(words[w]) > LONG_WORD:
-                    plan[w] = self._merge(words[w])
-        self.seen_words.update(zip(words, plan, strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that aren't known yet, all together."""
-        made = [self._words(c) if c else [] for c in chunks]
-        if new := [w for w in {w: 0 for ws in made for w in ws} if w not in self.seen_words]:
-            self._learn_words(new)
-        seen, at = self.seen_words, len(self.known)
-        ids = [seen[ws[0]] if len(ws) == 1 else [t for w in ws for t in seen[w]] for ws in made]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while at + len(ids) > len(self.lengths):
+            failed = np.zeros(len(some), bool)
+            failed[of[inside[~self._compatible(flat[inside], flat[inside + 1])]]] = True
+            good = ~failed[of]
+            tokens.append(flat[good])
+            owners.append(together[of[good]])
+            if failed.any():
+                at = np.flatnonzero(failed)
+                exact, word = self._merge_together([some[i] for i in at.tolist()])
+                tokens.append(exact)
+                owners.append(together[at[word]])
+        for i in np.flatnonzero(alone).tolist():  # too few or too long for arrays
+            plan = np.array(self._propose(words[i]), np.int64)
+            if not self._compatible(plan[:-1], plan[1:]).all():
+                plan = np.array(self._merge(words[i]), np.int64)
+            tokens.append(plan)
+            owners.append(np.full(len(plan), i))
+        owner = np.concatenate(owners)
+        return np.concatenate(tokens)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _keep(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.known), len(chunks)
+        while at + n > len(self.lengths):
             self.lengths, self.starts = np.resize(self.lengths, 2 * len(self.lengths)), np.resize(self.starts, 2 * len(self.starts))
-        while self.filled + total > len(self.pool):
+        while self.filled + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.filled : self.filled + total] = np.fromiter((t for x in ids for t in x), np.uint32, total)
-        self.lengths[at : at + len(ids)] = sizes
-        self.starts[at : at + len(ids)] = self.filled + np.cumsum(sizes) - sizes
-        self.filled += total
-        self.known.update(zip(chunks, range(at, at + len(ids)), strict=True))
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        self.lengths[at : at + n] = sizes
+        self.starts[at : at + n] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(flat)
+        self.known.update(zip(chunks, range(at, at + n), strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that aren't known yet, all together. Most are one word of plain letters."""
+        single, words, rest = [], [], []
+        for c in chunks:
+            if c.isalpha() and (c.isascii() or DOTTED_I not in c and max(c) < chr(PLAIN_END)):
+                single.append(c)
+                words.append(self._lettered(c.lower()))
+            else:
+                rest.append(c)
+        self._keep(single, *self._solve(words))
+        if rest:
+            made = [self._words(c) if c else [] for c in rest]
+            places: dict[str, int] = {}
+            order = np.fromiter((places.setdefault(w, len(places)) for ws in made for w in ws), np.int64)
+            flat, sizes = self._solve(list(places))
+            starts = np.cumsum(sizes) - sizes
+            lengths = sizes[order]
+            ends = np.cumsum(lengths)
+            whole = flat[np.repeat(starts[order] - (ends - lengths), lengths) + np.arange(len(lengths) and ends[-1])]
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(ws) for ws in made])])]
+            self._keep(rest, whole, np.diff(bounds))
 
     def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.utf8_split_whitespace(texts)
@@ -313,9 +396,10 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the place where each text's ids begin (with the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([^\s\pL\pN]+)", r"\1 \2")
         odd = pc.match_substring_regex(texts, self.odd_row)
         if not pc.any(odd).as_py():
-            return self._encode_plain(texts)
+            return self._encode_plain(pc.if_else(pc.match_substring_regex(texts, BEYOND_PLAIN), texts, plain))
         # texts with special tokens or rare separators: cut by hand, then the same path
         pieces, owner = [], []
         for i, (text, strange) in enumerate(zip(texts.to_pylist(), odd.to_pylist(), strict=True)):
@@ -361,6 +445,8 @@ def encoded(batches, path: str):
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for i, j in spans(sizes.tolist(), BATCH_BYTES):
             yield keys.slice(i, j - i), *tool.encode(texts.slice(i, j - i))
+        del batch, keys, texts
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
