@@ -74,7 +74,24 @@ QUERIES = {
     for f in (op1_exact_topk, op2_html_extraction, op3_bpe_codec, op4_simhash_near_dedup, op5_best_fit_packing, op6_quality_rules, op7_pii_pseudonyms, op8_url_verdicts, op9_revisit_resolution, op10_quality_classifier)
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FITS = {h + p: (a, f"((host = '{h}' or host like '%.{h}') and starts_with(path, '{p}'))") for a, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))}
+_LISTED = " or ".join(f"host = '{n}' or host like '%.{n}'" for n in urlfilter.LISTED)
+_CANONICAL = f"""case when h3 <> '' then h3 || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?:/index)?\\.html?$|/+$', '', 'g')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '{warc.TRACKING}'))), '&'), ''), '') end"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_url_verdicts": f"""
+        with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+        r as (select *, case {' '.join(f"when {on} then '{name}'" for name, (_, on) in _FITS.items())} end as rule, case {' '.join(f"when {on} then '{a}'" for a, on in _FITS.values())} end as action, ({_LISTED}) as listed from p)
+        select page_id, host, path, rule, coalesce(action, case when listed then 'block' else 'allow' end) as verdict, listed from r""",
+    "op9_revisit_resolution": f"""
+        with u as (select page_id, url, substr(sha256(coalesce(html, '')), 1, 16) as tag, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':(?:80|443)$', ''), '^(?:www|m)\\.', '') as h3 from pages),
+        c as (select page_id, tag, {_CANONICAL} as canonical_url, page_id * 60 as s from u),
+        q as (select page_id * 2 + 1 as record_id, canonical_url, s + 3600 * (1 + page_id % 48) as seconds, tag from c),
+        m as (select q.*, c.page_id * 2 as rid, c.tag as old, row_number() over (partition by q.record_id order by c.s desc nulls last, c.page_id desc) as n from q left join c on c.canonical_url = q.canonical_url and c.s < q.seconds)
+        select record_id, canonical_url, seconds, case when old = tag then 200 else 304 end as status, case when old = tag then rid end as resolved_id, case when old = tag then old end as digest, old = tag as valid,
+            tag as etag, case when old = tag then 'text/html' else 'text/plain' end as content_type, seconds::varchar as date from m where n = 1""",
     "op1_exact_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings),
         scored as (
