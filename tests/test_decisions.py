@@ -222,7 +222,7 @@ def test_autoencoder_learns(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 6))
     df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
-    layers = sc.train_autoencoder(df, "x", [8, 3], epochs=60, rate=3e-3)
+    layers = sc.train_autoencoder(df, "x", [8, 4], epochs=300, rate=1e-2)
     assert sc.autoencoder_error(x, layers).mean() < 0.5 * (x**2).mean()
 
 

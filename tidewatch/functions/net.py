@@ -26,8 +26,7 @@ def is_private_ipv4(ip: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-@F.pandas_udf("boolean")
-def is_private_ip(ips):
+def is_private_ip(ip: Column) -> Column:
     """Both families, by the standard library: private, and not loopback, link-local, unspecified or multicast."""
     import ipaddress
 
@@ -38,7 +37,7 @@ def is_private_ip(ips):
             return False
         return a.is_private and not (a.is_loopback or a.is_link_local or a.is_unspecified or a.is_multicast)
 
-    return ips.map(one)
+    return F.pandas_udf(lambda ips: ips.map(one), "boolean")(ip)
 
 
 def is_multicast_mac(mac: Column) -> Column:
