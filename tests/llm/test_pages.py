@@ -129,6 +129,27 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_archive_files(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, url, second, http):
+        block = http.encode()
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2024-01-01T00:00:{second:02d}Z\r\nWARC-Payload-Digest: sha1:{name}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    ok = "HTTP/1.1 200 OK\r\nETag: 7\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0\r\nbody</p>"
+    parts = [record("warcinfo", "i", "x", 0, "software: x"), record("response", "a", "http://a.net/x", 1, ok), record("request", "q", "http://a.net/x", 2, "GET"), record("revisit", "b", "https://a.net/x/", 5, "HTTP/1.1 304 Not Modified\r\nETag: 7\r\nContent-Type: no\r\n\r\n"), record("revisit", "c", "http://b.net/", 6, "")]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(map(gzip.compress, parts))[:-40])
+    for name in ("a.warc", "b.warc.gz"):
+        got = {r.record_id: r for r in warc.resolve(warc.read(spark, f"{tmp_path}/{name}")).collect()}
+        assert got["<b>"].resolved_id == "<a>" and got["<b>"].status == 200 and got["<b>"].digest == "sha1:a"
+        assert got["<b>"].headers == {"etag": "7", "content-type": "text/html"}
+        assert got["<c>"].resolved_id is None
+    assert warc.read(spark, f"{tmp_path}/cut.warc.gz").count() == 2
+
+
 def test_canonical(spark):
     urls = {"HTTP://www.A.net:80/x/index.html?utm_source=q&b=2&a=1#f": "a.net/x?a=1&b=2", "https://m.a.net/x/": "a.net/x", "http://u@a.net": "a.net", "nothing": None}
     df = spark.createDataFrame([(u,) for u in urls], "url string")

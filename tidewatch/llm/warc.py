@@ -16,7 +16,12 @@ repeated revisits give repeated rows; a revisit whose validators disagree keeps
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+import io
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,3 +102,88 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         "valid",
         F.when(took, merged_headers(old, own)).otherwise(own).alias("headers"),
     )
+
+
+RECORD = "record_id string, url string, seconds long, kind string, status int, digest string, headers map<string,string>"
+_KINDS = {"response", "revisit"}
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header lines as a dict with names in lower case; a repeated name keeps its last value."""
+    pairs = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
+def _members(data: bytes, step: int = 1 << 16):
+    """The parts of a file that is compressed record by record; a plain file as it is. An incomplete part is left out."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at < len(data):
+        tool, parts = zlib.decompressobj(31), []
+        while not tool.eof and at < len(data):
+            parts.append(tool.decompress(data[at : at + step]))
+            at += min(step, len(data) - at)
+        if not tool.eof:
+            return
+        at -= len(tool.unused_data)
+        yield b"".join(parts)
+
+
+def records_of(data: bytes):
+    """Response and revisit records of an archive file; a file that breaks off ends there."""
+    try:
+        for member in _members(data):
+            yield from _records(io.BytesIO(member))
+    except (zlib.error, ValueError):
+        return
+
+
+def _records(stream: io.BytesIO):
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = []
+        while (line := stream.readline()).strip():
+            head.append(line)
+        own = _fields(head)
+        block = stream.read(int(own.get("content-length") or 0))
+        if own.get("warc-type") not in _KINDS:
+            continue
+        lines = block.split(b"\r\n\r\n", 1)[0].split(b"\r\n")
+        first = lines[0].split()
+        status = int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and first[1].isdigit() else None
+        try:
+            seconds = int(datetime.datetime.fromisoformat(own["warc-date"].replace("Z", "+00:00")).timestamp())
+        except (KeyError, ValueError):
+            seconds = None
+        yield {
+            "record_id": own.get("warc-record-id"),
+            "url": own.get("warc-target-uri", "").strip("<>") or None,
+            "seconds": seconds,
+            "kind": own["warc-type"],
+            "status": status,
+            "digest": own.get("warc-payload-digest"),
+            "headers": list(_fields(lines[1:]).items()) if status is not None else [],
+        }
+
+
+def read(spark: SparkSession, path) -> DataFrame:
+    """The records of archive files, by Spark's binary reader: one task a file, in batches, without bodies."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
+    schema = pa.schema(list(zip((c.split()[0] for c in RECORD.split(", ")), kinds, strict=True)))
+
+    def work(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                rows: list[dict] = []
+                for row in records_of(data.as_py() or b""):
+                    rows.append(row)
+                    if len(rows) == 2000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, RECORD)
