@@ -46,6 +46,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """From now on a batch that goes to Python holds ``limit`` bytes at most (or one row), however long the texts are:
+    it stands in memory on both sides of the worker's pipe, for every core."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def spans(sizes, limit: int):
     """Consecutive row ranges whose sizes sum to ``limit`` at most (a longer row stands alone)."""
     start = total = 0
@@ -56,3 +62,11 @@ def spans(sizes, limit: int):
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A prefix that no column has."""
+    name = f"__{base}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, stored
+from tidewatch.llm.common import discard, fresh, stored
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -30,14 +30,6 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("words", "mean_word", "symbols", "capitals", "marks", "dup_lines", "repeats", "distinct", "line_words")
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A prefix that no column has."""
-    name = f"__{base}"
-    while any(c.lower().startswith(name) for c in df.columns):
-        name += "_"
-    return name
-
-
 def with_stats(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with a struct column ``out`` of STATS and FEATURES. Each step is a projection of its own,
     since what a lambda refers to has to be a column and not an expression."""
@@ -87,7 +79,9 @@ def with_stats(docs: DataFrame, text: str, out: str) -> DataFrame:
         "line_words": c["n_words"] / F.greatest(c["lines"], F.lit(1)),
     }
     whole = F.struct(*[c[s].alias(s) for s in STATS], *[features[f].alias(f) for f in FEATURES])
-    return df.withColumn(out, whole).drop(t, words, lines, hashes, ranked, again, f"{p}counts")
+    # always true, but not deterministic to the optimizer: a filter on the statistics stays above
+    # this projection, and isn't rewritten into the lambdas below it
+    return df.withColumn(out, F.when(F.spark_partition_id() >= 0, whole)).drop(t, words, lines, hashes, ranked, again, f"{p}counts")
 
 
 @dataclass(frozen=True)
