@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import spans
+from tidewatch.llm.common import small_batches, spans
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers.
 BATCH_BYTES, REMEMBERED = 4 << 20, 300_000
@@ -452,6 +452,7 @@ def encoded(batches, path: str):
 def encode_digests(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: number of tokens, SHA-256 of its ids and of the text decoded from them."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def work(batches):
         tool = codec(path)
@@ -478,6 +479,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, key: str = "doc_id"
 def encode_ids(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document with its ids as an array."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def work(batches):
         for keys, flat, bounds in encoded(batches, path):

@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.common import small_batches
+
 #: Frequent words of the corpus's languages, lower case.
 STOP_WORDS = frozenset(
     """a about after all an and any are as at be been but by can for from had has have he her his if in into is it its more no not of on one or our she so some that the their them there they this to up was we were what when which who will with would you
@@ -202,6 +204,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: page_id, url, text and its code points."""
+    small_batches(pages.sparkSession)
 
     def work(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import small_batches, stored
 
 CAPACITY, END_ID, SHARDS = 2048, 0, 128
 #: Weights of tokens, documents and attention cost, each as a share of its capacity.
@@ -36,6 +36,7 @@ KEPT = ("doc_id", "piece", "start", "length", "ids_crc32")
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length and the CRC-32 of its ids."""
     path = path or bpe.default_path()
+    small_batches(docs.sparkSession)
 
     def work(batches):
         for keys, flat, bounds in bpe.encoded(batches, path):

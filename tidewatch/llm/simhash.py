@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, stored
+from tidewatch.llm.common import discard, small_batches, stored
 from tidewatch.llm.components import components
 
 #: Production parameters: words in a shingle, hash seed, linked distance, bucket size from which a second covering deals anew.
@@ -54,6 +54,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+    small_batches(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
