@@ -219,7 +219,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     an id count as one document; rows without an id can't be named and stay."""
     named = stored(near_duplicates(docs, key=key, text=text, **options).select(F.col(key).alias("doc_id"), "component_id"), "components")
     first = named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(first, key, "left_semi").select(*docs.columns)
+    # the ids that stay grow with the corpus, so they are never broadcast: the same shuffled join at every size
+    kept = docs.where(F.col(key).isNotNull()).join(first.hint("merge"), key, "left_semi").select(*docs.columns)
     if named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))
