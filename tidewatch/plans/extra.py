@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.stats import rounded
 from tidewatch.operators import attribute as at
 from tidewatch.operators import augment as au
 from tidewatch.operators import features as ft
@@ -93,6 +94,6 @@ def address_rewrite(spark, sf_dir):
 def mean_scores(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("seq", F.expr("window_index div 3"))
     s = rows.groupBy("capture", "seq").agg(F.avg("prob").alias("score"))
-    return at.mean_scores(rows.join(s, ["capture", "seq"])).withColumn("score", F.round("score", 6))
+    return at.mean_scores(rows.join(s, ["capture", "seq"])).withColumn("score", rounded(F.col("score")))
 
 
