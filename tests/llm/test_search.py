@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewatch.llm import simhash, topk
+from tidewatch.llm import jaccard, simhash, topk
 from tidewatch.llm.components import components
 
 
@@ -144,6 +144,38 @@ def test_deduplicated(spark):
     assert simhash.deduplicated(df.limit(0)).columns == df.columns
 
 
+def test_pipeline_near_duplicates(spark):
+    """The pipeline's stage against a brute-force join at Jaccard 0.8 over five-word shingles."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2000)]
+    line = " ".join(rng.choice(words) for _ in range(40))
+    texts = ["", " ", "a b c", "A b  c", "a b d", *(" ".join([line, *(rng.choice(words) for _ in range(100))]) for _ in range(30))]
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(200)]
+        texts.append(" ".join(base))
+        for changed in (2, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changed):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    # copies that resemble one text more than each other
+    texts += [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(10, 190)]
+    rng.shuffle(texts)
+
+    def own(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    found = [own(t) for t in texts]
+    close = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    root = components_of([(a, b) for a in range(len(texts)) for b in range(a + 1) if close(found[a], found[b])])
+    want = sorted({min(i for i in range(len(texts)) if root[i] == r) for r in set(root[n] for n in range(len(texts)))})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
+
+
 def test_heavy_bucket_crossing_batches():
     """Buckets larger than the limit are handed on whole, whatever the batches."""
     import pyarrow as pa

@@ -217,7 +217,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns. Rows that share
     an id count as one document; rows without an id can't be named and stay."""
-    named = stored(near_duplicates(docs, key=key, text=text, **options).select(F.col(key).alias("doc_id"), "component_id"), "components")
+    return first_of_components(docs, near_duplicates(docs, key=key, text=text, **options), key)
+
+
+def first_of_components(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their component in ``found`` (``key``, component_id), and those without an id."""
+    named = stored(found.select(F.col(key).alias("doc_id"), "component_id"), "components")
     first = named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     # the ids that stay grow with the corpus, so they are never broadcast: the same shuffled join at every size
     kept = docs.where(F.col(key).isNotNull()).join(first.hint("merge"), key, "left_semi").select(*docs.columns)
