@@ -170,6 +170,16 @@ def test_pareto_tail():
     assert shape == pytest.approx(0.2, abs=0.03) and scale == pytest.approx(2.0, rel=0.05)
 
 
+def test_extreme_threshold_of_many_rows(spark):
+    """The threshold depends neither on the number of rows nor on one outlier."""
+    n = 1_000_000
+    one = spark.range(n).select((-F.log((F.col("id") + 0.5) / n)).alias("error"))
+    got = prep.extreme_threshold(one, "error", seed_q=0.9)
+    assert got == pytest.approx(np.log(10) + np.log(100), rel=0.01)
+    assert prep.extreme_threshold(one.unionByName(one), "error", seed_q=0.9) == pytest.approx(got, rel=1e-3)
+    assert prep.extreme_threshold(one.unionByName(spark.createDataFrame([(1e6,)], "error double")), "error", seed_q=0.9) == pytest.approx(got, rel=0.05)
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 2)) @ np.array([[3.0, 1.0], [0.0, 0.5]]) + 5

@@ -134,43 +134,47 @@ def error_stats(df: DataFrame, error: str) -> DataFrame:
     return first.select("mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("q99"), F.col("q")[2].alias("q995"), F.col("q")[3].alias("q999")).join(F.broadcast(mad))
 
 
-def generalized_pareto(excess: np.ndarray) -> tuple[float, float]:
-    """Shape and scale by maximum likelihood (the profile likelihood of Grimshaw's reparametrisation, on a grid, then refined)."""
-    x = np.sort(excess[excess > 0])
+def generalized_pareto(excess: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Shape and scale by maximum likelihood (the profile likelihood of Grimshaw's reparametrisation, on a grid, then refined).
+
+    ``weights`` says how many rows each value stands for (one, if not given)."""
+    share = (np.ones(len(excess)) if weights is None else np.asarray(weights, float))[excess > 0]
+    x = excess[excess > 0]
+    order = np.argsort(x)
+    x, share = x[order], share[order] / max(share.sum(), 1)
     if len(x) < 2:
         return 0.0, float(x.mean()) if len(x) else 0.0
-    low, high = -1 / x[-1] + 1e-9, 5 / x.mean()
+    mean = float(x @ share)
+    low, high = -1 / x[-1] + 1e-9, 5 / mean
 
     def likelihood(t: np.ndarray) -> np.ndarray:
         z = np.log1p(t[:, None] * x[None, :])
-        k = z.mean(axis=1)
+        k = z @ share
         with np.errstate(divide="ignore", invalid="ignore"):
             v = -np.log(k / t) - k - 1
-        return np.where(np.abs(t) < 1e-12, -np.log(x.mean()) - 1, np.nan_to_num(v, nan=-np.inf))
+        return np.where(np.abs(t) < 1e-12, -np.log(mean) - 1, np.nan_to_num(v, nan=-np.inf))
 
     for _ in range(6):
         grid = np.linspace(low, high, 200)
         best = grid[int(np.argmax(likelihood(grid)))]
         step = (high - low) / 199
         low, high = max(-1 / x[-1] + 1e-9, best - step), best + step
-    shape = float(np.log1p(best * x).mean())
-    return (shape, shape / best) if abs(best) > 1e-12 else (0.0, float(x.mean()))
+    shape = float(np.log1p(best * x) @ share)
+    return (shape, shape / best) if abs(best) > 1e-12 else (0.0, mean)
 
 
-def extreme_threshold(df: DataFrame, error: str, seed_q: float = 0.98, q: float = 0.99, bins: int = 4096) -> float:
+def extreme_threshold(df: DataFrame, error: str, seed_q: float = 0.98, q: float = 0.99, per_octave: int = 64) -> float:
     """The q-quantile of a generalized Pareto law over the tail beyond the seed quantile.
 
-    The tail reaches the driver as a histogram of ``bins`` bin means with counts, whatever its size.
+    The tail reaches the driver as a histogram, whatever its size: means and counts of bins whose width grows with the value
+    (``per_octave`` for each doubling), so that an outlier leaves the others' bins as they are. The counts are weights in the likelihood.
     """
     start = quantile_threshold(df, error, seed_q)
-    tail = df.where(F.col(error) > start).select((F.col(error) - start).alias("x"))
-    top = tail.agg(F.max("x")).first()[0]
-    if not top:
+    tail = df.where(F.col(error) > start).select((F.col(error) - start).alias("x")).where("x > 0")
+    cells = tail.groupBy(F.floor(F.log2("x") * per_octave).alias("b")).agg(F.avg("x").alias("x"), F.count("*").alias("n")).orderBy("b").collect()
+    if not cells:
         return start
-    cells = tail.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("x") / top * bins)).alias("b")).agg(F.avg("x").alias("x"), F.count("*").alias("n")).orderBy("b").collect()
-    scale_down = max(1, sum(r["n"] for r in cells) // 20_000)
-    x = np.repeat([r["x"] for r in cells], [max(1, r["n"] // scale_down) for r in cells])
-    shape, scale = generalized_pareto(x)
+    shape, scale = generalized_pareto(np.array([r["x"] for r in cells]), np.array([r["n"] for r in cells]))
     return start + (scale * ((1 - q) ** -shape - 1) / shape if abs(shape) > 1e-9 else -scale * float(np.log(1 - q)))
 
 
