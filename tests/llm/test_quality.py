@@ -164,6 +164,17 @@ def test_classifier(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
 
 
+def test_model_grows_with_the_corpus(spark, monkeypatch):
+    """Every trusted document is counted, however many there are, and 53 letters are told apart."""
+    n, real, seen = 6500, quality_lm.gram_counts, []
+    monkeypatch.setattr(quality_lm, "gram_counts", lambda texts, *rest: seen.append(texts.count()) or real(texts, *rest))
+    letters = "".join(chr(0x4E00 + i) for i in range(53))
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, letters).otherwise("ab").alias("text"))
+    model = quality_lm.fit(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), order=2)
+    assert seen == [n]
+    assert len(model.letters) == 53
+
+
 def test_no_labels(spark):
     docs, _ = corpus(10)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
