@@ -1,7 +1,9 @@
 """Extraction, URL verdicts, revisits and pseudonyms."""
 
 import datetime
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -197,6 +199,180 @@ def test_left_alone(spark):
     assert pseudonyms(spark, texts) == texts
 
 
+def mix(key, tweak, step, half, modulus):
+    return int(hashlib.sha256(f"{key}|{tweak}|{step}|{half}".encode()).hexdigest()[:15], 16) % modulus
+
+
+def plain_feistel(x, a, b, tweak, key=pii.KEY):
+    left, right = divmod(x, b)
+    for i in range(1, pii.ROUNDS + 1):
+        left = (left + mix(key, tweak, 2 * i, right, a)) % a
+        right = (right + mix(key, tweak, 2 * i + 1, left, b)) % b
+    return left * b + right
+
+
+def plain_digits(d, tweak):
+    n = len(d)
+    return f"{plain_feistel(int(d), 10 ** (n - n // 2), 10 ** (n // 2), f'{tweak}{n}'):0{n}d}"
+
+
+def plain_text(text, tweak, key=pii.KEY):
+    digest = lambda *x: hashlib.sha256("|".join([key, tweak, *map(str, x)]).encode()).hexdigest()
+    half = len(text) // 2
+    left, right = text[:half], text[half:]
+    d = digest(0, right)
+
+    def shifted(s):
+        out = ""
+        for i, c in enumerate(s):
+            by = int(hashlib.sha256(f"{d}|{i}".encode()).hexdigest()[:8], 16) % 2340
+            for first, radix in (("0", 10), ("A", 26), ("a", 26)):
+                if 0 <= ord(c) - ord(first) < radix:
+                    c = chr(ord(first) + (ord(c) - ord(first) + by) % radix)
+                    break
+            out += c
+        return out
+
+    for i in range(1, pii.ROUNDS + 1):
+        new = shifted(left)
+        left, right = right, new
+        d = digest(i, new)
+    return left + right
+
+
+def in_shape(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c in "0123456789" else c for c in shape)
+
+
+def plain_ten(ten):
+    area, exchange, line = int(ten[:3]), int(ten[3:6]), int(ten[6:])
+    if area >= 200 and exchange >= 200:
+        y = plain_feistel(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, "phone")
+        return f"{y // 8_000_000 + 200}{y // 10_000 % 800 + 200}{y % 10_000:04d}"
+    y = plain_feistel(int(ten) if area < 200 else 2_000_000_000 + ((area - 200) * 200 + exchange) * 10_000 + line, 60_000, 60_000, "phone-other")
+    if y < 2_000_000_000:
+        return f"{y:010d}"
+    y -= 2_000_000_000
+    return f"{y // 2_000_000 + 200}{y // 10_000 % 200:03d}{y % 10_000:04d}"
+
+
+def plain_date(d):
+    n, epoch = (d - datetime.date(1900, 1, 1)).days, datetime.date(1900, 1, 1).toordinal()
+    if n < -693_595 + 37_495:
+        n = -693_595 + plain_feistel(n + 693_595, 5, 7499, "date-first")
+    elif n > 2_958_463 - 42_464:
+        n = 2_958_464 - 42_464 + plain_feistel(n - 2_958_464 + 42_464, 32, 1327, "date-last")
+    else:
+        n = n // 72_900 * 72_900 + plain_feistel(n % 72_900, 270, 270, "date")
+    return datetime.date.fromordinal(epoch + n)
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def plain_pseudonym(kind, m):
+    """What one match becomes, in plain Python."""
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        name, domain = m.split("@")
+        return plain_text(name, domain.lower()) + "@" + domain
+    if kind == "access":
+        return "AKIA" + plain_text(m[4:], "access")
+    if kind == "secret":
+        value = re.search(r"[A-Za-z0-9+/_.-]+$", m)[0]
+        return m[: -len(value)] + plain_text(value, "secret")
+    if kind == "iban":
+        plain = m.replace(" ", "")
+        if mod97(plain[4:] + plain[:4]) != 1:
+            return m
+        body = plain_text(plain[4:], plain[:2])
+        made = plain[:2] + f"{98 - mod97(body + plain[:2] + '00'):02d}" + body
+        return " ".join(made[i : i + 4] for i in range(0, len(made), 4)) if " " in m else made
+    if kind == "ip":
+        parts = m.split(".")
+        if any(int(x) > 255 or str(int(x)) != x for x in parts):
+            return m
+        y = plain_feistel(int.from_bytes(bytes(map(int, parts)), "big"), 65536, 65536, "ip")
+        return ".".join(map(str, y.to_bytes(4, "big")))
+    if kind == "date":
+        for form, fits in (("%Y-%m-%d", None), ("%m/%d/%Y", None), ("%d/%m/%Y", lambda x: x.day > 12), ("%d.%m.%Y", None)):
+            try:
+                day = datetime.datetime.strptime(m, form).date()
+            except ValueError:
+                continue
+            day = plain_date(day)
+            while fits and not fits(day):
+                day = plain_date(day)
+            return form.replace("%Y", f"{day.year:04d}").replace("%m", f"{day.month:02d}").replace("%d", f"{day.day:02d}")
+        return m
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return m
+        y = plain_feistel(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn")
+        i = y // (99 * 9999)
+        return f"{i + 1 + (i >= 665):03d}-{y // 9999 % 99 + 1:02d}-{y % 9999 + 1:04d}"
+    if kind == "phone":
+        return in_shape(m, d[:-10] + plain_ten(d[-10:]))
+    if kind == "abroad":
+        made = "1" + plain_ten(d[1:]) if len(d) == 11 and d[0] == "1" else d[:2] + plain_digits(d[2:], "abroad")
+        return in_shape(m, made)
+    if not luhn(d):
+        return m
+    body = d[0] + plain_digits(d[1:-1], "card")
+    return in_shape(m, body + check_digit(body))
+
+
+def some_values(rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcXYZ019") for _ in range(n))
+    country = rng.choice(["GB", "DE", "FR"])
+    account = digits(rng.choice([11, 18, 20]))
+    iban = f"{country}{98 - mod97(account + country + '00'):02d}{account}"
+    number = digits(rng.choice([12, 14, 15]))
+    card = number + check_digit(number)
+    day = datetime.date.fromordinal(rng.choice([rng.randint(1, 3_652_059), rng.randint(720_000, 740_000), 1, 3_652_059]))
+    y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
+    octets = [str(rng.randrange(256)) for _ in range(4)]
+    return [
+        ("email", f"{word(rng.choice([1, 9, 90]))}.x@Mail{digits(2)}.example.com"), ("access", "AKIA" + "".join(rng.choice("ABC019") for _ in range(16))), ("secret", f"token = {word(rng.choice([8, 40, 260]))}"), ("secret", f"password:{word(8)}.{word(12)}.{word(9)}"),
+        ("iban", iban), ("iban", " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))), ("iban", f"GB00{digits(18)}"), ("ip", ".".join(octets)), ("ip", ".".join(["010", *octets[1:]])), ("ip", "256.1.2.3"),
+        ("date", f"{y}-{m}-{d}"), ("date", f"{m}/{d}/{y}"), ("date", f"{d}/{m}/{y}"), ("date", f"{d}.{m}.{y}"), ("ssn", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("phone", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        ("abroad", f"+44 20 {digits(4)} {digits(4)}"), ("abroad", f"+1{digits(10)}"), ("card", card), ("card", " ".join(card[i : i + 4] for i in range(0, len(card), 4))), ("card", digits(16)),
+    ]
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Random values of every kind, valid or not, each in a text; the text around them stays as it is."""
+    rng = random.Random(5)
+    cases = [v for _ in range(40) for v in some_values(rng)]
+    got = pseudonyms(spark, [f"Äh, {v} und {v}\n$1 \\2" for _, v in cases])
+    for (kind, v), t in zip(cases, got, strict=True):
+        want = plain_pseudonym(kind, v)
+        assert t == f"Äh, {want} und {want}\n$1 \\2", (kind, v)
+
+
+def test_phones_stay_apart(spark):
+    """Numbers of the plan and others are permuted among themselves, so no two become one."""
+    rng = random.Random(6)
+    tens = {"1000000000", "8852424409", "0000000000", "9999999999", "1999999999", "2001999999", "2000000000", *(f"{rng.randrange(10**10):010d}" for _ in range(3000))}
+    rows = spark.createDataFrame([(t,) for t in tens], "t string").select("t", pii._ten(F.col("t"), pii.KEY).alias("y")).collect()
+    planned = lambda t: t[0] >= "2" and t[3] >= "2"
+    assert len({r.y for r in rows}) == len(tens) and all(planned(r.t) == planned(r.y) and len(r.y) == 10 for r in rows)
+    assert len({plain_feistel(x, 5, 7, "t") for x in range(35)}) == 35
+
+
+def test_nothing_of_a_secret_stays(spark):
+    long = "aB3" * 200
+    a, b, c, d, e = pseudonyms(spark, [f"password={long}", f"{'n' * 90}@mail.example.com", f"token: {long[:20]}.{long[:30]}.{long[:40]} end.", "x@" + "a." * 20_000 + "net", "DE89 3704 0044 0532 0130 00 AND"])
+    assert sum(x != y for x, y in zip(a[9:], long, strict=True)) > 400 and b[:90] != "n" * 90 and b.endswith("@mail.example.com")
+    assert c.endswith(" end.") and long[:20] not in c and d.endswith(".net") and e.endswith(" AND") and "3704" not in e
+    stay = ["version 1.2.3.4", "v1.2.3.4", "010.001.002.003", "0000-05-12", "2024-02-30"]
+    assert pseudonyms(spark, stay) == stay
+
+
 def test_permutation(spark):
     n = 30 * 30
     rows = spark.range(n).select(pii.feistel(F.col("id"), 30, 30, "k", "t").alias("y")).collect()

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = "tidewatch-example-key"  # a parameter; production passes its own
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+# names, domains and secrets have no upper length; possessive quantifiers keep the search linear
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-SECRET = r"(?i:password|passwd|secret|token|api_?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{8,200}+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+SECRET = r"(?i:password|passwd|secret|token|api_?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_-]{8,}+(?:\.[A-Za-z0-9+/_-]{8,}+)*+"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+IP = r"(?<![0-9.])(?<![vV])(?<!(?i:version|release|build)[ =:])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+(])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"
@@ -36,8 +37,10 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, ACCESS, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD, ABROAD))
 HINT = r"[0-9@=:]"
 
-#: Dates move within blocks of so many days, dealt as DAYS_A * DAYS_B.
-EPOCH, DAYS_A, DAYS_B = "1900-01-01", 270, 270
+#: Dates move within blocks of so many days, counted from EPOCH either way, dealt as a product of two numbers. What is left of
+#: the years 1 to 9999 before the first whole block and behind the last has products of its own, so no date leaves them.
+EPOCH, BLOCK = "1900-01-01", (270, 270)
+FIRST_DAY, LAST_DAY, FIRST, LAST = -693_595, 2_958_463, (5, 7499), (32, 1327)
 
 
 def let(value: Column, use) -> Column:
@@ -138,39 +141,53 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), of)
 
 
+def _ten(ten: Column, key: str) -> Column:
+    """Ten digits of the numbering plan (area and exchange begin with 2 to 9) as ten digits of the plan, others as others:
+    two permutations, of two sets that don't meet."""
+    n = ten.cast("long")
+    area, exchange, line = F.floor(n / 10_000_000), F.pmod(F.floor(n / 10_000), F.lit(1000)), F.pmod(n, F.lit(10_000))
+    whole = lambda a, e, x: (a * 10_000_000 + e * 10_000 + x).cast("long")
+    inside = let(
+        feistel(((area - 200) * 800 + (exchange - 200)) * 10_000 + line, 80_000, 80_000, key, "phone"),
+        lambda y: whole(F.floor(y / 8_000_000) + 200, F.pmod(F.floor(y / 10_000), F.lit(800)) + 200, F.pmod(y, F.lit(10_000))),
+    )
+    # areas below 200 first, then exchanges below 200 of the other areas: 3.6e9 numbers
+    low = 200 * 10_000_000
+    outside = let(
+        feistel(F.when(area < 200, n).otherwise(low + ((area - 200) * 200 + exchange) * 10_000 + line), 60_000, 60_000, key, "phone-other"),
+        lambda y: F.when(y < low, y).otherwise(let(y - low, lambda z: whole(F.floor(z / 2_000_000) + 200, F.pmod(F.floor(z / 10_000), F.lit(200)), F.pmod(z, F.lit(10_000))))),
+    )
+    return F.lpad(F.when((area >= 200) & (exchange >= 200), inside).otherwise(outside).cast("string"), 10, "0")
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The ten digits of the numbering plan; area and exchange begin with 2 to 9."""
+    """The ten digits permuted; a leading 1 stays."""
 
     def of(d: Column) -> Column:
-        ten, lead = F.substring(d, -10, 10), F.substring(d, F.lit(1), F.length(d) - 10)
-        n = ten.cast("long")
-        area, exchange, line = F.floor(n / 10_000_000), F.pmod(F.floor(n / 10_000), F.lit(1000)), F.pmod(n, F.lit(10_000))
-        x = ((area - 200) * 800 + (exchange - 200)) * 10_000 + line
-        made = let(
-            feistel(x, 80_000, 80_000, key, "phone"),
-            lambda y: F.lpad(((F.floor(y / 8_000_000) + 200) * 10_000_000 + (F.pmod(F.floor(y / 10_000), F.lit(800)) + 200) * 10_000 + F.pmod(y, F.lit(10_000))).cast("string"), 10, "0"),
-        )
-        plan = (area >= 200) & (exchange >= 200)
-        return _spread(m, F.concat(lead, F.when(plan, made).otherwise(feistel_digits(ten, key, "phone-other"))))
+        return _spread(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _ten(F.substring(d, -10, 10), key)))
 
     return let(_digits(m), of)
 
 
 def _abroad(m: Column, key: str) -> Column:
-    """International numbers: 7 to 15 digits; the first two, of the country, are kept."""
+    """International numbers: 7 to 15 digits; the first two, of the country, are kept. Those of the numbering plan are its phones."""
 
     def of(d: Column) -> Column:
         n = F.length(d)
-        return F.when(n.between(7, 15), _spread(m, F.concat(F.substring(d, 1, 2), feistel_digits(F.substring(d, F.lit(3), n - 2), key, "abroad"))))
+        other = F.concat(F.substring(d, 1, 2), feistel_digits(F.substring(d, F.lit(3), n - 2), key, "abroad"))
+        plan = F.concat(F.lit("1"), _ten(F.substring(d, 2, 10), key))
+        return F.when(n.between(7, 15), _spread(m, F.when((n == 11) & d.startswith("1"), plan).otherwise(other)))
 
     return let(_digits(m), of)
 
 
 def _ip(m: Column, key: str) -> Column:
+    """Four numbers to 255, written without leading zeros."""
+
     def of(p: Column) -> Column:
         number = F.aggregate(p, F.lit(0).cast("long"), lambda s, v: s * 256 + v.cast("long"))
         made = let(feistel(number, 65536, 65536, key, "ip"), lambda y: F.concat_ws(".", *[F.pmod(F.floor(y / F.lit(256**k)), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]))
-        return F.when(~F.exists(p, lambda v: v.cast("int") > 255), made)
+        return F.when(~F.exists(p, lambda v: (v.cast("int") > 255) | (v.cast("int").cast("string") != v)), made)
 
     return let(F.split(m, r"\."), of)
 
@@ -197,11 +214,18 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _moved(day: Column, key: str, inside) -> Column:
     """Another date of the same block; where ``inside`` is asked for, the first that has it (a cycle walk)."""
-    block = DAYS_A * DAYS_B
+    size = BLOCK[0] * BLOCK[1]
+    first, last = FIRST_DAY + FIRST[0] * FIRST[1], LAST_DAY + 1 - LAST[0] * LAST[1]
 
     def once(d: Column) -> Column:
-        n = F.datediff(d, F.to_date(F.lit(EPOCH))).cast("long")
-        return F.date_add(F.to_date(F.lit(EPOCH)), (F.floor(n / F.lit(block)) * block + feistel(F.pmod(n, F.lit(block)), DAYS_A, DAYS_B, key, "date")).cast("int"))
+        def of(n: Column) -> Column:
+            return (
+                F.when(n < first, FIRST_DAY + feistel(n - FIRST_DAY, *FIRST, key, "date-first"))
+                .when(n >= last, last + feistel(n - last, *LAST, key, "date-last"))
+                .otherwise(F.floor(n / F.lit(size)) * size + feistel(F.pmod(n, F.lit(size)), *BLOCK, key, "date"))
+            )
+
+        return F.date_add(F.to_date(F.lit(EPOCH)), let(F.datediff(d, F.to_date(F.lit(EPOCH))).cast("long"), of).cast("int"))
 
     if inside is None:
         return once(day)
@@ -213,7 +237,7 @@ def _date(m: Column, key: str) -> Column:
     """2001-12-31; 12/31/2001, or 31/12/2001 where that alone is a date; 31.12.2001."""
 
     def as_written(form: str, inside=None) -> Column:
-        return let(F.try_to_timestamp(m, F.lit(form)).cast("date"), lambda d: F.when(d.isNotNull(), F.date_format(_moved(d, key, inside), form)))
+        return let(F.try_to_timestamp(m, F.lit(form)).cast("date"), lambda d: F.when(F.year(d) >= 1, F.date_format(_moved(d, key, inside), form)))
 
     return F.coalesce(as_written("yyyy-MM-dd"), as_written("MM/dd/yyyy"), as_written("dd/MM/yyyy", lambda d: F.dayofmonth(d) > 12), as_written("dd.MM.yyyy"))
 
@@ -223,14 +247,30 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(F.array_join(values, ""), ""), F.lit(0), lambda s, c: F.pmod(s * 10 + c.cast("int"), F.lit(97)))
 
 
+def _regrouped(shape: Column, made: Column) -> Column:
+    """``made`` with blanks where ``shape`` has them: both are in groups of four, or in none."""
+    return F.when(shape.contains(" "), F.rtrim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
+
+
 def _iban(m: Column, key: str) -> Column:
-    """Account part permuted, check digits made anew; without valid check digits not an account."""
-    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    made = let(
-        feistel_text(account, key, country),
-        lambda v: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(v, country, F.lit("00")))).cast("string"), 2, "0"), v),
-    )
-    return F.when(_mod97(F.concat(account, F.substring(m, 1, 4))) == 1, made)
+    """Account part permuted, check digits made anew; without valid check digits not an account. Of groups that are set apart by
+    blanks the last ones may be words behind the account."""
+
+    def whole(t: Column) -> Column:
+        plain = F.replace(t, F.lit(" "), F.lit(""))
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        made = let(
+            feistel_text(account, key, country),
+            lambda v: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(v, country, F.lit("00")))).cast("string"), 2, "0"), v),
+        )
+        valid = (F.length(plain) >= 15) & (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1)
+        return F.when(valid, _regrouped(t, made))
+
+    def without(last: int) -> Column:
+        head = F.regexp_replace(m, f"(?: [A-Z0-9]+){{{last}}}$", "")
+        return F.when(m.contains(" "), let(head, lambda h: F.concat(whole(h), F.substring(m, F.length(h) + 1, F.length(m)))))
+
+    return F.coalesce(whole(m), without(1), without(2))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -239,7 +279,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"[A-Za-z0-9+/_-]+$", 0)
+    value = F.regexp_extract(m, r"[A-Za-z0-9+/_.-]+$", 0)
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_text(value, key, F.lit("secret")))
 
 
