@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from tidewatch.llm.common import small_batches, spans
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers.
-BATCH_BYTES, REMEMBERED = 4 << 20, 300_000
+BATCH_BYTES, REMEMBERED = 2 << 20, 150_000
 #: Longer words are merged one by one on a heap.
 LONG_WORD = 64
 #: Below this code point the fast path normalises by lower-casing alone (NFC changes nothing there).
@@ -386,12 +386,17 @@ class Codec:
             self._forget()
         if new := [c for c in unique if c not in self.known]:
             self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
+        place = np.fromiter(map(self.known.__getitem__, unique), np.int32, len(unique))[coded.indices.to_numpy()] if unique else np.zeros(0, np.int32)
+        bounds = bounds - bounds[0]
+        del parts, coded, unique
         lengths = self.lengths[place]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(total)]
-        return flat, np.concatenate([[0], ends])[bounds - bounds[0]]
+        # where each id stands in the pool; the pool has fewer than 2^31 ids, and the text's own count fits likewise
+        shift = (self.starts[place] - (ends - lengths)).astype(np.int32)
+        del place
+        at = np.repeat(shift, lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at], np.concatenate([[0], ends])[bounds]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the place where each text's ids begin (with the end)."""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import bpe
 from tidewatch.llm.common import small_batches, stored
 
-CAPACITY, END_ID, SHARDS = 2048, 0, 128
+CAPACITY, END_ID, PER_SHARD = 2048, 0, 1 << 18
 #: Weights of tokens, documents and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 0.001, 0.001)
 KEPT = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -37,20 +37,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """One row a piece: doc_id, piece, start, length and the CRC-32 of its ids."""
     path = path or bpe.default_path()
     small_batches(docs.sparkSession)
+    mark = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
         for keys, flat, bounds in bpe.encoded(batches, path):
-            n = len(bounds) - 1
-            whole = np.insert(flat, bounds[1:], end_id).astype("<u4")  # the end token after each document
-            at = bounds + np.arange(n + 1)
-            sizes = np.diff(at)
+            sizes = np.diff(bounds) + 1  # with the end token, which only the checksum has to see
             count = -(-sizes // capacity)
-            doc = np.repeat(np.arange(n), count)
+            doc = np.repeat(np.arange(len(sizes)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             start = piece * capacity
             length = np.minimum(capacity, sizes[doc] - start)
-            data, first = memoryview(whole.tobytes()), 4 * (at[doc] + start)
-            crc = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+            ends = start + length == sizes[doc]
+            data, first = memoryview(flat.astype("<u4", copy=False)).cast("B"), 4 * (bounds[doc] + start)
+            stop = first + 4 * (length - ends)
+            crc = [zlib.crc32(mark, zlib.crc32(data[a:b])) if end else zlib.crc32(data[a:b]) for a, b, end in zip(first.tolist(), stop.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
@@ -139,17 +139,25 @@ def _score(residual: np.ndarray, ask: np.ndarray, scale: np.ndarray, rule: str)
     return -((residual * scale) * (ask * scale)).sum(axis=1)
 
 
-def placed(found: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=WEIGHTS, rule: str = "norm", shards: int = SHARDS) -> DataFrame:
-    """``found``: a stored table of pieces. Adds sequence_id and offset."""
+def placed(found: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=WEIGHTS, rule: str = "norm", per_shard: int = PER_SHARD) -> DataFrame:
+    """``found``: a stored table of pieces. Adds sequence_id and offset.
+
+    A length's pieces are dealt to as many shards as its own number asks for, so that no task ranks more than about ``per_shard``.
+    """
     spark: SparkSession = found.sparkSession
-    sharded = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    # a row for each length and shard: capacity * shards at most
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    steps = plan(counts, capacity, max_docs, max_cost, weights, rule)
+    crowded = {length: -(-n // per_shard) for length, n in counts.items() if n > per_shard}
+    shards = F.lit(1)
+    if crowded:
+        dealt = F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])
+        shards = F.coalesce(F.try_element_at(dealt, F.col("length")), F.lit(1))
+    sharded = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shards).cast("int"))
+    # a row for each length and shard: capacity + pieces / per_shard at most
     cells = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
     cells = stored(cells.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("shard")) - F.col("n")), "cells")
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    steps = plan(counts, capacity, max_docs, max_cost, weights, rule)
     order = W.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = sharded.withColumn("rank", F.row_number().over(order)).join(F.broadcast(cells.select("length", "shard", "before")), ["length", "shard"])
+    ranked = sharded.withColumn("rank", F.row_number().over(order)).join(cells.select("length", "shard", "before"), ["length", "shard"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     first = np.array([s[0] << 40 | s[1] for s in steps] or [0], np.int64)
     by = np.argsort(first)
