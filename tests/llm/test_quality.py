@@ -117,7 +117,7 @@ def test_kneser_ney(spark):
     texts = [("".join(rng.choice("aabbbc ") for _ in range(40)),) for _ in range(12)]
     df = spark.createDataFrame(texts, "text string")
     order, size = 3, 6
-    letters = quality_lm.letters_of(df, size - 3)
+    letters = quality_lm.letters_of(df, 1.0)
     counts = quality_lm.gram_counts(df, letters, order, size).cache()
     tables = quality_lm.train(counts, order, size)
     table = np.exp(quality_lm.dense(tables, size))
@@ -141,7 +141,8 @@ def test_grams():
 def test_score_by_join_agrees(spark):
     docs, labels = corpus(60)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    model = quality_lm.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), order=3, alphabet=24)
+    model, texts = quality_lm.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), order=3)
+    assert texts.count() == sum(q for _, q, _ in labels)
     a = {r.doc_id: r.s for r in d.select("doc_id", model.score("text").alias("s")).collect()}
     b = {r.doc_id: r.score for r in quality_lm.score_by_join(d, model, shards=3).collect()}
     assert a.keys() == b.keys()
@@ -153,34 +154,47 @@ def test_classifier(spark):
     odd = [(1000, None, None), (1001, "", "en"), (1002, "  \n", "fr"), (1003, docs[1][1], "xx"), (1003, docs[1][1], "xx"), (None, docs[2][1], "en"), (1004, "the river " * 20_000, "en")]
     d = spark.createDataFrame([(*r, "p", 1.0) for r in docs + odd], "doc_id long, text string, lang string, perplexity string, score double")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rows = quality_lm.judged(d, lab.where("doc_id < 300"), order=3, alphabet=32).collect()
+    rows = quality_lm.judged(d, lab.where("doc_id < 300"), order=3).collect()
     got = {r.doc_id: r.kept for r in rows}
     held = [(got[i], bool(q)) for i, q, _ in labels if i >= 300]
     assert sum(a == b for a, b in held) / len(held) > 0.95
     assert [got[i] for i in (1000, 1001, 1002, 1003, None)] == [False, False, False, True, True]
     assert len(rows) == len(docs) + len(odd)
-    kept = quality_lm.kept(d, lab.where("doc_id < 300"), order=3, alphabet=32)
+    kept = quality_lm.kept(d, lab.where("doc_id < 300"), order=3)
     assert kept.columns == d.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
 
 
+def test_large_alphabets_are_scored_by_joins(spark, monkeypatch):
+    """Beyond the cells that go to every task the same verdicts come from joins, by themselves; repeated ids keep their rows."""
+    docs, labels = corpus(60)
+    docs += [(1, None, "en"), (1, docs[3][1], "de"), (None, docs[4][1], None), (2, " ", "fr")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = lambda: sorted((str(r.doc_id), str(r.lang), r.kept, round(r.perplexity or 0, 3), round(r.limit, 3)) for r in quality_lm.judged(d, lab, order=3).collect())
+    want = rows()
+    monkeypatch.setattr(quality_lm, "DENSE_CELLS", 8)
+    assert rows() == want
+    assert quality_lm.kept(d, lab, order=3).count() == sum(r[2] for r in want)
+
+
 def test_model_grows_with_the_corpus(spark, monkeypatch):
-    """Every trusted document is counted, however many there are, and 53 letters are told apart."""
+    """Every trusted document is counted, however many there are, and all letters are told apart, in one case."""
     n, real, seen = 6500, quality_lm.gram_counts, []
     monkeypatch.setattr(quality_lm, "gram_counts", lambda texts, *rest: seen.append(texts.count()) or real(texts, *rest))
     letters = "".join(chr(0x4E00 + i) for i in range(53))
-    d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, letters).otherwise("ab").alias("text"))
-    model = quality_lm.fit(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), order=2)
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, letters).otherwise("aB").alias("text"), F.lit("x").alias("lang"))
+    model, _ = quality_lm.fit(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), order=2, coverage=1.0)
     assert seen == [n]
-    assert len(model.letters) == 53
+    assert model.letters[:2] == [ord("a"), ord("b")] and len(model.letters) == 55
 
 
 def test_no_labels(spark):
     docs, _ = corpus(10)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert all(r.kept for r in quality_lm.judged(d, none, order=2, alphabet=8).collect())
-    assert quality_lm.judged(d.limit(0), none, order=2, alphabet=8).count() == 0
+    assert all(r.kept for r in quality_lm.judged(d, none, order=2).collect())
+    assert quality_lm.judged(d.limit(0), none, order=2).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stored tables are written in row groups of this size, since a writer holds one in memory for each task.
+ROW_GROUP = 32 << 20
+#: Bits of an id filter: 16 for each id, and no fewer or more than these powers of two.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,16 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is missing (tests, a laptop) a local folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where nothing is set it must be set first
+    (``SparkContext.setCheckpointDir`` will do): a folder of one machine would lose tables on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
-        root = context.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir is not set: the corpus operators need a folder that driver and executors share")
     return root.rstrip("/")
 
 
@@ -31,7 +31,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     nothing is computed twice, and a lost executor costs no more than the tasks it ran."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
     return back
@@ -46,10 +46,38 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
-    """From now on a batch that goes to Python holds ``limit`` bytes at most (or one row), however long the texts are:
-    it stands in memory on both sides of the worker's pipe, for every core."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+def small_batches(spark: SparkSession, limit: int = 2 << 20) -> None:
+    """A batch that goes to Python holds ``limit`` bytes at most (or one row), however long the texts are: it stands in memory
+    on both sides of the worker's pipe, for every core. The setting is read when a plan runs, which is after the operator
+    has returned, so it can't be put back here; it has one value for all operators, and a smaller one that is set stays."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not (now.isdigit() and 0 < int(now) <= limit):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Its columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def may_be_in(df: DataFrame, key: str, ids: DataFrame, out: str) -> DataFrame:
+    """``df`` with a boolean ``out``: false where ``key`` surely isn't among ``ids`` (one column, stored), so that only the
+    other rows need a shuffle to know. Null keys are false.
+
+    The ids' hashes go to every task as bitmaps of 2^MOST_BITS bits (32 MB) together at most, whatever the number of ids.
+    """
+    name = ids.columns[0]
+    size = 1 << max(LEAST_BITS, min(MOST_BITS, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
+    bits = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p"))
+    bits = bits.groupBy(F.bitmap_bucket_number("p").alias(f"{out}_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(f"{out}_bits"))
+    bits = stored(bits, "bits")
+    own = place(F.col(key))
+    joined = df.withColumn(f"{out}_bucket", F.bitmap_bucket_number(own)).join(F.broadcast(bits), f"{out}_bucket", "left")
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(F.col(f"{out}_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    return joined.withColumn(out, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop(f"{out}_bucket", f"{out}_bits")
 
 
 def spans(sizes, limit: int):
