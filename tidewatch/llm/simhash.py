@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, small_batches, stored
+from tidewatch.llm.common import columns_of, discard, fresh, may_be_in, small_batches, stored
 from tidewatch.llm.components import components
 
 #: Production parameters: words in a shingle, hash seed, linked distance, bucket size from which a second covering deals anew.
@@ -134,7 +134,7 @@ def _buckets(radius: int, heavy: int | None):
     def work(batches):
         held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
         open_heavy = None
-        for batch in [*[], *batches] if isinstance(batches, list) else batches:
+        for batch in batches:
             t, k, fp = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
             cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
             starts = np.concatenate([[0], cuts])
@@ -215,17 +215,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns. Rows that share
-    an id count as one document; rows without an id can't be named and stay."""
-    return first_of_components(docs, near_duplicates(docs, key=key, text=text, **options), key)
-
-
-def first_of_components(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose id names their component in ``found`` (``key``, component_id), and those without an id."""
-    named = stored(found.select(F.col(key).alias("doc_id"), "component_id"), "components")
-    first = named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    # the ids that stay grow with the corpus, so they are never broadcast: the same shuffled join at every size
-    kept = docs.where(F.col(key).isNotNull()).join(first.hint("merge"), key, "left_semi").select(*docs.columns)
-    if named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """One document of each component, the one with the smallest id, with all its columns. Rows that share an id are one
+    document, which stays or goes as a whole: each of its different texts once. Rows without an id can't be named and stay."""
+    return first_of_components(docs, near_duplicates(docs, key=key, text=text, **options), key, text)
+
+
+def first_of_components(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id names a component in ``found`` (``key``, component_id), and those without an id."""
+    named = stored(found.select(F.col(key).alias("doc_id"), "component_id").where("doc_id is not null"), "components")
+    # of rows with the same id and different texts, one may name its component and another not: the document stays
+    per = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
+    per = stored(per.where(~F.col("first") | (F.col("n") > 1)), "components_apart")
+    gone = per.where(~F.col("first")).select("doc_id")
+    # most rows are known to stay by a filter of bounded size; only those that may go are shuffled to know
+    mark = fresh(docs, "gone")
+    marked = may_be_in(docs, key, gone, mark)
+    sure, unsure = marked.where(~F.col(mark)).select(*columns_of(docs)), marked.where(mark).select(*columns_of(docs))
+    kept = sure.unionByName(unsure.join(gone.withColumnRenamed("doc_id", f"{mark}_id").hint("merge"), F.col(key) == F.col(f"{mark}_id"), "left_anti"))
+    again = per.where(F.col("first") & (F.col("n") > 1)).select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    # ids of several rows: each text once, the row whose other columns come first by their hash
+    twice = kept.join(again.withColumnRenamed("doc_id", f"{mark}_id").hint("merge"), F.col(key) == F.col(f"{mark}_id"), "left_semi")
+    once = kept.join(again.withColumnRenamed("doc_id", f"{mark}_id").hint("merge"), F.col(key) == F.col(f"{mark}_id"), "left_anti")
+    row = F.struct(*columns_of(docs))
+    one = twice.groupBy(key, text).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(mark)).select(f"{mark}.*")
+    return once.unionByName(one)
