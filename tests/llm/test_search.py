@@ -46,12 +46,17 @@ def test_topk_empty(spark):
     assert topk.search(none, lambda i: i % 20 == 0).collect() == []
 
 
-def test_bounds_skip_blocks():
-    """Clusters far apart: the k-th best distance leaves most pivots out of reach."""
+def test_bounds_leave_blocks_out(spark, monkeypatch):
+    """Of clusters far apart, a block of queries is sent the blocks of vectors of its own surroundings alone."""
     rng = np.random.default_rng(0)
-    m = np.concatenate([rng.integers(-3, 3, (50, 4)) + 100 * np.eye(4, dtype=int)[i] for i in range(4)])
-    centres = topk.fit_pivots(m, 4)
-    assert len(centres) <= 4
+    centres = np.concatenate([np.eye(4), -np.eye(4)]) * 40
+    rows = [(i, (centres[i % 8] + rng.normal(0, 0.1, 4)).tolist()) for i in range(1600)]
+    seen, real = [], topk.needed
+    monkeypatch.setattr(topk, "needed", lambda asked, meta: seen.append((real(asked, meta).count(), asked.select("qb").distinct().count() * meta.count())) or real(asked, meta))
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5, block=32, query_block=8, pivots=8)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute_topk(rows, 5)
+    visits, pairs = seen[-1]
+    assert visits < 0.3 * pairs
 
 
 def components_of(edges):

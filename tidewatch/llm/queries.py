@@ -76,7 +76,8 @@ QUERIES = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FITS = {h + p: (a, f"((host = '{h}' or host like '%.{h}') and starts_with(path, '{p}'))") for a, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))}
-_LISTED = " or ".join(f"host = '{n}' or host like '%.{n}'" for n in urlfilter.LISTED)
+_NAMES = ", ".join(f"('{n}')" for n in urlfilter.LISTED)
+_LISTED = f"exists (select 1 from (values {_NAMES}) as names(n) where host = n or ends_with(host, '.' || n))"
 _CANONICAL = f"""case when h3 <> '' then h3 || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?:/index)?\\.html?$|/+$', '', 'g')
     || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '{warc.TRACKING}'))), '&'), ''), '') end"""
 

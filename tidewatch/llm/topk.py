@@ -8,9 +8,14 @@ size, the vectors of a pivot form annuli.
 A query starts in the block that its own key falls into, which gives its k-th best score so far, and expands
 over the annuli in order of their bounds: by the triangle inequality no vector at distance r of pivot p
 is nearer than |d(q,p) - r|, so whatever lies beyond the k-th best distance is never looked at.
-Queries travel in blocks too: a block of queries meets the blocks of vectors that any of its queries still
-needs, nearest first, and stops where the bounds say so. Nothing is approximate: bounds carry a margin
-for rounding, and products are exact integers.
+Queries travel in blocks too, and in two rounds. In the first a block of queries meets the nearest blocks of vectors of its nearest pivot;
+the k-th best scores so far say how far its queries still reach. In the second only those blocks of vectors
+are sent to it whose bounds are within that reach (:func:`needed`), nearest first, and it stops where the bounds say so. Nothing is
+approximate: bounds carry a margin for rounding, and products are exact integers.
+
+How much the bounds leave out depends on the vectors: of well-separated clusters most, of evenly spread ones in many dimensions nothing,
+and then every block of queries meets every block of vectors. Blocks of queries grow with their number, up to ``MOST_QUERIES``, so
+that the vectors are sent at most once for so many queries.
 
 Pivots are fitted on a bounded sample (``SAMPLE`` rows by hash); every row is indexed.
 
@@ -24,12 +29,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, stored
+from tidewatch.llm.common import stored
 
 #: Production parameters: results, scale, rows of the pivot sample, pivots, rows of a block of vectors and of queries.
 K, SCALE, SAMPLE, PIVOTS, BLOCK, QUERY_BLOCK = 20, 64.0, 4096, 32, 2048, 256
+#: Rows of a block of queries at most, blocks of queries that are asked for before they grow, blocks of vectors in the first round.
+MOST_QUERIES, QUERY_BLOCKS, NEAREST = 4096, 64, 2
 LIMIT = float(1 << 62)
 MARGIN = 1e-6
 
@@ -106,7 +114,17 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def needed(asked: DataFrame, meta: DataFrame) -> DataFrame:
+    """(qb, block, bound, home): which blocks of vectors a block of queries still needs.
+
+    ``asked`` (qb, pivot, dmin, dmax, reach): the distances of its queries to each pivot, and how far they reach. ``meta`` (block, pivot, inner, outer).
+    """
+    bound = F.greatest(F.lit(0.0), F.col("inner") - F.col("dmax"), F.col("dmin") - F.col("outer"))
+    home = F.abs((F.col("inner") + F.col("outer")) / 2 - (F.col("dmin") + F.col("dmax")) / 2)
+    return asked.join(meta, "pivot").where(bound <= F.col("reach")).select("qb", "block", bound.alias("bound"), home.alias("home"))
+
+
+def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivots: int | None = None, block: int = BLOCK, query_block: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``is_query``: a function of the id column. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score long"
@@ -121,6 +139,8 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivot
     sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * SAMPLE).toArrow()
     if not sampled.num_rows:
         sampled = rows.select("v").limit(SAMPLE).toArrow()
+    # the blocks of a pivot and the pivots grow alike
+    pivots = pivots or max(PIVOTS, min(SAMPLE // 4, int((top["n"] / block) ** 0.5)))
     centres = fit_pivots(matrix(sampled.column("v"), width), pivots)
     centre_lift = np.sqrt(np.maximum(radius2 - (centres**2).sum(axis=1), 0))
 
@@ -177,6 +197,7 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivot
     n_asked = rows.where(is_query(F.col("id"))).count()
     if not n_asked:
         return spark.createDataFrame([], out)
+    query_block = query_block or max(QUERY_BLOCK, min(MOST_QUERIES, n_asked // QUERY_BLOCKS))
     groups = max(1, -(-n_asked // query_block))
 
     def query_blocks(batches):
@@ -202,23 +223,31 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivot
     spread = asked.repartitionByRange(groups, "pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
     queries = stored(spread.mapInArrow(query_blocks, "n int, ids binary, m binary, near array<double>").withColumn("qb", F.expr("uuid()")), "queries")
 
-    # each query block meets the blocks of each pivot in order of the least bound of its queries
     n_pivots = len(centres)
     by_pivot = queries.select("qb", F.posexplode(F.slice("near", 1, n_pivots)).alias("pivot", "dmin"), F.slice("near", n_pivots + 1, n_pivots).alias("far"))
     by_pivot = by_pivot.withColumn("dmax", F.col("far")[F.col("pivot")]).drop("far")
     meta = index.select("block", "pivot", "inner", "outer")
-    bound = F.greatest(F.lit(0.0), F.col("inner") - F.col("dmax"), F.col("dmin") - F.col("outer"))
-    home = F.abs((F.col("inner") + F.col("outer")) / 2 - (F.col("dmin") + F.col("dmax")) / 2)
-    visits = by_pivot.join(meta, "pivot").select("qb", "block", bound.alias("bound"), home.alias("home"))
-    met = visits.join(index, "block").select("qb", "bound", "home", "pivot", "bytes", "ids", "r", "m", F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_m"))
-    head = queries.select("qb", F.lit(-1.0).alias("bound"), F.lit(-1.0).alias("home"), F.lit(-1).alias("pivot"), F.lit(8).alias("bytes"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("r"), F.lit(None).cast("binary").alias("m"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    stream = met.unionByName(head).repartition("qb").sortWithinPartitions("qb", "bound", "home")
 
-    def expand(batches):
-        """Rows come sorted: a query block, then its annuli in order of their bounds."""
+    def stream(visits: DataFrame, asked: DataFrame) -> DataFrame:
+        """A block of queries (with the scores ``floor`` that it has to reach), then its blocks of vectors, nearest first."""
+        none = lambda kind: F.lit(None).cast(kind)
+        met = visits.join(index, "block").select("qb", "bound", "home", "pivot", "bytes", "ids", "r", "m", none("binary").alias("q_ids"), none("binary").alias("q_m"), none("binary").alias("floor"))
+        start = asked.select("qb", F.lit(-1.0).alias("bound"), F.lit(-1.0).alias("home"), F.lit(-1).alias("pivot"), F.lit(8).alias("bytes"), *[none("binary").alias(c) for c in ("ids", "r", "m")], F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "floor")
+        return met.unionByName(start).repartition("qb").sortWithinPartitions("qb", "bound", "home")
+
+    def reach_of(now) -> np.ndarray:
+        """The distance within which a query still needs vectors, from its k-th best score."""
+        reach = np.sqrt(np.maximum(radius2 + now["norm"] - 2 * now["floor"], 0)) * (1 + MARGIN) + MARGIN
+        reach[now["floor"] == -np.inf] = np.inf
+        return reach
+
+    def expand(batches, first: bool):
+        """Rows come sorted: a query block, then its annuli in order of their bounds. The first round gives each block's reach."""
         now = None
 
         def result():
+            if first:
+                return pa.RecordBatch.from_arrays([pa.array([now["qb"]]), pa.array([float(reach_of(now).max())]), pa.array([now["floor"].tobytes()], pa.binary())], names=["qb", "reach", "floor"])
             ids, found_ids, found = now["ids"], now["found_ids"], now["found"]
             q, r, i, s = [], [], [], []
             for x in range(len(ids)):
@@ -236,11 +265,9 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivot
                         yield result()
                     ids, m = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_m"], np.int64).reshape(-1, width)
                     n = len(ids)
-                    now = {"ids": ids, "m": m, "norm": norms(m), "d": lifted_distances(m, np.zeros(n), centres, centre_lift), "floor": np.full(n, -np.inf), "found": [np.zeros(0, np.int64)] * n, "found_ids": [np.zeros(0, np.int64)] * n}
+                    now = {"ids": ids, "m": m, "norm": norms(m), "d": lifted_distances(m, np.zeros(n), centres, centre_lift), "qb": row["qb"], "floor": np.full(n, -np.inf) if row["floor"] is None else np.frombuffer(row["floor"]).copy(), "found": [np.zeros(0, np.int64)] * n, "found_ids": [np.zeros(0, np.int64)] * n}
                     continue
-                # the distance within which a query still needs vectors, from its k-th best score
-                reach = np.sqrt(np.maximum(radius2 + now["norm"] - 2 * now["floor"], 0)) * (1 + MARGIN) + MARGIN
-                reach[now["floor"] == -np.inf] = np.inf
+                reach = reach_of(now)
                 d, r = now["d"][:, row["pivot"]], np.frombuffer(row["r"], np.float64)
                 live = np.flatnonzero((r[0] - d <= reach) & (d - r[-1] <= reach))
                 if not len(live):
@@ -264,4 +291,9 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, pivot
         if now is not None:
             yield result()
 
-    return stream.mapInArrow(expand, out)
+    nearest = by_pivot.groupBy("qb").agg(F.min_by(F.struct("pivot", "dmin", "dmax"), F.struct("dmin", "pivot")).alias("p")).select("qb", "p.*", F.lit(float("inf")).alias("reach"))
+    first = needed(nearest, meta).withColumn("n", F.row_number().over(W.partitionBy("qb").orderBy("bound", "home", "block"))).where(F.col("n") <= NEAREST)
+    begun = stream(first, queries.withColumn("floor", F.lit(None).cast("binary"))).mapInArrow(lambda b: expand(b, True), "qb string, reach double, floor binary")
+    begun = stored(begun, "reach")
+    second = needed(by_pivot.join(begun.select("qb", "reach"), "qb"), meta)
+    return stream(second, queries.join(begun.select("qb", "floor"), "qb")).mapInArrow(lambda b: expand(b, False), out)

@@ -6,12 +6,15 @@ keys that level 1 lets through, and so on until nothing passes wrongly. A key's
 is then known from the level at which it drops out, for every key of the universe exactly, and
 the pages themselves are never joined with the list.
 
+The list is a table of hosts, each standing for its subdomains too. It meets the distinct hosts alone, by equality with
+their suffixes.
+
 Keys are dealt to shards by hash and each shard has a cascade of its own, so that a filter's size
 is bounded whatever the number of hosts. Filters are broadcast while all of them together are
-below ``BROADCAST_BYTES``; beyond that the URLs go to their shards and each task loads one.
+below ``BROADCAST_BYTES``; beyond that the URLs go to their shards, a popular one's dealt to several tasks, and each task loads one.
 
 Defined results: a null url, or one without "://", has an empty host and path and no rule, and
-the empty host isn't listed; repeated rows give repeated rows.
+the empty host isn't listed; repeated rows give repeated rows; null and empty hosts in the list mean nothing.
 """
 
 from __future__ import annotations
@@ -22,15 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import may_be_in, stored
 
 #: (action, host, path). The longest rule that fits decides.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: The list whose hosts, with their subdomains, the method blocks.
-LISTED = ("cheap-pills.example.net", "casino.example.com", "tiontion.example.com", "ththan.example.net", "theren.example.org")
+LISTED = ("casino-win.example.com", "free-bets.example.com", "spam-farm.example.com", "cheap-pills.example.com", "ads-track.example.com", "adult-x.example.net", "cheap-pills.example.net", "theren.example.org")
 #: Bits for each key of a level, hash functions, keys in a shard at most on average, bytes of all filters that are broadcast.
 BITS_PER_KEY, HASHES, SHARD_KEYS, BROADCAST_BYTES = 6, 3, 1 << 18, 64 << 20
-MAX_LEVELS = 64
+#: Levels at most, URLs that one task takes beyond the broadcast, seeds that are tried where two hosts share a hash.
+MAX_LEVELS, GROUP_URLS, SEEDS = 64, 1 << 17, 8
 
 
 def host_of(url: Column) -> Column:
@@ -51,12 +55,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def listed(host: Column, names=LISTED) -> Column:
-    """The list itself, which only the distinct hosts are held against."""
-    out = F.lit(False)
-    for n in names:
-        out = out | (host == n) | host.endswith(f".{n}")
-    return out
+def marked(hosts: DataFrame, names: DataFrame) -> DataFrame:
+    """``hosts`` (host, distinct) with ``listed``: does ``names`` (host) hold it or a domain above it?"""
+    names = stored(names.select(F.lower("host").alias("name")).where("name <> ''").distinct(), "names")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # suffixes such as "com" are very many hosts': those that the list can't hold go first
+    rows = may_be_in(hosts.select("host", F.explode(suffixes).alias("suffix")), "suffix", names, "likely").where("likely")
+    found = rows.join(names, F.col("suffix") == F.col("name"), "left_semi").select(F.col("host").alias("found")).distinct()
+    return hosts.join(found, F.col("host") == F.col("found"), "left").select("host", F.col("found").isNotNull().alias("listed"))
 
 
 def _places(hashes: np.ndarray, level: int, bits: int, k: int = HASHES) -> np.ndarray:
@@ -133,22 +140,27 @@ def _apply(rows: DataFrame, hash_name: str, filters: dict[int, list[bytes]], sha
     return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())]))
 
 
-def judge(pages: DataFrame, rules=RULES, names=LISTED, key: str = "page_id", url: str = "url") -> DataFrame:
-    """One row a page: its id, host, path, the rule that fits and the verdict."""
-    host = host_of(pages[url])
-    path = path_of(pages[url])
-    seen = pages.select(pages[key].alias("page_id"), host.alias("host"), path.alias("path")).withColumn("hash", F.xxhash64("host"))
+def judge(pages: DataFrame, rules=RULES, names: DataFrame | None = None, key: str = "page_id", url: str = "url", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row a page: its id, host, path, the rule that fits and the verdict. ``names`` (host) is the list; LISTED if none is given."""
+    if names is None:
+        names = pages.sparkSession.createDataFrame([(n,) for n in LISTED], "host string")
+    seen = pages.select(pages[key].alias("page_id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     # the universe: partial aggregation leaves one row a task for a host, however common
-    universe = seen.groupBy("hash", "host").agg(F.lit(1).alias("one")).select("hash", listed(F.col("host"), names).alias("listed"))
-    universe = stored(universe.groupBy("hash").agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("all_listed")), "hosts")
-    totals = universe.agg(F.count("*").alias("n"), F.count_if(F.col("listed") != F.col("all_listed")).alias("mixed")).first()
-    if totals["mixed"]:
-        raise ValueError("a listed and an unlisted host share a 64-bit hash; use another hash seed")
+    hosts = stored(marked(seen.groupBy("host").agg(F.lit(1).alias("one")).select("host"), names), "hosts")
+    for seed in range(SEEDS):
+        hashed = F.xxhash64(F.lit(seed), "host")
+        universe = hosts.groupBy(hashed.alias("hash")).agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("all_listed"))
+        totals = universe.agg(F.count("*").alias("n"), F.count_if(F.col("listed") != F.col("all_listed")).alias("mixed")).first()
+        if not totals["mixed"]:
+            break
+    else:
+        raise ValueError(f"a listed and an unlisted host share a 64-bit hash under each of {SEEDS} seeds")
+    seen = seen.withColumn("hash", hashed)
     shards = max(1, -(-totals["n"] // SHARD_KEYS))
     built = stored(build(universe.select("hash", "listed"), shards), "cascade")
     size = built.agg(F.sum(F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
     name, action = rule_of(F.col("host"), F.col("path"), rules)
-    if size <= BROADCAST_BYTES:
+    if size <= broadcast_bytes:
         filters = {r["shard"]: [bytes(x) for x in r["levels"]] for r in built.collect()}
         judged = _apply(seen, "hash", filters, shards, "listed")
     else:
@@ -157,18 +169,19 @@ def judge(pages: DataFrame, rules=RULES, names=LISTED, key: str = "page_id", url
     return judged.select(F.col("page_id").alias(key), "host", "path", name.alias("rule"), verdict.alias("verdict"), "listed")
 
 
-def _apply_sharded(seen: DataFrame, built: DataFrame, shards: int, salts: int = 16) -> DataFrame:
-    """Where the filters are too large to send everywhere: distinct keys meet their shard's cascade.
-
-    Only distinct hosts move, salted within their shard; pages get the answer by host.
-    """
-    keys = seen.select("hash").distinct().withColumn("shard", F.pmod("hash", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(salts)).cast("int"))
-    levels = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _apply_sharded(seen: DataFrame, built: DataFrame, shards: int, per_group: int = GROUP_URLS) -> DataFrame:
+    """Where the filters are too large to send everywhere: rows go to their shard's cascade. A shard is dealt to as many
+    groups as its own rows ask for, and its filters are sent to each."""
+    rows = seen.withColumn("shard", F.pmod("hash", F.lit(shards)).cast("int"))
+    # a row a shard, that is for each SHARD_KEYS hosts
+    groups = stored(rows.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(per_group)).cast("int").alias("salts")), "groups")
+    rows = rows.join(F.broadcast(groups), "shard").withColumn("salt", F.pmod(F.xxhash64(*seen.columns), F.col("salts")).cast("int")).drop("salts")
+    levels = built.join(groups, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = left.column("hash").to_numpy()
         found = [np.frombuffer(x, np.uint8) for x in right.column("levels")[0].as_py()] if len(right) else []
-        return pa.table({"hash": pa.array(hashes), "listed": pa.array(member(found, hashes.view(np.uint64)))})
+        return left.drop_columns(["shard", "salt"]).append_column("listed", pa.array(member(found, hashes.view(np.uint64))))
 
-    answers = keys.groupBy("shard", "salt").cogroup(levels.groupBy("shard", "salt")).applyInArrow(work, "hash long, listed boolean")
-    return seen.join(answers, "hash", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    out = T.StructType([*seen.schema.fields, T.StructField("listed", T.BooleanType())])
+    return rows.groupBy("shard", "salt").cogroup(levels.groupBy("shard", "salt")).applyInArrow(work, out)

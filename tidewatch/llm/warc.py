@@ -11,7 +11,8 @@ for each carries it on. Only ids and headers move, never bodies.
 
 Defined results: a record without URL or date resolves to nothing; of responses at the same time
 the larger record id is the later; a revisit is never resolved by a response of its own time;
-repeated revisits give repeated rows; a revisit whose validators disagree keeps its own headers.
+repeated revisits give repeated rows; a revisit whose validators disagree keeps its own headers; header names are
+compared and returned in lower case, and entity tags are compared weakly.
 """
 
 from __future__ import annotations
@@ -51,6 +52,18 @@ def _agree(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
+def _opaque(tag: Column) -> Column:
+    """An entity tag without its mark of weakness: a 304 answer is matched by weak comparison (RFC 9110, 8.8.3.2)."""
+    return F.regexp_replace(tag, r"^\s*W/", "")
+
+
+def lowered(headers: Column) -> Column:
+    """Header names in lower case; of names that differ in case alone the last value stays."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(F.transform(F.array(entries), last)[0])
+
+
 def merged_headers(stored_headers: Column, fresh: Column) -> Column:
     """Names in lower case; those of a 304 win, but for the ones it may not change."""
     allowed = F.map_filter(fresh, lambda k, _: ~k.isin(*KEPT_HEADERS))
@@ -63,7 +76,7 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     One row for each revisit: record_id, url, canonical_url, seconds, status, resolved_id (null if none), resolved_seconds, digest
     of the response, valid (null where nothing precedes it) and its merged headers.
     """
-    slim = records.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), "seconds", "kind", "status", "digest", "headers")
+    slim = records.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), "seconds", "kind", "status", "digest", lowered(F.col("headers")).alias("headers"))
     slim = slim.withColumn("bucket", F.floor(F.col("seconds") / bucket_seconds).cast("long"))
     slim = stored(slim, "records")
     full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("seconds", "record_id", "digest", "headers"))
@@ -86,7 +99,7 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     own, old = F.col("headers"), F.col("source.headers")
     valid = F.when(
         F.col("source").isNotNull(),
-        _agree(F.element_at(own, "etag"), F.element_at(old, "etag")) & _agree(F.element_at(own, "last-modified"), F.element_at(old, "last-modified")),
+        _agree(_opaque(F.element_at(own, "etag")), _opaque(F.element_at(old, "etag"))) & _agree(F.element_at(own, "last-modified"), F.element_at(old, "last-modified")),
     )
     both = found.unionByName(lost).withColumn("valid", valid)
     took = F.coalesce(F.col("valid"), F.lit(False))
@@ -100,7 +113,7 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         F.when(took, F.col("source.seconds")).alias("resolved_seconds"),
         F.when(took, F.col("source.digest")).alias("digest"),
         "valid",
-        F.when(took, merged_headers(old, own)).otherwise(own).alias("headers"),
+        F.when(took, F.coalesce(merged_headers(old, own), old)).otherwise(own).alias("headers"),
     )
 
 
