@@ -106,13 +106,15 @@ def lengths(rows: DataFrame) -> DataFrame:
     return s.join(mode, KEY).select(*KEY, "pkt_len_mean", "pkt_len_std", (low + (F.col("bin") + 0.5) * step).alias("pkt_len_mode"))
 
 
-DOS_SUMS = ("len", "is_tcp", "is_udp", "is_icmp", "tcp_syn", "tcp_synack")
+#: Header fields of the discovery protocol and how their entropies are called.
+SSDP = {"ssdp_st": "ST", "ssdp_man": "MAN", "ssdp_user_agent": "USER_AGENT"}
 
 
 def dos_static(rows: DataFrame, width: int, bins: int, ports) -> DataFrame:
     """All static DoS features: one row a window."""
     base = rows.groupBy(*KEY).agg(*[c.alias(n) for n, c in rates(width, ports).items()])
-    d = distributions(rows, ["src_ip", "dst_port", "ttl", "src_mac", "dst_ip"])
+    d = distributions(rows, ["src_ip", "dst_port", "ttl", "src_mac", "dst_ip", *SSDP])
+    d = d.drop(*[f"{p}_{c}" for p in ("n_unique", "top") for c in SSDP]).withColumnsRenamed({f"H_{c}": f"H_{n}" for c, n in SSDP.items()})
     out = base
     for part in (iat(rows), burst(rows, width, bins).drop("median_bin_pkts"), d, ratios(rows, ports[0]), lengths(rows)):
         out = out.join(part, KEY, "left")
@@ -207,24 +209,31 @@ def arp_static(rows: DataFrame, width: int, bins: int) -> DataFrame:
 
 
 def arp_static_seq(rows: DataFrame, width: int) -> DataFrame:
-    """The LSTM's ARP features: exact ARP bytes, ratios that are 0 over nothing, claims keyed by *sender* address."""
+    """The LSTM's 25 ARP features: exact ARP bytes, ratios that are 0 over nothing, claims keyed by *sender* address. A pair is a sender's
+    address with the target's (empty where it is missing), of packets that name the sender's mac too."""
     s = width / MICROS
     arp = F.col("is_arp") == 1
+    named = arp & F.col("arp_sender_ip").isNotNull() & F.col("arp_sender_mac").isNotNull()
     t = rows.groupBy(*KEY).agg(
         F.count("*").alias("pkts"), F.sum("len").alias("bytes"), F.count_if(arp).alias("arp"), F.sum(F.when(arp, F.col("len")).otherwise(0)).alias("arp_bytes"), F.count_if(arp & (F.col("arp_opcode") == 1)).alias("req"),
         F.count_if(arp & (F.col("arp_opcode") == 2)).alias("rep"), F.count_if(arp & (F.col("arp_is_gratuitous") == 1)).alias("grat"),
-        F.count_distinct(F.when(arp & F.col("arp_sender_ip").isNotNull() & F.col("arp_sender_mac").isNotNull(), F.struct("arp_sender_ip", "arp_sender_mac"))).alias("unique_sender_pairs"),
+        F.count_distinct(F.when(named, F.struct("arp_sender_ip", F.coalesce("arp_target_ip", F.lit(""))))).alias("unique_sender_target_pairs"),
     )
     c = F.col
     base = t.select(
         *KEY, (c("pkts") / s).alias("pkts_per_s"), (c("bytes") / s).alias("bytes_per_s"), (c("arp") / s).alias("arp_pkts_per_s"), (c("arp_bytes") / s).alias("arp_bytes_per_s"),
-        ratio(c("arp"), c("pkts")).alias("arp_fraction"), c("req").alias("arp_requests"), c("rep").alias("arp_replies"), ratio(c("grat"), c("arp")).alias("gratuitous_fraction"),
-        ratio(c("rep"), c("req")).alias("reply_to_request_ratio"), ratio(c("req"), c("rep")).alias("request_to_reply_ratio"), "unique_sender_pairs",
+        ratio(c("arp"), c("pkts")).alias("arp_fraction"), (c("req") / s).alias("arp_request_rate"), (c("rep") / s).alias("arp_reply_rate"), (c("grat") / s).alias("arp_gratuitous_rate"), ratio(c("grat"), c("arp")).alias("arp_gratuitous_fraction"),
+        ratio(c("rep"), c("req")).alias("arp_reply_to_request_ratio"), ratio(c("req"), c("rep")).alias("arp_request_to_reply_ratio"), "unique_sender_target_pairs",
     )
     only = rows.where(arp)
+    unique = distributions(only, ["arp_sender_ip", "arp_sender_mac", "arp_target_ip", "arp_target_mac"])
+    ips = conflicts(only, KEY, "arp_sender_ip", "arp_sender_mac", "claims_per_ip")
+    macs = conflicts(only, KEY, "arp_sender_mac", "arp_sender_ip", "ips_per_mac")
     parts = [
-        conflicts(only, KEY, "arp_sender_ip", "arp_sender_mac", "claims_per_ip").drop("conflicts_claims_per_ip"),
-        conflicts(only, KEY, "arp_sender_mac", "arp_sender_ip", "ips_per_mac").drop("conflicts_ips_per_mac"),
+        iat(only).select(*KEY, F.col("iat_mean").alias("arp_iat_mean"), F.col("iat_std").alias("arp_iat_std")),
+        unique.select(*KEY, *[F.col(f"n_unique_arp_{x}").alias(f"unique_{x}s") for x in ("sender_ip", "sender_mac", "target_ip", "target_mac")]),
+        ips.select(*KEY, "max_claims_per_ip", "mean_claims_per_ip", F.col("conflict_ratio_claims_per_ip").alias("conflict_ip_ratio")),
+        macs.select(*KEY, "max_ips_per_mac", "mean_ips_per_mac", F.col("conflict_ratio_ips_per_mac").alias("sender_conflict_ratio")),
         conflicts(only, KEY, "arp_target_ip", "arp_sender_mac", "t").select(*KEY, F.col("conflict_ratio_t").alias("target_conflict_ratio")),
     ]
     out = base
@@ -254,7 +263,7 @@ def flow(rows: DataFrame, width: int) -> DataFrame:
     s = width / MICROS
     t = rows.groupBy(*KEY).agg(
         F.count("*").alias("pkt_count"), F.sum("len").alias("byte_count"), F.avg("len").alias("mean_pkt_len"), F.coalesce(F.stddev_samp("len"), F.lit(0.0)).alias("std_pkt_len"), F.min("len").alias("min_pkt_len"), F.max("len").alias("max_pkt_len"),
-        F.sum("is_tcp").alias("tcp_count"), F.sum("is_udp").alias("udp_count"), F.sum("is_icmp").alias("icmp_count"), F.sum("tcp_syn").alias("tcp_syn"), F.sum("tcp_synack").alias("tcp_ack"),
+        F.sum("is_tcp").alias("tcp_count"), F.sum("is_udp").alias("udp_count"), F.sum("is_icmp").alias("icmp_count"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in ("tcp_syn", "tcp_ack", "tcp_rst", "tcp_fin")],
     )
     c = F.col
     n = F.greatest(c("pkt_count"), F.lit(1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.stats import rounded
 from tidewatch.operators import features as ft
 from tidewatch.operators import windows as win
-from tidewatch.plans.registry import BINS, HOP, PACKETS, WIDTH, WINDOWED, query, windows_sql
+from tidewatch.plans.registry import BINS, HOP, PACKETS, SQL, WIDTH, WINDOWED, query, windows_sql
 from tidewatch.sources.tables import TOP_PORTS, packets
 
 KEY = ft.KEY
@@ -158,10 +158,21 @@ def window_len_mode(spark, sf_dir):
     return d.select(*KEY, *[rounded(F.col(c)).alias(c) for c in d.columns if c not in KEY])
 
 
-@query(None)
+_SSDP_LONG = " union all ".join(f"select {K}, '{n}' as name, {c} as value from w where {c} is not null" for c, n in ft.SSDP.items())
+_JOINED = " ".join(f"join ({SQL[n]}) using ({K})" for n in ("window_iat", "window_burst", "window_entropy", "window_unique", "window_ratios", "window_len_mode"))
+
+
+@query(f"""with r as ({SQL['window_rates']}), s as ({WINDOWED}, l as ({_SSDP_LONG}), c as (select {K}, name, value, count(*) as n from l group by all), h as (select {K}, name, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from c group by all)
+      select {K}, {', '.join(f"max(case when name = '{n}' then h end) as H_{n}" for n in ft.SSDP.values())} from h group by all)
+    select * exclude (median_bin_pkts, top_src_mac, H_ST, H_MAN, H_USER_AGENT), top_src_mac as src_mac_dominance, {', '.join(f'round(coalesce(H_{n}, 0), 6) as H_{n}' for n in ft.SSDP.values())} from r {_JOINED} left join s using ({K})""")
 def dos_features(spark, sf_dir):
-    """All of the static set in one table; its families are checked one by one above."""
-    return ft.dos_static(windowed(spark, sf_dir), WIDTH, BINS, TOP_PORTS)
+    """All of the static set in one table."""
+    d = ft.dos_static(windowed(spark, sf_dir), WIDTH, BINS, TOP_PORTS)
+    gaps = [f"iat_{n}" for n in ("mean", "std", "cv", "median", "p95", "p99")]
+    whole = ["max_bin_pkts", *[f"n_unique_{c}" for c in _VALUES], "ssdp_msearch", "ssdp_notify", "ssdp_200ok"]
+    real = [*_RATES, "gini_pkts", *[f"H_{c}" for c in _VALUES], "src_mac_dominance", *[f"H_{n}" for n in ft.SSDP.values()], "pkt_len_mean", "pkt_len_std", "pkt_len_mode"]
+    real += ["tcp_syn_over_synack", "udp_ssdp_req_over_resp", "udp_dns_req_over_resp", "udp_ntp_req_over_resp", "udp_port_fraction", "ssdp_multicast_hit_rate"]
+    return d.select(*KEY, *whole, *[rounded(F.col(c) + 1e-9).alias(c) for c in gaps], *[rounded(F.col(c)).alias(c) for c in real])
 
 
 @query(f"""{WINDOWED} select {K}, bin::int as bin, count(*) as bin_total_pkts, sum(len)::bigint as bin_total_bytes, count(*) filter (is_tcp = 1) as bin_tcp_pkts, count(*) filter (is_udp = 1) as bin_udp_pkts, count(*) filter (is_icmp = 1) as bin_icmp_pkts,
@@ -188,25 +199,40 @@ def bins_arp(spark, sf_dir):
 @query(f"""{WINDOWED}, {_conflict_sql('c', K, 'arp_target_ip', 'arp_sender_mac')}, {_conflict_sql('i', K, 'arp_sender_mac', 'arp_sender_ip')}, {_conflict_sql('r1', K, 'arp_sender_mac', 'arp_sender_ip', 'is_arp = 1 and arp_opcode = 2')}, {_conflict_sql('r2', K, 'arp_target_ip', 'arp_sender_mac', 'is_arp = 1 and arp_opcode = 2')},
     t as (select {K}, count(*) as pkts, count(*) filter (is_arp = 1) as arp, sum(len) as bytes, count(*) filter (is_arp = 1 and arp_opcode = 1) as req, count(*) filter (is_arp = 1 and arp_opcode = 2) as rep, count(*) filter (is_arp = 1 and arp_is_gratuitous = 1) as grat, count(*) filter (is_arp = 1 and arp_opcode = 1 and arp_target_mac = '00:00:00:00:00:00') as to_all,
       count(distinct arp_sender_ip || '>' || arp_target_ip) filter (is_arp = 1) as pairs, count(distinct arp_sender_ip) filter (is_arp = 1) as sips from w group by all)
-    select {K}, round(pkts / {_SECONDS}, 6) as pkts_per_s, round(bytes * (arp / pkts) / {_SECONDS}, 6) as arp_bytes_per_s, round(arp / pkts, 6) as arp_fraction, round(req / {_SECONDS}, 6) as arp_request_rate, round(grat / greatest(arp, 1), 6) as arp_gratuitous_fraction, round(to_all / greatest(req, 1), 6) as arp_broadcast_fraction,
+    , g as (select {K}, avg(gap) as gm, stddev_pop(gap) as gs from (select {K}, (us - lag(us) over (partition by {K} order by us, packet_no)) / 1000000 as gap from w where is_arp = 1) group by all),
+    u as (select {K}, count(distinct arp_sender_mac) as unique_sender_macs, count(distinct arp_target_ip) as unique_target_ips, count(distinct arp_target_mac) as unique_target_macs from w where is_arp = 1 group by all),
+    bc as (select {K}, max(bin_conflicting_senders) as max_conflicting_senders_bin, max(bin_conflicting_targets) as max_conflicting_targets_bin from ({SQL['bins_arp']}) group by all), mb as (select {K}, max_bin_pkts, median_bin_pkts from ({SQL['window_burst']}))
+    select {K}, round(bytes / {_SECONDS}, 6) as bytes_per_s, round(arp / {_SECONDS}, 6) as arp_pkts_per_s, round(rep / {_SECONDS}, 6) as arp_reply_rate, round(grat / {_SECONDS}, 6) as arp_gratuitous_rate, round(coalesce(gm, 0) + 1e-9, 6) as arp_iat_mean, round(coalesce(gs, 0) + 1e-9, 6) as arp_iat_std,
+    coalesce(unique_sender_macs, 0) as unique_sender_macs, coalesce(unique_target_ips, 0) as unique_target_ips, coalesce(unique_target_macs, 0) as unique_target_macs, round(coalesce(i.rt, 0), 6) as conflict_ratio_ips_per_mac, coalesce(max_bin_pkts, 0) as max_bin_pkts, coalesce(median_bin_pkts, 0) as median_bin_pkts,
+    coalesce(max_conflicting_senders_bin, 0) as max_conflicting_senders_bin, coalesce(max_conflicting_targets_bin, 0) as max_conflicting_targets_bin,
+    round(pkts / {_SECONDS}, 6) as pkts_per_s, round(bytes * (arp / pkts) / {_SECONDS}, 6) as arp_bytes_per_s, round(arp / pkts, 6) as arp_fraction, round(req / {_SECONDS}, 6) as arp_request_rate, round(grat / greatest(arp, 1), 6) as arp_gratuitous_fraction, round(to_all / greatest(req, 1), 6) as arp_broadcast_fraction,
     round(rep / greatest(req, 1), 6) as arp_reply_to_request_ratio, round(req / greatest(rep, 1), 6) as arp_request_to_reply_ratio, pairs as unique_sender_target_pairs, sips as unique_sender_ips, coalesce(c.mx, 0) as max_claims_per_ip, round(coalesce(c.mn, 0), 6) as mean_claims_per_ip, round(coalesce(c.rt, 0), 6) as conflict_ratio_claims_per_ip,
     coalesce(i.mx, 0) as max_ips_per_mac, round(coalesce(i.mn, 0), 6) as mean_ips_per_mac, round(coalesce(r1.rt, 0), 6) as reply_conflict_ratio, round(coalesce(r2.rt, 0), 6) as target_reply_conflict_ratio
-    from t left join c using (capture, window_index) left join i using (capture, window_index) left join r1 using (capture, window_index) left join r2 using (capture, window_index)""")
+    from t left join c using (capture, window_index) left join i using (capture, window_index) left join r1 using (capture, window_index) left join r2 using (capture, window_index)
+    left join g using (capture, window_index) left join u using (capture, window_index) left join bc using (capture, window_index) left join mb using (capture, window_index)""")
 def arp_static(spark, sf_dir):
     d = ft.arp_static(windowed(spark, sf_dir), WIDTH, BINS)
-    real = ("pkts_per_s", "arp_bytes_per_s", "arp_fraction", "arp_request_rate", "arp_gratuitous_fraction", "arp_broadcast_fraction", "arp_reply_to_request_ratio", "arp_request_to_reply_ratio", "mean_claims_per_ip", "conflict_ratio_claims_per_ip", "mean_ips_per_mac", "reply_conflict_ratio", "target_reply_conflict_ratio")
-    return d.select(*KEY, *[rounded(F.col(c)).alias(c) for c in real], "unique_sender_target_pairs", "unique_sender_ips", "max_claims_per_ip", "max_ips_per_mac")
+    whole = [c for c in d.columns if c.startswith(("unique_", "max_"))]
+    gaps = ["arp_iat_mean", "arp_iat_std"]
+    real = [c for c in d.columns if c not in (*KEY, *whole, *gaps, "median_bin_pkts")]
+    return d.select(*KEY, *whole, F.col("median_bin_pkts").cast("double").alias("median_bin_pkts"), *[rounded(F.col(c) + 1e-9).alias(c) for c in gaps], *[rounded(F.col(c)).alias(c) for c in real])
 
 
 @query(f"""{WINDOWED}, {_conflict_sql('c', K, 'arp_sender_ip', 'arp_sender_mac')}, {_conflict_sql('i', K, 'arp_sender_mac', 'arp_sender_ip')}, {_conflict_sql('g', K, 'arp_target_ip', 'arp_sender_mac')},
-    t as (select {K}, count(*) as pkts, count(*) filter (is_arp = 1) as arp, sum(case when is_arp = 1 then len else 0 end) as ab, count(*) filter (is_arp = 1 and arp_opcode = 1) as req, count(*) filter (is_arp = 1 and arp_opcode = 2) as rep, count(*) filter (is_arp = 1 and arp_is_gratuitous = 1) as grat, count(distinct arp_sender_ip || '>' || arp_sender_mac) filter (is_arp = 1) as pairs from w group by all)
-    select {K}, round(ab / {_SECONDS}, 6) as arp_bytes_per_s, req as arp_requests, rep as arp_replies, round(coalesce(grat / nullif(arp, 0), 0), 6) as gratuitous_fraction, round(coalesce(rep / nullif(req, 0), 0), 6) as reply_to_request_ratio, round(coalesce(req / nullif(rep, 0), 0), 6) as request_to_reply_ratio, pairs as unique_sender_pairs,
-    coalesce(c.mx, 0) as max_claims_per_ip, round(coalesce(c.mn, 0), 6) as mean_claims_per_ip, round(coalesce(c.rt, 0), 6) as conflict_ratio_claims_per_ip, coalesce(i.mx, 0) as max_ips_per_mac, round(coalesce(i.rt, 0), 6) as conflict_ratio_ips_per_mac, round(coalesce(g.rt, 0), 6) as target_conflict_ratio
-    from t left join c using (capture, window_index) left join i using (capture, window_index) left join g using (capture, window_index)""")
+    x as (select {K}, avg(gap) as gm, stddev_pop(gap) as gs from (select {K}, (us - lag(us) over (partition by {K} order by us, packet_no)) / 1000000 as gap from w where is_arp = 1) group by all),
+    t as (select {K}, count(*) as pkts, sum(len) as bytes, count(*) filter (is_arp = 1) as arp, sum(case when is_arp = 1 then len else 0 end) as ab, count(*) filter (is_arp = 1 and arp_opcode = 1) as req, count(*) filter (is_arp = 1 and arp_opcode = 2) as rep, count(*) filter (is_arp = 1 and arp_is_gratuitous = 1) as grat,
+      count(distinct arp_sender_ip || '>' || arp_target_ip) filter (is_arp = 1) as unique_sender_target_pairs, {', '.join(f'count(distinct arp_{n}) filter (is_arp = 1) as unique_{n}s' for n in ('sender_ip', 'sender_mac', 'target_ip', 'target_mac'))} from w group by all)
+    select {K}, {', '.join(f'round({v} / {_SECONDS}, 6) as {n}' for n, v in (('pkts_per_s', 'pkts'), ('bytes_per_s', 'bytes'), ('arp_pkts_per_s', 'arp'), ('arp_bytes_per_s', 'ab'), ('arp_request_rate', 'req'), ('arp_reply_rate', 'rep'), ('arp_gratuitous_rate', 'grat')))},
+    round(arp / pkts, 6) as arp_fraction, round(coalesce(grat / nullif(arp, 0), 0), 6) as arp_gratuitous_fraction, round(coalesce(rep / nullif(req, 0), 0), 6) as arp_reply_to_request_ratio, round(coalesce(req / nullif(rep, 0), 0), 6) as arp_request_to_reply_ratio,
+    round(coalesce(gm, 0) + 1e-9, 6) as arp_iat_mean, round(coalesce(gs, 0) + 1e-9, 6) as arp_iat_std, unique_sender_ips, unique_sender_macs, unique_target_ips, unique_target_macs, unique_sender_target_pairs,
+    coalesce(c.mx, 0) as max_claims_per_ip, round(coalesce(c.mn, 0), 6) as mean_claims_per_ip, round(coalesce(c.rt, 0), 6) as conflict_ip_ratio, coalesce(i.mx, 0) as max_ips_per_mac, round(coalesce(i.mn, 0), 6) as mean_ips_per_mac, round(coalesce(i.rt, 0), 6) as sender_conflict_ratio, round(coalesce(g.rt, 0), 6) as target_conflict_ratio
+    from t left join c using (capture, window_index) left join i using (capture, window_index) left join g using (capture, window_index) left join x using (capture, window_index)""")
 def arp_static_seq(spark, sf_dir):
     d = ft.arp_static_seq(windowed(spark, sf_dir), WIDTH)
-    real = ("arp_bytes_per_s", "gratuitous_fraction", "reply_to_request_ratio", "request_to_reply_ratio", "mean_claims_per_ip", "conflict_ratio_claims_per_ip", "conflict_ratio_ips_per_mac", "target_conflict_ratio")
-    return d.select(*KEY, *[rounded(F.col(c)).alias(c) for c in real], "arp_requests", "arp_replies", "unique_sender_pairs", "max_claims_per_ip", "max_ips_per_mac")
+    whole = [c for c in d.columns if c.startswith(("unique_", "max_"))]
+    gaps = ["arp_iat_mean", "arp_iat_std"]
+    real = [c for c in d.columns if c not in (*KEY, *whole, *gaps)]
+    return d.select(*KEY, *whole, *[rounded(F.col(c) + 1e-9).alias(c) for c in gaps], *[rounded(F.col(c)).alias(c) for c in real])
 
 
 _FLOW = ("src_ip", "dst_ip", "src_port", "dst_port")
@@ -217,12 +243,12 @@ _FLONG = " union all ".join(f"select {K}, '{c}' as name, {c}::varchar as value f
     hw as (select {K}, {', '.join(f"round(max(case when name = '{c}' then h end), 6) as {c}_entropy, max(case when name = '{c}' then u end) as unique_{c}s" for c in _FLOW)} from h group by all),
     g as (select {K}, round(coalesce(avg(gap), 0), 6) as mean_iat, round(coalesce(stddev_samp(gap), 0), 6) as std_iat from (select {K}, (us - lag(us) over (partition by {K} order by packet_no)) / 1000000 as gap from w) group by all),
     t as (select {K}, count(*) as pkt_count, sum(len)::bigint as byte_count, round(avg(len), 6) as mean_pkt_len, round(coalesce(stddev_samp(len), 0), 6) as std_pkt_len, min(len) as min_pkt_len, max(len) as max_pkt_len, sum(is_tcp)::bigint as tcp_count, sum(is_udp)::bigint as udp_count, sum(is_icmp)::bigint as icmp_count,
-      round(count(*) / {_SECONDS}, 6) as pps, round(8 * sum(len) / {_SECONDS}, 6) as bps, round(sum(is_tcp) / count(*), 6) as tcp_ratio from w group by all)
+      round(count(*) / {_SECONDS}, 6) as pps, round(8 * sum(len) / {_SECONDS}, 6) as bps, round(sum(is_tcp) / count(*), 6) as tcp_ratio, round(sum(is_udp) / count(*), 6) as udp_ratio, round(sum(is_icmp) / count(*), 6) as icmp_ratio, {', '.join(f'sum({f})::bigint as {f}' for f in ('tcp_syn', 'tcp_ack', 'tcp_rst', 'tcp_fin'))} from w group by all)
     select * from t join g using (capture, window_index) join hw using (capture, window_index)""")
 def flow_features(spark, sf_dir):
     d = ft.flow(windowed(spark, sf_dir), WIDTH)
-    real = ("mean_pkt_len", "std_pkt_len", "pps", "bps", "tcp_ratio", "mean_iat", "std_iat", *[f"{c}_entropy" for c in _FLOW])
-    return d.select(*KEY, "pkt_count", "byte_count", "min_pkt_len", "max_pkt_len", "tcp_count", "udp_count", "icmp_count", *[rounded(F.col(c)).alias(c) for c in real], *[f"unique_{c}s" for c in _FLOW])
+    real = ("mean_pkt_len", "std_pkt_len", "pps", "bps", "tcp_ratio", "udp_ratio", "icmp_ratio", "mean_iat", "std_iat", *[f"{c}_entropy" for c in _FLOW])
+    return d.select(*KEY, "pkt_count", "byte_count", "min_pkt_len", "max_pkt_len", "tcp_count", "udp_count", "icmp_count", "tcp_syn", "tcp_ack", "tcp_rst", "tcp_fin", *[rounded(F.col(c)).alias(c) for c in real], *[f"unique_{c}s" for c in _FLOW])
 
 
 @query(f"{WINDOWED} select {K}, src_mac as host, count(*) as cnt from w group by all")

@@ -163,11 +163,11 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def dos_packets(raw: DataFrame) -> DataFrame:
     """The columns that the DoS features read. A packet's length is its IP length; a SYN is any packet with that flag."""
     flags = F.coalesce("tcp_flags", F.lit(0))
-    syn, ack = flags.bitwiseAND(2) != 0, flags.bitwiseAND(16) != 0
+    fin, syn, rst, ack = (flags.bitwiseAND(bit) != 0 for bit in (1, 2, 4, 16))
     text = F.decode(F.col("payload"), "ISO-8859-1")
     candidate = (F.col("is_udp") == 1) & ((F.col("dst_port") == net.SSDP_PORT) | net.is_ssdp_address(F.col("dst_ip")))
     s = F.when(candidate, net.ssdp(text))
-    return raw.select("*", F.col("ip_len").alias("len"), syn.cast("int").alias("tcp_syn"), (syn & ack).cast("int").alias("tcp_synack"), s["method"].alias("ssdp_method"), s["st"].alias("ssdp_st"), s["man"].alias("ssdp_man"), s["user_agent"].alias("ssdp_user_agent"))
+    return raw.select("*", F.col("ip_len").alias("len"), syn.cast("int").alias("tcp_syn"), (syn & ack).cast("int").alias("tcp_synack"), *[c.cast("int").alias(f"tcp_{n}") for n, c in (("ack", ack), ("rst", rst), ("fin", fin))], s["method"].alias("ssdp_method"), s["st"].alias("ssdp_st"), s["man"].alias("ssdp_man"), s["user_agent"].alias("ssdp_user_agent"))
 
 
 def arp_packets(raw: DataFrame, broadcast_is_gratuitous: bool = True) -> DataFrame:

@@ -28,6 +28,8 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
     kind = F.col("event_type")
     tcp, udp = kind.isin("click", "signup"), kind.isin("view", "purchase")
+    method = F.when((kind == "view") & (F.col("k") < 50), "M-SEARCH").when((kind == "purchase") & (F.col("k") < 50), "200-OK")
+    search, numbered = method == "M-SEARCH", lambda name, of: F.concat(F.lit(name), F.expr(of).cast("string"))
     return e.select(
         "packet_no",
         "us",
@@ -43,7 +45,13 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         (kind == "error").cast("int").alias("is_icmp"),
         tcp.cast("int").alias("tcp_syn"),
         (kind == "signup").cast("int").alias("tcp_synack"),
-        F.when((kind == "view") & (F.col("k") < 50), "M-SEARCH").when((kind == "purchase") & (F.col("k") < 50), "200-OK").alias("ssdp_method"),
+        (tcp & F.expr("event_type = 'signup' or packet_no % 3 = 0")).cast("int").alias("tcp_ack"),
+        (tcp & F.expr("packet_no % 11 = 0")).cast("int").alias("tcp_rst"),
+        (tcp & F.expr("packet_no % 7 = 1")).cast("int").alias("tcp_fin"),
+        method.alias("ssdp_method"),
+        F.when(method.isNotNull(), numbered("st-", "u % 5")).alias("ssdp_st"),
+        F.when(search, numbered("man-", "k % 3")).alias("ssdp_man"),
+        F.when(search & F.expr("packet_no % 2 = 0"), numbered("agent-", "u % 4")).alias("ssdp_user_agent"),
         F.expr("cast(u % 7 + 58 as int)").alias("ttl"),
         F.expr("cast(packet_no % 5 <> 0 as int)").alias("is_arp"),
         F.when(kind == "error", 1).otherwise(2).alias("arp_opcode"),
