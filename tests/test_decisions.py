@@ -57,36 +57,43 @@ def test_verdicts_agree_with_plain_machine(spark, cfg):
     assert got == {c: slow_verdict(rows, cfg, isinstance(cfg, dc.DosConfig)) for c, rows in data.items()}
 
 
-def arp_windows(spark, rows):
-    df = spark.createDataFrame([("c", i, float(i), *r) for i, r in enumerate(rows)], "capture string, window_index long, start double, prob double, arp_replies long, reply_conflict_macs long")
-    return dc.verdict(dc.arp_gate(df), dc.ArpConfig()).first()
-
-
-def test_arp_cases(spark):
-    quiet = (0.2, 0, 0)
-    assert arp_windows(spark, [quiet] * 10).decision == "normal"
-    v = arp_windows(spark, [quiet] * 5 + [(0.85, 3, 1), (0.82, 2, 1)])
-    # the promoting window gives the time, not the first high one
-    assert (v.decision, v.attack_windows, v.first_attack, v.reasons) == ("attack", 2, 6.0, ["arp_replies", "mac_conflict"])
-    assert arp_windows(spark, [(0.9, 5, 0)] * 4).decision == "normal"
-    # isolated high windows never make a cluster of two
-    assert arp_windows(spark, [(0.9, 3, 1), quiet, (0.9, 3, 1), quiet]).decision == "normal"
-
-
-def test_dos_cases(spark):
-    names = "pkts_per_s max_bin_pkts median_bin_pkts udp_ssdp_req_over_resp udp_1900_fraction H_src_ip H_dst_port H_ttl".split()
-    quiet, strong = (0.1, 20.0, 3.0, 2.0, 1.0, 0.0, 4.0, 4.0, 2.0), (0.92, 2200.0, 300.0, 250.0, 25.0, 0.9, 4.0, 4.0, 2.0)
-    discovery = (0.65, 40.0, 5.0, 3.0, 2.0, 0.6, 4.0, 4.0, 2.0)
-
-    def run(rows):
-        df = spark.createDataFrame([("c", i, float(i), *r) for i, r in enumerate(rows)], f"capture string, window_index long, start double, prob double, {', '.join(f'{n} double' for n in names)}")
-        return dc.verdict(dc.dos_gate(df, dc.baselines(df)), dc.DosConfig()).first()
-
-    assert run([quiet] * 30).decision == "normal"
-    v = run([quiet] * 10 + [strong] * 6 + [quiet] * 9)
-    assert (v.decision, v.first_attack, v.attack_windows, v.reasons) == ("attack", 12.0, 6, ["rate spike", "asymmetry"])
-    assert run(([quiet] * 5 + [strong]) * 3).decision == "normal"
-    assert run([quiet] * 10 + [discovery] * 5).decision == "normal"
+def test_arp_gate_and_verdict(spark):
+    """Random windows: both kinds of evidence open the gate, and the verdict is the plain machine's."""
+    rng = random.Random(11)
+    cfg = dc.ArpConfig()
+    data = {f"c{n}": [(rng.choice([0.1, 0.6, 0.8, 0.99]), rng.randrange(5), rng.choice([0, 1, 2, None])) for _ in range(rng.randint(1, 40))] for n in range(30)}
+    df = spark.createDataFrame([(c, i, float(i), *r) for c, rows in data.items() for i, r in enumerate(rows)], "capture string, window_index long, start double, prob double, arp_replies long, reply_conflict_macs long")
+    gated = dc.arp_gate(df)
+    for r in gated.collect():
+        evidence = [n for n, on in (("arp_replies", r.arp_replies >= 2), ("mac_conflict", (r.reply_conflict_macs or 0) >= 1)) if on]
+        assert (r.gate_ok, r.gate_reasons) == (len(evidence) == 2, evidence)
+    got = {r.capture: (r.decision, r.first_attack, r.attack_windows) for r in dc.verdict(gated, cfg).collect()}
+    assert got == {c: slow_verdict([(float(i), p, a >= 2 and (m or 0) >= 1, 0.0) for i, (p, a, m) in enumerate(rows)], cfg, False) for c, rows in data.items()}
+
+
+GATES = {
+    # what a window shows beyond a quiet one, and the reasons that open the gate (none: it stays closed)
+    "spike and burst": ({"pkts_per_s": 170.0, "total_pkts": 500.0, "max_bin_pkts": 90.0, "median_bin_pkts": 30.0}, ["rate spike", "burstiness"]),
+    "spike alone": ({"pkts_per_s": 170.0}, []),
+    "discovery without anything else": ({"udp_1900_fraction": 0.8, "ssdp_notify_count": 9.0}, []),
+    "spike with discovery": ({"pkts_per_s": 165.0, "udp_1900_fraction": 0.6}, ["SSDP dominance", "SSDP notify-dominant", "rate spike"]),
+    "spike with repeated headers": ({"pkts_per_s": 165.0, "udp_1900_fraction": 0.3, "ssdp_200ok_count": 5.0, "ssdp_header_repetition": 1.0}, ["SSDP header repetition", "rate spike"]),
+    "spike with SYN": ({"pkts_per_s": 165.0, "tcp_syn_rate": 250.0, "tcp_syn_count": 100.0, "tcp_synack_completion": 0.05}, ["TCP SYN surge", "Low SYN-ACK completion", "rate spike"]),
+    "lopsided and few sources": ({"pkts_per_s": 80.0, "total_pkts": 150.0, "udp_ssdp_req_over_resp": 12.0, "H_src_ip": 0.5}, ["asymmetry", "entropy collapse"]),
+    "slow": ({"pkts_per_s": 30.0, "udp_1900_fraction": 0.9}, []),
+}
+
+
+def test_dos_gate(spark):
+    base = spark.createDataFrame([("c", 100.0, 10.0, 1.0, 1.0, 1.0, 20.0)], "capture string, pkts_med double, pkts_sigma double, H_src_ip_p10 double, H_dst_port_p10 double, H_ttl_p10 double, median_bin_pkts_med double")
+    quiet = {"pkts_per_s": 100.0, "total_pkts": 50.0, "max_bin_pkts": 25.0, "median_bin_pkts": 20.0, "udp_ssdp_req_over_resp": 1.0, "tcp_syn_over_synack": 1.0, "udp_1900_fraction": 0.0, "ssdp_notify_count": 0.0, "ssdp_msearch_count": 0.0, "ssdp_200ok_count": 0.0, "ssdp_multicast_hit": 0.0, "ssdp_header_repetition": 0.0, "tcp_syn_rate": 0.0, "tcp_syn_count": 0.0, "tcp_synack_completion": 1.0, "H_src_ip": 3.0, "H_dst_port": 3.0, "H_ttl": 3.0}
+    rows = [("c", i, *(quiet | seen).values()) for i, (seen, _) in enumerate(GATES.values())]
+    df = spark.createDataFrame(rows, "capture string, window_index long, " + ", ".join(f"{n} double" for n in quiet))
+    got = [(r.gate_ok, r.gate_reasons) for r in dc.dos_gate(df, base).orderBy("window_index").collect()]
+    assert got == [(bool(why), why) for _, why in GATES.values()]
+    # a baseline of its own windows: a level stream has no spike
+    level = dc.dos_gate(df.where("window_index = 1"), dc.baselines(df.where("window_index = 1"))).first()
+    assert not level.gate_ok
 
 
 def test_sequence_gate(spark):

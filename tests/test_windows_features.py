@@ -75,68 +75,90 @@ def test_sequences_and_chunks(spark):
     assert [r.history for r in win.history(rows.where("capture = 'c'"), "v", 3, F.lit(0)).orderBy("window_index").collect()][:3] == [[0, 0, 0], [0, 0, 10], [0, 10, 20]]
 
 
-def test_flow_entropies(spark):
-    rows = spark.createDataFrame(
-        [("c", 0, i, t, 100, *x) for i, (t, *x) in enumerate([
-            (100_000, 1, 0, 0, 1, 0, "10.0.0.1", "10.0.0.2", 1234, 80), (200_000, 1, 0, 0, 0, 1, "10.0.0.1", "10.0.0.2", 1234, 80),
-            (300_000, 0, 1, 0, 0, 0, "10.0.0.3", "10.0.0.4", 5000, 53), (400_000, 0, 1, 0, 0, 0, "10.0.0.3", "10.0.0.5", 5001, 53)])],
-        "capture string, window_index long, packet_no long, us long, len long, is_tcp int, is_udp int, is_icmp int, tcp_syn int, tcp_synack int, src_ip string, dst_ip string, src_port int, dst_port int",
-    )
-    r = ft.flow(rows, SECOND).first()
-    assert (r.pkt_count, r.unique_src_ips, r.src_ip_entropy, r.dst_ip_entropy, r.src_port_entropy, r.dst_port_entropy) == (4, 2, 1.0, 1.5, 1.5, 1.0)
-    assert r.mean_iat == pytest.approx(0.1) and r.tcp_syn == 1 and r.tcp_ratio == 0.5 and r.std_pkt_len == 0.0
-
-
-DOS = "capture string, window_index long, packet_no long, us long, w_start long, len long, is_udp int, is_tcp int, is_icmp int, dst_port int, tcp_syn int, tcp_synack int, ssdp_method string, src_ip string, dst_ip string, src_mac string, ttl int"
+def test_flow(spark):
+    """Six packets of two seconds; expected values worked out by hand."""
+    names = "capture string, window_index long, packet_no long, us long, len long, is_tcp int, is_udp int, is_icmp int, tcp_syn int, tcp_ack int, tcp_rst int, tcp_fin int, src_ip string, dst_ip string, src_port int, dst_port int"
+    rows = [
+        (0, 40, 1, 0, 0, 1, 0, 0, 0, "a", "x", 1, 443),
+        (250_000, 1500, 1, 0, 0, 0, 1, 0, 0, "a", "x", 1, 443),
+        (700_000, 60, 1, 0, 0, 0, 1, 0, 1, "b", "x", 2, 443),
+        (700_000, 60, 0, 1, 0, 0, 0, 0, 0, "b", "x", 3, 53),
+        (1_500_000, 90, 0, 1, 0, 0, 0, 0, 0, "c", "y", 4, 53),
+        (1_900_000, 250, 0, 0, 1, 0, 0, 0, 0, "c", "z", None, None),
+    ]
+    r = ft.flow(spark.createDataFrame([("c", 0, i, *x) for i, x in enumerate(rows)], names), 2 * SECOND).first()
+    assert (r.pkt_count, r.byte_count, r.pps, r.bps, r.tcp_ratio, r.min_pkt_len, r.max_pkt_len) == (6, 2000, 3.0, 8000.0, 0.5, 40, 1500)
+    assert (r.tcp_syn, r.tcp_ack, r.tcp_rst, r.tcp_fin) == (1, 2, 0, 1)
+    assert (r.unique_src_ips, r.unique_dst_ips, r.unique_src_ports, r.unique_dst_ports) == (3, 3, 4, 2)
+    assert [r.src_ip_entropy, r.dst_ip_entropy, r.src_port_entropy, r.dst_port_entropy] == pytest.approx([1.584963, 1.251629, 1.921928, 0.970951], abs=1e-6)
+    assert (r.mean_iat, r.std_iat) == pytest.approx((0.38, 0.292831), abs=1e-6)
+
+
+DOS = "capture string, window_index long, packet_no long, us long, w_start long, len long, is_udp int, is_tcp int, is_icmp int, dst_port int, tcp_syn int, tcp_synack int, ssdp_method string, ssdp_st string, ssdp_man string, ssdp_user_agent string, src_ip string, dst_ip string, src_mac string, ttl int"
 
 
 def dos_rows(spark):
-    base = lambda i, us, udp, tcp, icmp, port, syn, m: ("c", 0, i, us, 0, 60, udp, tcp, icmp, port, syn, 0, m, "10.0.0.1", "10.0.0.2", "m1", 64)
-    return spark.createDataFrame([base(0, 0, 1, 0, 0, 1900, 0, "M-SEARCH"), base(1, 50_000, 1, 0, 0, 1900, 0, "M-SEARCH"), base(2, 100_000, 1, 0, 0, 1900, 0, "200-OK"), base(3, 300_000, 0, 1, 0, 80, 1, None), base(4, 400_000, 0, 0, 1, None, 0, None)], DOS)
+    """Eight packets of one second: discovery, a name query, three SYN of which one is answered, a ping."""
+    udp, tcp, icmp, no = (1, 0, 0), (0, 1, 0), (0, 0, 1), (None, None, None, None)
+    rows = [
+        (100_000, 120, *udp, 1900, 0, 0, "M-SEARCH", "a", "d", "q", "s1", "v", "m1", 64),
+        (130_000, 120, *udp, 1900, 0, 0, "NOTIFY", "b", None, None, "s1", "v", "m1", 64),
+        (240_000, 300, *udp, 53, 0, 0, *no, "s2", "v", "m2", 128),
+        (300_000, 60, *tcp, 22, 1, 0, *no, "s2", "w", "m2", 128),
+        (610_000, 60, *tcp, 22, 1, 1, *no, "s3", "w", "m1", 64),
+        (620_000, 60, *tcp, 22, 1, 0, *no, "s3", "w", "m1", 64),
+        (990_000, 80, *icmp, None, 0, 0, *no, "s1", "w", "m3", 255),
+        (995_000, 200, *udp, 1900, 0, 0, "200-OK", "a", None, "", "s1", "v", "m1", 64),
+    ]
+    return spark.createDataFrame([("c", 0, i, us, 0, *x) for i, (us, *x) in enumerate(rows)], DOS)
 
 
 def test_dos_static(spark):
-    r = ft.dos_static(dos_rows(spark), SECOND, 12, (1900, 53)).first()
-    assert (r.pkts_per_s, r.bytes_per_s, r.udp_port_fraction, r.ssdp_msearch, r.ssdp_200ok, r.udp_ssdp_req_over_resp) == (5, 300, 1.0, 2, 1, 2.0)
-    # no SYN-ACK: the ratio over nothing is 0
-    assert r.tcp_syn_over_synack == 0.0 and r.src_mac_dominance == 1.0 and r.max_bin_pkts == 2
+    r = ft.dos_static(dos_rows(spark), SECOND, 4, (1900, 53)).first()
+    assert (r.pkts_per_s, r.bytes_per_s, r.udp_port_fraction, r.ssdp_msearch, r.ssdp_notify, r.ssdp_200ok) == (8, 1000, 0.75, 1, 1, 1)
+    assert (r.tcp_syn_over_synack, r.udp_ssdp_req_over_resp, r.src_mac_dominance, r.max_bin_pkts, r.gini_pkts) == (3.0, 1.0, 0.625, 3, 0.1875)
+    assert [r.H_ST, r.H_MAN, r.H_USER_AGENT, r.H_ttl] == pytest.approx([0.918296, 0, 0, 1.298795], abs=1e-6)
+    # nothing answered: the ratio over nothing is 0
+    assert ft.ratios(dos_rows(spark).where("tcp_synack = 0"), 1900).first().tcp_syn_over_synack == 0.0
 
 
 def test_dos_bins(spark):
-    b = {r.bin: r for r in ft.dos_bins(dos_rows(spark), SECOND, 12, (1900, 53)).collect()}
-    assert (b[0].bin_total_pkts, b[0].bin_total_bytes, b[0].bin_udp_pkts_dst_1900, b[0].bin_ssdp_msearch) == (2, 120, 2, 2)
-    assert b[3].bin_tcp_syn == 1 and b[4].bin_icmp_pkts == 1 and b[1].bin_ssdp_response == 1
-    m = ft.matrix(ft.dos_bins(dos_rows(spark), SECOND, 12, (1900, 53)), 12, ["bin_total_pkts", "bin_tcp_pkts"]).first().seq
-    assert len(m) == 24 and m[:4] == [2.0, 0.0, 1.0, 0.0]
+    binned = ft.dos_bins(dos_rows(spark), SECOND, 4, (1900, 53))
+    b = {r.bin: r for r in binned.collect()}
+    assert (b[0].bin_total_pkts, b[0].bin_total_bytes, b[0].bin_udp_pkts, b[0].bin_udp_pkts_dst_1900, b[0].bin_udp_pkts_dst_53, b[0].bin_ssdp_msearch) == (3, 540, 3, 2, 1, 1)
+    assert (b[2].bin_tcp_pkts, b[2].bin_tcp_syn, b[2].bin_tcp_synack, b[3].bin_icmp_pkts, b[3].bin_ssdp_response) == (2, 2, 1, 1, 1)
+    assert ft.matrix(binned, 4, ["bin_total_pkts", "bin_tcp_pkts"]).first().seq == [3.0, 0.0, 1.0, 1.0, 2.0, 2.0, 2.0, 0.0]
 
 
 ARP = "capture string, window_index long, packet_no long, us long, w_start long, len long, is_arp int, arp_opcode int, arp_sender_ip string, arp_sender_mac string, arp_target_ip string, arp_target_mac string, arp_is_gratuitous int"
 
 
-def arp_rows(spark, rows):
-    return spark.createDataFrame([("c", 0, i, i * 10_000, 0, 42, 1, *r) for i, r in enumerate(rows)], ARP)
+def arp_rows(spark):
+    """Two questions and four answers, 50 ms apart: two machines answer for i9, one machine for i9 and i5."""
+    rows = [(1, "i1", "m1", "i9", "00:00:00:00:00:00", 0), (2, "i9", "m2", "i1", "m1", 0), (2, "i9", "m3", "i1", "m1", 0), (2, "i5", "m3", "i4", "m4", 1), (1, "i2", "m1", "i9", "ff:ff:ff:ff:ff:ff", 0), (2, "i9", "m2", None, "m1", 0)]
+    return spark.createDataFrame([("c", 0, i, i * 50_000, 0, 64, 1, *r) for i, r in enumerate(rows)], ARP)
 
 
 def test_arp_static(spark):
-    z = "00:00:00:00:00:00"
-    rows = arp_rows(spark, [(1, "10.0.0.10", "aa", "10.0.0.254", z, 0), (2, "10.0.0.10", "aa", "10.0.0.1", "bb", 0), (2, "10.0.0.20", "aa", "10.0.0.2", "bb", 0)])
-    r = ft.arp_static(rows, SECOND, 8).first()
-    assert (r.arp_reply_rate, r.conflict_ratio_ips_per_mac, r.max_ips_per_mac, r.arp_broadcast_fraction, r.reply_conflict_ratio) == (2, 1.0, 2, 1.0, 1.0)
+    r = ft.arp_static(arp_rows(spark), SECOND, 5).first()
+    assert (r.arp_request_rate, r.arp_reply_rate, r.arp_broadcast_fraction, r.arp_reply_to_request_ratio, r.unique_sender_target_pairs) == (2, 4, 1.0, 2.0, 5)
+    assert (r.max_claims_per_ip, r.max_ips_per_mac, r.reply_conflict_ratio, r.target_reply_conflict_ratio) == (2, 2, 0.5, 0.5)
+    assert [r.mean_claims_per_ip, r.conflict_ratio_claims_per_ip, r.mean_ips_per_mac, r.conflict_ratio_ips_per_mac, r.arp_gratuitous_fraction] == pytest.approx([4 / 3, 1 / 3, 5 / 3, 2 / 3, 1 / 6])
 
 
 def test_arp_sequence_set(spark):
-    rows = arp_rows(spark, [(1, ".10", "aa", ".254", "z", 0), (2, ".1", "aa", ".10", "b", 1), (2, ".1", "11", ".10", "b", 0), (2, ".2", "22", ".10", "b", 0), (2, ".1", "11", ".10", "b", 0), (2, ".2", "22", ".10", "b", 0)])
-    r = ft.arp_static_seq(rows, SECOND).first()
-    assert (r.arp_fraction, r.arp_requests, r.arp_replies, r.max_claims_per_ip) == (1.0, 1, 5, 2)
-    assert r.mean_claims_per_ip == pytest.approx(4 / 3) and r.conflict_ratio_claims_per_ip == pytest.approx(1 / 3)
-    assert r.max_ips_per_mac == 2 and r.conflict_ratio_ips_per_mac == pytest.approx(1 / 3) and r.gratuitous_fraction == pytest.approx(1 / 6)
+    r = ft.arp_static_seq(arp_rows(spark), 2 * SECOND).first()
+    assert len(r) == 27
+    assert (r.arp_fraction, r.arp_request_rate, r.arp_reply_rate, r.arp_gratuitous_rate, r.arp_bytes_per_s, r.arp_reply_to_request_ratio, r.arp_request_to_reply_ratio) == (1.0, 1.0, 2.0, 0.5, 192.0, 2.0, 0.5)
+    assert (r.unique_sender_ips, r.unique_sender_macs, r.unique_target_ips, r.unique_target_macs, r.unique_sender_target_pairs) == (4, 3, 3, 4, 5)
+    assert (r.max_claims_per_ip, r.mean_claims_per_ip, r.conflict_ip_ratio, r.max_ips_per_mac) == (2, 1.25, 0.25, 2)
+    assert [r.mean_ips_per_mac, r.sender_conflict_ratio, r.target_conflict_ratio, r.arp_iat_mean, r.arp_iat_std] == pytest.approx([5 / 3, 2 / 3, 1 / 3, 0.05, 0.0])
 
 
 def test_arp_bins(spark):
-    m = "aa:aa:aa:aa:aa:01"
-    rows = arp_rows(spark, [(1, "10.0.0.1", m, "10.0.0.9", "z", 1), (2, "10.0.0.1", m, "10.0.0.9", "z", 0), (2, "10.0.0.2", m, "10.0.0.9", "z", 0)])
-    r = ft.arp_bins(rows, SECOND, 8).first()
-    assert (r.bin, r.bin_replies, r.bin_requests, r.bin_conflicting_senders, r.bin_sender_ips, r.bin_gratuitous) == (0, 2, 1, 1, 2, 1)
+    first, second = ft.arp_bins(arp_rows(spark), SECOND, 5).orderBy("bin").collect()
+    assert (first.bin, first.bin_requests, first.bin_replies, first.bin_conflicting_senders, first.bin_conflicting_targets, first.bin_sender_ips, first.bin_gratuitous) == (0, 1, 3, 1, 1, 3, 1)
+    assert (second.bin, second.bin_pkts, second.bin_bytes, second.bin_conflicting_senders) == (1, 2, 128, 0)
 
 
 def test_gini_and_interpolation(spark):
