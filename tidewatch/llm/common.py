@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where nothing is set it must be set first
-    (``SparkContext.setCheckpointDir`` will do): a folder of one machine would lose tables on a cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where nothing is set, a session that is one process on one machine (tests, a laptop) gets a folder of that machine; a cluster has
+    to set one, since its machines don't share theirs.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set: the corpus operators need a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: the corpus operators need a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
