@@ -15,10 +15,14 @@ from tidewatch.operators import score as sc
 
 
 def test_intervals_label_windows(spark):
-    w = spark.createDataFrame([("c", i, float(i), float(i + 1)) for i in range(5)], "capture string, window_index int, start double, end double")
-    iv = spark.createDataFrame([("c", 1.5, 3.2, "ssdp", 0), ("c", 3.0, 4.0, "syn", 1)], "capture string, start double, end double, family string, interval_no int")
-    rows = jn.label_intervals(w, iv).orderBy("window_index").collect()
-    assert [(r.attack, r.family) for r in rows] == [(0, "normal"), (1, "ssdp"), (1, "ssdp"), (1, "ssdp"), (0, "normal")]
+    """Random intervals, overlapping and touching: a window takes the family of the first in the file's order that it overlaps."""
+    rng = random.Random(4)
+    spans = [(a := rng.randrange(0, 40) / 2, a + rng.randrange(1, 9) / 2, f"f{i % 3}", i) for i in range(7)]
+    w = spark.createDataFrame([(c, i, float(i), float(i + 1)) for c in "cd" for i in range(25)], "capture string, window_index int, start double, end double")
+    iv = spark.createDataFrame([("c", *s) for s in spans], "capture string, start double, end double, family string, interval_no int")
+    for r in jn.label_intervals(w, iv).collect():
+        hits = [f for a, b, f, _ in spans if r.capture == "c" and a < r.end and b > r.start]
+        assert (r.attack, r.family) == (int(bool(hits)), hits[0] if hits else "normal")
 
 
 def test_file_labels(spark):
@@ -135,15 +139,13 @@ def test_run_filter(spark, cooldown):
 
 
 def test_host_ranking(spark):
-    counts = spark.createDataFrame([("c", 0, "aa", 3), ("c", 0, "bb", 1), ("c", 1, "aa", 2), ("c", 1, "cc", 2)], "capture string, window_index long, host string, cnt long")
-    scores = spark.createDataFrame([("c", 0, 0.9, True), ("c", 1, 0.5, False)], "capture string, window_index long, score double, is_attack boolean")
-    rows = at.ranked(at.host_activity(counts, scores)).orderBy("rank").collect()
-    assert [r.host for r in rows] == ["aa", "cc", "bb"] or [r.host for r in rows] == ["aa", "bb", "cc"]
-    by = {r.host: r for r in rows}
-    assert (by["aa"].total_packets, by["aa"].attack_packets, by["aa"].attack_windows) == (5, 3, 1)
-    assert by["aa"].suspicion == pytest.approx(2.73) and by["aa"].mean_score == pytest.approx(0.74)
-    assert by["bb"].suspicion == pytest.approx(0.91) and by["cc"].suspicion == pytest.approx(0.5)
-    assert [r.host for r in rows] == ["aa", "bb", "cc"]
+    """Three hosts over three windows, worked out by hand."""
+    counts = spark.createDataFrame([("c", 4, "p", 6), ("c", 4, "q", 1), ("c", 5, "q", 3), ("c", 5, "r", 4), ("c", 6, "p", 2)], "capture string, window_index long, host string, cnt long")
+    scores = spark.createDataFrame([("c", 4, 0.8, True), ("c", 5, 0.3, False), ("c", 6, 0.75, True)], "capture string, window_index long, score double, is_attack boolean")
+    by = {r.host: r for r in at.ranked(at.host_activity(counts, scores)).collect()}
+    assert [(by[h].total_packets, by[h].attack_packets, by[h].attack_windows) for h in "pqr"] == [(8, 8, 2), (4, 1, 1), (4, 0, 0)]
+    assert [by[h].mean_score for h in "pqr"] == pytest.approx([(6 * 0.8 + 2 * 0.75) / 8, (0.8 + 3 * 0.3) / 4, 0.3])
+    assert by["p"].rank == 1 and by["p"].suspicion > by["q"].suspicion > by["r"].suspicion
 
 
 def test_claims(spark):

@@ -22,15 +22,16 @@ def counts(df):
 
 
 def test_first_policy_windows_and_bins(spark):
-    w = win.assign(packets_at(spark, [i * 50_000 for i in range(30)]), SECOND, SECOND // 2, "first")
-    assert counts(w) == {0: 20, 1: 20, 2: 10}
-    assert {r.b for r in w.select(win.microbin(SECOND, 10).alias("b")).collect()} == set(range(10))
+    w = win.assign(packets_at(spark, [i * 125_000 for i in range(14)]), SECOND, SECOND // 4, "first")
+    assert counts(w) == {0: 8, 1: 8, 2: 8, 3: 8, 4: 6, 5: 4, 6: 2}
+    assert {r.b for r in w.select(win.microbin(SECOND, 4).alias("b")).collect()} == set(range(4))
 
 
 def test_aligned_policy(spark):
-    w = win.assign(packets_at(spark, [100_000, 600_000, 1_100_000, 1_600_000, 2_100_000]), SECOND, SECOND // 2, "aligned")
-    assert counts(w) == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1}
-    assert {r.w_start for r in w.collect()} == {0, 500_000, 1_000_000, 1_500_000, 2_000_000}
+    # the first packet is at 0.7 s, so windows of 0.9 s begin at multiples of 0.3 s from 0.6 s
+    w = win.assign(packets_at(spark, [700_000, 1_450_000, 1_500_000, 2_399_999]), 900_000, 300_000, "aligned")
+    assert counts(w) == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1, 5: 1}
+    assert {r.w_start for r in w.collect()} == {600_000, 900_000, 1_200_000, 1_500_000, 1_800_000, 2_100_000}
 
 
 def test_empty_windows_are_kept(spark):
@@ -196,9 +197,9 @@ def test_addresses(spark):
 
 
 def test_ssdp(spark):
-    texts = ['M-SEARCH * HTTP/1.1\r\nMAN: "ssdp:discover"\r\nST: upnp:rootdevice\r\nUSER-AGENT: TestAgent/1.0\r\n\r\n', "HTTP/1.1 200 OK\r\nST: upnp:rootdevice\r\n\r\n", "", None, "GET /", "NOTIFY *\r\nST: a\r\n st : b:c \r\n"]
+    texts = ['M-SEARCH * HTTP/1.1\r\nHOST: x\r\nMAN: "all"\r\nUser-Agent: probe 7\r\nST: urn:lamp\r\n\r\n', "HTTP/1.1 200 OK\r\nEXT:\r\nst: urn:door\r\n\r\n", "", None, "GET /", "NOTIFY *\r\nST: a\r\n st : b:c \r\n"]
     got = [tuple(r.s) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(net.ssdp(F.col("t")).alias("s")).collect()]
-    assert got == [("M-SEARCH", "upnp:rootdevice", '"ssdp:discover"', "TestAgent/1.0"), ("200-OK", "upnp:rootdevice", None, None), ("NONE", None, None, None), ("NONE", None, None, None), ("OTHER", None, None, None), ("NOTIFY", "b:c", None, None)]
+    assert got == [("M-SEARCH", "urn:lamp", '"all"', "probe 7"), ("200-OK", "urn:door", None, None), ("NONE", None, None, None), ("NONE", None, None, None), ("OTHER", None, None, None), ("NOTIFY", "b:c", None, None)]
 
 
 def test_rounded(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, shared by all executors; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-")
+    """A new folder below ``spark.checkpoint.dir``, shared by all executors. Where that is unset, a local one, and only for a session
+    on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: streams need a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidewatch-")
     return f"{root.rstrip('/')}/stream/{label}-{uuid.uuid4().hex}"
 
 
