@@ -121,6 +121,44 @@ def dos_static(rows: DataFrame, width: int, bins: int, ports) -> DataFrame:
     return out.withColumnRenamed("top_src_mac", "src_mac_dominance")
 
 
+#: Where discovery requests are sent: groups, and the link addresses of multicast (fixed values).
+DISCOVERY_GROUPS, GROUP_MACS = ("239.255.255.250", "ff02::c", "ff0e::c"), ("33:33:", "01:00:5e")
+DISCOVERY_PORT = 1900
+
+
+def gate_snapshots(rows: DataFrame, width: int, bins: int, port: int = DISCOVERY_PORT, groups=DISCOVERY_GROUPS) -> DataFrame:
+    """What the plausibility gate (decide.dos_gate) looks at: a row a window, from one aggregation of the packets and one of their value counts.
+
+    Discovery counts and the share are of UDP packets with the port on either side. A completion without any SYN is over a millionth;
+    requests over answers have a denominator of at least 1. Without a dst_mac column only addresses tell a multicast.
+    """
+    c, no = F.col, F.lit(False)
+    udp, of = c("is_udp") == 1, lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("double")
+    found = udp & F.coalesce((c("dst_port") == port) | (c("src_port") == port), no)
+    cast = F.coalesce(F.lower("dst_ip").isin(*(g.lower() for g in groups)), no)
+    if "dst_mac" in rows.columns:
+        for start in GROUP_MACS:
+            cast = cast | F.coalesce(F.lower("dst_mac").startswith(start), no)
+    method = F.upper("ssdp_method")
+    kind = F.when(method.contains("NOTIFY"), "NOTIFY").when(method.contains("M-SEARCH"), "M-SEARCH").when(method.contains("200"), "200-OK")
+    seen = lambda name: F.count_if(found & (kind == name)).cast("double")
+    place = microbin(width, bins)
+    t = rows.groupBy(*KEY).agg(
+        F.count("*").cast("double").alias("total_pkts"), of("is_udp").alias("total_udp"), of("is_tcp").alias("total_tcp"), of("tcp_syn").alias("tcp_syn_count"), of("tcp_synack").alias("synack"),
+        F.max(cast.cast("double")).alias("ssdp_multicast_hit"), F.count_if(found).alias("found"),
+        *[seen(name).alias(out) for name, out in (("M-SEARCH", "ssdp_msearch_count"), ("200-OK", "ssdp_200ok_count"), ("NOTIFY", "ssdp_notify_count"))],
+        F.array_sort(F.array(*[F.count_if(place == i) for i in range(bins)])).alias("bins"),
+    )
+    s = width / MICROS
+    t = t.select(
+        *KEY, "total_pkts", "total_udp", "total_tcp", (c("total_pkts") / s).alias("pkts_per_s"), ((c("bins")[(bins - 1) // 2] + c("bins")[bins // 2]) / 2).alias("median_bin_pkts"), c("bins")[bins - 1].cast("double").alias("max_bin_pkts"),
+        "tcp_syn_count", (c("tcp_syn_count") / s).alias("tcp_syn_rate"), (c("synack") / (c("tcp_syn_count") + 1e-6)).alias("tcp_synack_completion"), ratio(c("tcp_syn_count"), c("synack")).alias("tcp_syn_over_synack"),
+        "ssdp_multicast_hit", (c("found") / F.greatest(c("total_udp"), F.lit(1.0))).alias("udp_1900_fraction"), "ssdp_msearch_count", "ssdp_200ok_count", "ssdp_notify_count",
+        ((c("ssdp_msearch_count") + c("ssdp_notify_count")) / F.greatest(c("ssdp_200ok_count"), F.lit(1.0))).alias("udp_ssdp_req_over_resp"),
+    )
+    return t.join(distributions(rows, ["src_ip", "dst_port", "ttl"]).select(*KEY, "H_src_ip", "H_dst_port", "H_ttl"), KEY, "left")
+
+
 def dos_bins(rows: DataFrame, width: int, bins: int, ports) -> DataFrame:
     """Per-bin DoS features, a row for each bin that has packets; TCP before UDP before ICMP where flags overlap."""
     udp = (F.col("is_tcp") == 0) & (F.col("is_udp") == 1)

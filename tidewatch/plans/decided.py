@@ -227,6 +227,56 @@ def fsm_dos(spark, sf_dir):
     return dc.verdict(dc.dos_gate(s, dc.baselines(s)), dc.DosConfig()).drop("reasons")
 
 
+#: The gate's whole view. Ports are folded to three and some requests turned into notices, so that discovery is a fair share; scaled as above.
+_SEEN = f"""{WINDOWED}, x as (select * replace (dst_port % 3 as dst_port, case when ssdp_method = 'M-SEARCH' and packet_no % 3 = 0 then 'NOTIFY' else ssdp_method end as ssdp_method) from w),
+    t as (select {K}, count(*) as total_pkts, sum(is_udp) as total_udp, sum(is_tcp) as total_tcp, sum(tcp_syn) as tcp_syn_count, sum(tcp_synack) as synack, bool_or(dst_ip = '10.1.0.3')::int as ssdp_multicast_hit, count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1)) as found,
+      count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = 'M-SEARCH') as ssdp_msearch_count, count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = '200-OK') as ssdp_200ok_count,
+      count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = 'NOTIFY') as ssdp_notify_count from x group by all),
+    b as (select {K}, unnest(range({BINS})) as i from t), bc as (select b.capture, b.window_index, i, count(x.us) as n from b left join x on x.capture = b.capture and x.window_index = b.window_index and x.bin = b.i group by all),
+    bm as (select {K}, max(n)::double as max_bin_pkts, quantile_cont(n, 0.5)::double as median_bin_pkts from bc group by all),
+    lv as (select {K}, 'H_src_ip' as name, src_ip as v from x union all select {K}, 'H_dst_port', dst_port::varchar from x union all select {K}, 'H_ttl', ttl::varchar from x), lc as (select {K}, name, v, count(*) as n from lv group by all),
+    lh as (select {K}, name, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as h from lc group by all), hw as (select {K}, max(case when name = 'H_src_ip' then h end) as H_src_ip, max(case when name = 'H_dst_port' then h end) as H_dst_port, max(case when name = 'H_ttl' then h end) as H_ttl from lh group by all),
+    sn as (select {K}, total_pkts::double as total_pkts, total_udp::double as total_udp, total_tcp::double as total_tcp, round(total_pkts / ({WIDTH} / 1000000), 6) as pkts_per_s, median_bin_pkts, max_bin_pkts, tcp_syn_count::double as tcp_syn_count, round(tcp_syn_count / ({WIDTH} / 1000000), 6) as tcp_syn_rate,
+      round(synack / (tcp_syn_count + 1e-6), 6) as tcp_synack_completion, round(case when synack = 0 then 0 else tcp_syn_count / synack end, 6) as tcp_syn_over_synack, ssdp_multicast_hit::double as ssdp_multicast_hit, round(found / greatest(total_udp, 1), 6) as udp_1900_fraction,
+      ssdp_msearch_count::double as ssdp_msearch_count, ssdp_200ok_count::double as ssdp_200ok_count, ssdp_notify_count::double as ssdp_notify_count, round((ssdp_msearch_count + ssdp_notify_count) / greatest(ssdp_200ok_count, 1), 6) as udp_ssdp_req_over_resp, H_src_ip, H_dst_port, H_ttl
+      from t join bm using (capture, window_index) join hw using (capture, window_index))"""
+
+
+@query(f"{_SEEN} select * from sn")
+def gate_snapshots(spark, sf_dir):
+    rows = windowed(spark, sf_dir)
+    notice = (F.col("ssdp_method") == "M-SEARCH") & (F.col("packet_no") % 3 == 0)
+    rows = rows.withColumns({"dst_port": F.col("dst_port") % 3, "ssdp_method": F.when(notice, "NOTIFY").otherwise(F.col("ssdp_method"))})
+    s = ft.gate_snapshots(rows, WIDTH, BINS, 1, ("10.1.0.3",))
+    real = ("pkts_per_s", "tcp_syn_rate", "tcp_synack_completion", "tcp_syn_over_synack", "udp_1900_fraction", "udp_ssdp_req_over_resp", "H_src_ip", "H_dst_port", "H_ttl")
+    return s.withColumns({c: rounded(F.col(c)) for c in real})
+
+
+_HINTS = f"""{_SEEN}, sc as (select * replace (total_pkts * 4 as pkts_per_s, total_pkts * 10 as total_pkts, tcp_syn_count * 20 as tcp_syn_rate, tcp_syn_count * 10 as tcp_syn_count, ssdp_notify_count * 3 as ssdp_notify_count, tcp_synack_completion / 4 as tcp_synack_completion) from sn),
+    rk as (select *, row_number() over (partition by capture order by pkts_per_s, window_index) as rn, count(*) over (partition by capture) as n from sc), qt as (select * from rk where rn <= greatest(100, floor(n * 0.6))),
+    m1 as (select capture, quantile_cont(pkts_per_s, 0.5) as med, quantile_cont(H_src_ip, 0.1) as h1, quantile_cont(H_dst_port, 0.1) as h2, quantile_cont(H_ttl, 0.1) as h3, quantile_cont(median_bin_pkts, 0.5) as mb from qt group by capture),
+    m2 as (select capture, quantile_cont(abs(pkts_per_s - med), 0.5) as mad from qt join m1 using (capture) group by capture), bs as (select m1.*, case when mad > 0 then mad * 1.4826 else 1.0 end as sigma from m1 join m2 using (capture)),
+    g as (select sc.*, pkts_per_s < 50 as slow, ssdp_notify_count + ssdp_msearch_count as asked, ssdp_multicast_hit <> 0 as hit,
+      [case when case when pkts_per_s < 50 then pkts_per_s >= med + 8 * sigma and pkts_per_s >= 25 else pkts_per_s >= med + 6 * sigma end or pkts_per_s >= 1500 then 'rate spike' end,
+       case when (udp_ssdp_req_over_resp >= 10 and (total_pkts >= case when pkts_per_s < 50 then 60 else 40 end or pkts_per_s >= 60)) or (tcp_syn_over_synack >= 10 and (tcp_syn_count >= case when pkts_per_s < 50 then 60 else 40 end or pkts_per_s >= 60)) then 'asymmetry' end,
+       case when total_pkts >= 100 and (H_src_ip <= h1 or H_dst_port <= h2 or H_ttl <= h3) then 'entropy collapse' end,
+       case when total_pkts >= 120 and max_bin_pkts >= 3 * case when median_bin_pkts <= 0 then greatest(1.0, mb) else median_bin_pkts end then 'burstiness' end] as g0 from sc join bs using (capture)),
+    r as (select {K}, slow, list_filter(g0, lambda z: z is not null) as generic,
+      list_filter([case when udp_1900_fraction >= 0.5 then 'SSDP dominance' end, case when hit and asked >= 3 then 'SSDP multicast' end, case when udp_ssdp_req_over_resp >= 10 and asked >= 5 then 'SSDP asymmetry' end,
+       case when (ssdp_notify_count >= 8 and ssdp_200ok_count <= 1 and udp_1900_fraction >= 0.3) or (pkts_per_s >= 80 and ssdp_200ok_count = 0 and ssdp_msearch_count <= 2 and udp_1900_fraction >= 0.3) then 'SSDP notify-dominant' end], lambda z: z is not null) as ssdp,
+      list_filter([case when tcp_syn_rate >= 200 or (tcp_syn_over_synack >= 10 and tcp_syn_count >= 100) then 'TCP SYN surge' end, case when tcp_syn_count >= 100 and tcp_synack_completion <= 0.1 then 'Low SYN-ACK completion' end], lambda z: z is not null) as surge from g),
+    k as (select *, len(generic) >= 2 as several, not slow and len(generic) >= 1 and len(ssdp) + len(surge) > 0 as hinted from r)"""
+
+
+@query(f"{_HINTS} select {K}, several or hinted as gate_ok, array_to_string(case when several then generic when hinted then list_concat(case when len(ssdp) > 0 then ssdp else surge end, generic) else [] end, ',') as gate_reasons from k")
+def gate_hints(spark, sf_dir):
+    """The gate over whole snapshots, with the branches of discovery and of SYN floods."""
+    s = gate_snapshots(spark, sf_dir)
+    n = F.col
+    s = s.withColumns({"pkts_per_s": n("total_pkts") * 4, "total_pkts": n("total_pkts") * 10, "tcp_syn_rate": n("tcp_syn_count") * 20, "tcp_syn_count": n("tcp_syn_count") * 10, "ssdp_notify_count": n("ssdp_notify_count") * 3, "tcp_synack_completion": n("tcp_synack_completion") / 4})
+    return dc.dos_gate(s, dc.baselines(s)).select(*KEY, "gate_ok", F.array_join("gate_reasons", ",").alias("gate_reasons"))
+
+
 _RUNS = f"""{SCORED}, o as (select *, row_number() over (partition by capture order by window_index) as rw from sc), fl as (select *, prob >= 0.5 as flag, rw - sum((prob >= 0.5)::int) over (partition by capture order by window_index) as g from o),
     rn as (select capture, g, min(window_index) as first_window, max(window_index) as last_window, count(*) as length, max(prob) as max_score from fl where flag group by all)"""
 
