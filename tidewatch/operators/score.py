@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.train import Fit, train
+
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
@@ -149,34 +151,10 @@ def fuse(df: DataFrame, scores: list[str], label: str) -> tuple[dict[str, float]
     return train_logistic(df, scores, label, 1.0 / max(1, df.count()))
 
 
-def train_autoencoder(df: DataFrame, array: str, sizes: list[int], sample: int = 20_000, epochs: int = 30, rate: float = 1e-3, noise: float = 0.05, seed: int = 0):
-    """A denoising autoencoder on a bounded sample of rows (by hash), trained with Adam. Returns its layers."""
-    n = max(1, df.count())
-    part = df.where(F.pmod(F.xxhash64(array), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20))).select(array).toPandas()
-    x = np.stack(part[array].to_numpy()).astype(np.float64)
-    rng = np.random.default_rng(seed)
-    dims = [x.shape[1], *sizes, *sizes[-2::-1], x.shape[1]]
-    layers = [[rng.normal(0, np.sqrt(2 / a), (b, a)), np.zeros(b)] for a, b in zip(dims[:-1], dims[1:], strict=True)]
-    moment = [[np.zeros_like(v) for v in layer * 2] for layer in layers]
-    step = 0
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
-            clean = x[rows]
-            acts = [clean + rng.normal(0, noise, clean.shape)]
-            for i, (w, b) in enumerate(layers):
-                z = acts[-1] @ w.T + b
-                acts.append(_relu(z) if i + 1 < len(layers) else z)
-            g = 2 * (acts[-1] - clean) / clean.size
-            step += 1
-            for i in range(len(layers) - 1, -1, -1):
-                grads = (g.T @ acts[i], g.sum(axis=0))
-                g = (g @ layers[i][0]) * (acts[i] > 0) if i else g
-                for k in (0, 1):
-                    m, v = moment[i][k], moment[i][k + 2]
-                    m += 0.1 * (grads[k] - m)
-                    v += 0.001 * (grads[k] ** 2 - v)
-                    layers[i][k] = layers[i][k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return [(w, b) for w, b in layers]
+def train_autoencoder(df: DataFrame, array: str, sizes: list[int], epochs: int = 30, rate: float = 1e-3, noise: float = 0.05, seed: int = 0):
+    """A denoising autoencoder trained on all rows (operators.train). Returns its layers."""
+    how = Fit(rounds=epochs, rate=rate, noise=noise, seed=seed)
+    return train(df, array, [*sizes, *sizes[-2::-1]], how=how)[0]
 
 
 def permutation_importance(df: DataFrame, columns: list[str], score: Column, key: str) -> DataFrame:
