@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import small_batches, spans
+from tidewatch.llm.common import given_back, small_batches, spans
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers.
 BATCH_BYTES, REMEMBERED = 2 << 20, 150_000
@@ -445,7 +445,7 @@ def codec(path: str) -> Codec:
 def encoded(batches, path: str):
     """For batches of (key, text): keys, ids, bounds of bounded slices."""
     tool = codec(path)
-    for batch in batches:
+    for batch in given_back(batches):
         keys, texts = batch.column(0), batch.column(1).cast(pa.large_string())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         for i, j in spans(sizes.tolist(), BATCH_BYTES):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,17 @@ def small_batches(spark: SparkSession, limit: int = 2 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
+def given_back(parts):
+    """The items of an iterator; at its end the worker, which lives on between tasks, returns freed memory to the machine, so that
+    the next stage's Java heap finds it."""
+    yield from parts
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """Its columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

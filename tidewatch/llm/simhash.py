@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import columns_of, discard, fresh, may_be_in, small_batches, stored
+from tidewatch.llm.common import columns_of, discard, fresh, given_back, may_be_in, small_batches, stored
 from tidewatch.llm.components import components
 
 #: Production parameters: words in a shingle, hash seed, linked distance, bucket size from which a second covering deals anew.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, key:
     small_batches(docs.sparkSession)
 
     def work(batches):
-        for batch in batches:
+        for batch in given_back(batches):
             texts = batch.column(1).cast(pa.large_binary())
             fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
