@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import ratio
+from tidewatch.operators.ordered import quantiles, running
 
 
 def by_score(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -16,10 +16,13 @@ def by_score(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def pr_curve(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score as threshold; curves of different keys apart."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    down = w.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = by_score(rows, list(keys)).withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(w)})
-    return c.select(*keys, "score", "p", "n", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"))
+    keys = list(keys)
+    counts = by_score(rows, keys)
+    total = counts.groupBy(*keys).agg(F.sum("p").alias("all_p"))
+    c = running(counts, keys, "score", {"tp": (F.sum, "p"), "fp": (F.sum, "n")}, descending=True).alias("c")
+    # without keys the total is one row
+    c = c.join(total.alias("t"), F.expr(" and ".join(f"c.`{k}` <=> t.`{k}`" for k in keys))) if keys else c.join(F.broadcast(total))
+    return c.select(*[F.col(f"c.`{k}`") for k in keys], "score", "p", "n", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"))
 
 
 def metrics(rows: DataFrame, keys: list[str] = (), threshold: float = 0.5) -> DataFrame:
@@ -74,4 +77,6 @@ def latency(detections: DataFrame) -> DataFrame:
     """Seconds from an attack's start to its detection, never below 0: count, mean and 95th percentile. Accepts either name of the detection's time."""
     at = [F.col(c) for c in ("first_attack", "first_attack_timestamp", "first_attack_window_ts") if c in detections.columns]
     gap = F.coalesce(*at).cast("double") - F.col("attack_start").cast("double")
-    return detections.select(gap.alias("g")).where("g is not null").select(F.greatest("g", F.lit(0.0)).alias("g")).agg(F.count("*").alias("count"), F.coalesce(F.avg("g"), F.lit(0.0)).alias("mean"), F.coalesce(F.percentile("g", 0.95), F.lit(0.0)).alias("p95"))
+    gaps = detections.select(gap.alias("g")).where("g is not null").select(F.greatest("g", F.lit(0.0)).alias("g"))
+    p95 = quantiles(gaps, ["g"], [0.95]).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("p95"))
+    return gaps.agg(F.count("*").alias("count"), F.coalesce(F.avg("g"), F.lit(0.0)).alias("mean")).join(F.broadcast(p95))

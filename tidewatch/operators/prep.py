@@ -1,4 +1,4 @@
-"""Cleaning, scaling, splitting and thresholds. Fits are one aggregation each; parameters are small rows."""
+"""Cleaning, scaling, splitting and thresholds. Fits are aggregations and exact quantiles in parts; parameters are small rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.stats import interpolated, percentile
+from tidewatch.functions.stats import interpolated
+from tidewatch.operators.ordered import quantile_values, quantiles
 
 
 def finite(c: Column) -> Column:
@@ -40,8 +41,7 @@ def fit_scaler(df: DataFrame, columns: list[str], kind: str = "robust") -> Scale
     """robust: median and interquartile range (plus 1e-9; 1 where it is 0); robust_plain: without the 1e-9;
     standard: mean and population deviation; minmax: least value and range. Constant columns have scale 1."""
     if kind in ("robust", "robust_plain"):
-        row = df.agg(*[percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-        found = {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in columns if row[c]}
+        found = {c: (m, (high - low) or 1.0) for c, (low, m, high) in quantile_values(df, columns, [0.25, 0.5, 0.75]).items()}
         extra = 1e-9 if kind == "robust" else 0.0
         return Scaler({c: float(m) for c, (m, _) in found.items()}, {c: float(s) + extra for c, (_, s) in found.items()})
     if kind == "standard":
@@ -54,8 +54,8 @@ def fit_scaler(df: DataFrame, columns: list[str], kind: str = "robust") -> Scale
 
 
 def fit_clip(df: DataFrame, columns: list[str], low: float = 0.001, high: float = 0.999) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[percentile(F.col(c), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    return {c: (float(row[c][0]), float(row[c][1])) for c in columns}
+    found = quantile_values(df, columns, [low, high])
+    return {c: tuple(found[c]) for c in columns}
 
 
 def clip(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -114,7 +114,7 @@ def project(df: DataFrame, columns: list[str], means: np.ndarray, components: np
 # thresholds
 
 def quantile_threshold(df: DataFrame, error: str, q: float) -> float:
-    return float(df.agg(percentile(F.col(error), q)).first()[0])
+    return quantile_values(df, [error], [q])[error][0]
 
 
 def gaussian_threshold(df: DataFrame, error: str, k: float) -> float:
@@ -124,14 +124,17 @@ def gaussian_threshold(df: DataFrame, error: str, k: float) -> float:
 
 def trimmed(df: DataFrame, error: str, q: float) -> DataFrame:
     """Rows up to the quantile."""
-    return df.join(F.broadcast(df.agg(percentile(F.col(error), q).alias("trim_at"))), F.col(error) <= F.col("trim_at")).drop("trim_at")
+    return df.join(F.broadcast(quantiles(df, [error], [q]).select(F.col("value").alias("trim_at"))), F.col(error) <= F.col("trim_at")).drop("trim_at")
 
 
 def error_stats(df: DataFrame, error: str) -> DataFrame:
     """mean, population deviation, median, median absolute deviation and upper quantiles: one row."""
-    first = df.agg(F.avg(error).alias("mean"), F.stddev_pop(error).alias("std"), percentile(F.col(error), F.array(*map(F.lit, (0.5, 0.99, 0.995, 0.999)))).alias("q"))
-    mad = df.join(F.broadcast(first.select(F.col("q")[0].alias("m")))).agg(percentile(F.abs(F.col(error) - F.col("m")), 0.5).alias("mad"))
-    return first.select("mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("q99"), F.col("q")[2].alias("q995"), F.col("q")[3].alias("q999")).join(F.broadcast(mad))
+    shares = {"median": 0.5, "q99": 0.99, "q995": 0.995, "q999": 0.999}
+    q = quantiles(df, [error], list(shares.values())).agg(*[F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for n, x in shares.items()])
+    apart = df.join(F.broadcast(q.select("median"))).select(F.abs(F.col(error) - F.col("median")).alias("apart"))
+    mad = quantiles(apart, ["apart"], [0.5]).agg(F.max("value").alias("mad"))
+    first = df.agg(F.avg(error).alias("mean"), F.stddev_pop(error).alias("std"))
+    return first.join(F.broadcast(q)).join(F.broadcast(mad))
 
 
 def generalized_pareto(excess: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordered import running
+
 
 def check(width: int, hop: int) -> None:
     if width <= 0 or hop <= 0:
@@ -53,9 +55,9 @@ def assign_arrival(packets: DataFrame, width: int, hop: int, order: str = "packe
     ``order`` gives the arrival; the anchor is the first arrival's time.
     """
     check(width, hop)
-    before = W.partitionBy("capture").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     first = packets.groupBy("capture").agg(F.min_by("us", order).alias("u0"))
-    rows = packets.withColumn("seen", F.max("us").over(before)).join(first, "capture").where("us >= u0")
+    seen = running(packets, ["capture"], order, {"seen": (F.max, "us")}, own=False)
+    rows = seen.join(first, "capture").where("us >= u0")
     rows = rows.withColumn("window_index", F.explode(indices(F.col("us") - F.col("u0"), width, hop)))
     open_ = F.col("seen").isNull() | (F.col("u0") + F.col("window_index") * hop + width > F.col("seen"))
     return rows.where(open_).withColumn("w_start", F.col("u0") + F.col("window_index") * hop).drop("u0", "seen")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.stats import rounded
 from tidewatch.operators import prep
 from tidewatch.operators import score as sc
+from tidewatch.operators.ordered import quantiles
 from tidewatch.plans.registry import query
 from tidewatch.sources.tables import table
 
@@ -71,8 +72,9 @@ _ERR = "er as (select vec_id, label::varchar as source, round((embedding[1]::dou
 
 @query(f"with {_ERR} select source, round(quantile_cont(error, 0.99), 8) as q99, round(quantile_cont(error, 0.995), 8) as q995, round(quantile_cont(error, 0.999), 8) as q999 from er group by source")
 def thr_quantile(spark, sf_dir):
-    q = errors(spark, sf_dir).groupBy("source").agg(F.percentile("error", F.array(*map(F.lit, (0.99, 0.995, 0.999)))).alias("q"))
-    return q.select("source", *[rounded(F.col("q")[i], 8).alias(n) for i, n in enumerate(("q99", "q995", "q999"))])
+    shares = {"q99": 0.99, "q995": 0.995, "q999": 0.999}
+    q = quantiles(errors(spark, sf_dir), ["error"], list(shares.values()), ["source"])
+    return q.groupBy("source").agg(*[rounded(F.max(F.when(F.col("q") == x, F.col("value"))), 8).alias(n) for n, x in shares.items()])
 
 
 @query(f"with {_ERR}, m as (select avg(error) as mean, stddev_pop(error) as std, quantile_cont(error, 0.5) as median, quantile_cont(error, 0.99) as q99 from er) select round(mean, 7) as mean, round(std, 7) as std, round(median, 8) as median, round((select quantile_cont(abs(error - median), 0.5) from er), 8) as mad, round(mean + 3 * std, 7) as threshold from m")
@@ -84,15 +86,17 @@ def thr_gaussian(spark, sf_dir):
 
 @query(f"with {_ERR}, t as (select quantile_cont(error, 0.9) as q from er), k as (select error from er, t where error <= q) select count(*) as kept, round(quantile_cont(error, 0.995), 8) as threshold from k")
 def thr_trim(spark, sf_dir):
-    return prep.trimmed(errors(spark, sf_dir), "error", 0.9).agg(F.count("*").alias("kept"), rounded(F.percentile("error", 0.995), 8).alias("threshold"))
+    kept = prep.trimmed(errors(spark, sf_dir), "error", 0.9)
+    return kept.agg(F.count("*").alias("kept")).join(F.broadcast(quantiles(kept, ["error"], [0.995]).select(rounded(F.col("value"), 8).alias("threshold"))))
 
 
 @query(f"""with {_ERR}, g as (select quantile_cont(error, 0.9) as trained, quantile_cont(error, 0.95) as stats_at from er), s as (select source, quantile_cont(error, 0.95) as source_at, quantile_cont(error, 0.5) as auto_at from er group by source)
     select source, round(least(greatest(trained, stats_at * 0.9, source_at * 0.95, least(auto_at * 3, trained * 1.2), 0.001), 0.5), 8) as threshold from s, g""")
 def thr_effective(spark, sf_dir):
     rows = errors(spark, sf_dir)
-    g = rows.agg(F.percentile("error", 0.9).alias("trained"), F.percentile("error", 0.95).alias("stats_at"))
-    s = rows.groupBy("source").agg(F.percentile("error", 0.95).alias("source_at"), F.percentile("error", 0.5).alias("auto_at"))
+    at = lambda q, name: F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
+    g = quantiles(rows, ["error"], [0.9, 0.95]).agg(at(0.9, "trained"), at(0.95, "stats_at"))
+    s = quantiles(rows, ["error"], [0.5, 0.95], ["source"]).groupBy("source").agg(at(0.95, "source_at"), at(0.5, "auto_at"))
     t = prep.effective_threshold(F.col("trained"), F.col("stats_at"), F.col("source_at"), F.col("auto_at"), stats_scale=0.9, source_scale=0.95, auto_scale=3.0, auto_cap=1.2, low=0.001, high=0.5)
     return s.join(F.broadcast(g)).select("source", rounded(t, 8).alias("threshold"))
 
