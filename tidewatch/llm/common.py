@@ -38,12 +38,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there,
-    nothing is computed twice, and a lost executor costs no more than the tasks it ran."""
+    nothing is computed twice, and a lost executor costs no more than the tasks it ran. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.options(**{"parquet.block.size": str(ROW_GROUP)} | (options or {})).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
     return back
