@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_url_verdicts": {"page_id", "host", "path", "rule", "verdict"},
     "op9_revisit_resolution": {"record_id", "resolved_id"},
     "op10_quality_classifier": {"doc_id", "perplexity", "kept"},
+    "op11_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op12_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op13_ranked_search": {"item_id", "rank", "doc_id", "score"},
 }
 
 
@@ -27,7 +30,7 @@ COLUMNS = {
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     rel = c.sql(queries.ORACLE_SQL[name])
