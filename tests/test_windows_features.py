@@ -117,8 +117,9 @@ def dos_rows(spark):
 def test_dos_static(spark):
     r = ft.dos_static(dos_rows(spark), SECOND, 4, (1900, 53)).first()
     assert (r.pkts_per_s, r.bytes_per_s, r.udp_port_fraction, r.ssdp_msearch, r.ssdp_notify, r.ssdp_200ok) == (8, 1000, 0.75, 1, 1, 1)
-    assert (r.tcp_syn_over_synack, r.udp_ssdp_req_over_resp, r.src_mac_dominance, r.max_bin_pkts, r.gini_pkts) == (3.0, 1.0, 0.625, 3, 0.1875)
+    assert (r.tcp_syn_over_synack, r.udp_ssdp_req_over_resp, r.src_mac_dominance, r.max_bin_pkts, r.gini_pkts) == (3.0, 2.0, 0.625, 3, 0.1875)
     assert [r.H_ST, r.H_MAN, r.H_USER_AGENT, r.H_ttl] == pytest.approx([0.918296, 0, 0, 1.298795], abs=1e-6)
+    assert (r.n_unique_src_ip, r.n_unique_dst_ip) == (3, 2)
     # nothing answered: the ratio over nothing is 0
     assert ft.ratios(dos_rows(spark).where("tcp_synack = 0"), 1900).first().tcp_syn_over_synack == 0.0
 

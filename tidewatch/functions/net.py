@@ -68,3 +68,10 @@ def ssdp(payload: Column) -> Column:
 
     safe = lambda name: F.when(F.exists(pairs, lambda s: F.upper(F.trim(F.substring_index(s, ":", 1))) == name), header(name))
     return F.struct(method.alias("method"), safe("ST").alias("st"), safe("MAN").alias("man"), safe("USER-AGENT").alias("user_agent"))
+
+
+def sniffed_method(payload: Column) -> Column:
+    """The discovery method that a payload (bytes) shows anywhere in its request or status line; null if none."""
+    text = F.upper(F.decode(payload, "ISO-8859-1"))
+    asks = lambda name: text.contains(f"{name} * HTTP/1.1") | text.startswith(f"{name} ")
+    return F.when(asks("NOTIFY"), "NOTIFY").when(asks("M-SEARCH"), "M-SEARCH").when(text.contains(" 200 OK"), "200-OK")

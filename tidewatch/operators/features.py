@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.functions.net import sniffed_method
 from tidewatch.functions.stats import entropy, gini, percentile, ratio
 from tidewatch.operators.windows import microbin
 
@@ -69,19 +70,29 @@ def distributions(rows: DataFrame, columns: list[str]) -> DataFrame:
     return whole.select(*KEY, *[F.coalesce(F.col(f"{p}{c}"), F.lit(0).cast("double" if p != "n_unique_" else "long")).alias(f"{p}{c}") for c in columns for p in ("H_", "n_unique_", "top_")])
 
 
+def discovery_asked() -> Column:
+    """Searches and notices of discovery over UDP, on any port."""
+    return F.count_if((F.col("is_udp") == 1) & F.col("ssdp_method").isin("M-SEARCH", "NOTIFY"))
+
+
+def discovery_answered() -> Column:
+    return F.count_if((F.col("is_udp") == 1) & (F.col("ssdp_method") == "200-OK"))
+
+
 def ratios(rows: DataFrame, port: int) -> DataFrame:
     """Request and response ratios. A packet with SYN and ACK counts as SYN too; ratios over nothing are 0.
 
-    The DNS and NTP ratios have no response counter behind them, so they are 0 throughout.
+    Searches and notices over UDP are what discovery answers are held against; the three counts take any packet with the method. The DNS and NTP ratios have no response counter behind them, so they are 0 throughout.
     """
     method = lambda m: F.count_if(F.col("ssdp_method") == m)
+    asked, answered = discovery_asked(), discovery_answered()
     udp, hit = F.sum("is_udp"), F.count_if((F.col("is_udp") == 1) & (F.col("dst_port") == port))
-    s = rows.groupBy(*KEY).agg(F.sum("tcp_syn").alias("syn"), F.sum("tcp_synack").alias("synack"), method("M-SEARCH").alias("ssdp_msearch"), method("NOTIFY").alias("ssdp_notify"), method("200-OK").alias("ssdp_200ok"), udp.alias("udp"), hit.alias("hit"))
+    s = rows.groupBy(*KEY).agg(F.sum("tcp_syn").alias("syn"), F.sum("tcp_synack").alias("synack"), method("M-SEARCH").alias("ssdp_msearch"), method("NOTIFY").alias("ssdp_notify"), method("200-OK").alias("ssdp_200ok"), udp.alias("udp"), hit.alias("hit"), asked.alias("asked"), answered.alias("answered"))
     c = F.col
     return s.select(
         *KEY,
         ratio(c("syn"), c("synack")).alias("tcp_syn_over_synack"),
-        ratio(c("ssdp_msearch"), c("ssdp_200ok")).alias("udp_ssdp_req_over_resp"),
+        ratio(c("asked"), c("answered")).alias("udp_ssdp_req_over_resp"),
         F.lit(0.0).alias("udp_dns_req_over_resp"),
         F.lit(0.0).alias("udp_ntp_req_over_resp"),
         ratio(c("hit"), c("udp")).alias("udp_port_fraction"),
@@ -129,8 +140,9 @@ DISCOVERY_PORT = 1900
 def gate_snapshots(rows: DataFrame, width: int, bins: int, port: int = DISCOVERY_PORT, groups=DISCOVERY_GROUPS) -> DataFrame:
     """What the plausibility gate (decide.dos_gate) looks at: a row a window, from one aggregation of the packets and one of their value counts.
 
-    Discovery counts and the share are of UDP packets with the port on either side. A completion without any SYN is over a millionth;
-    requests over answers have a denominator of at least 1. Without a dst_mac column only addresses tell a multicast.
+    Discovery counts and the share are of UDP packets with the port on either side; a packet without a method has the one that its payload
+    (where there is such a column) shows. Requests over answers are those of :func:`ratios`: on any port, by method only, 0 without answers.
+    A completion without any SYN is over a millionth. Without a dst_mac column only addresses tell a multicast.
     """
     c, no = F.col, F.lit(False)
     udp, of = c("is_udp") == 1, lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("double")
@@ -141,11 +153,13 @@ def gate_snapshots(rows: DataFrame, width: int, bins: int, port: int = DISCOVERY
             cast = cast | F.coalesce(F.lower("dst_mac").startswith(start), no)
     method = F.upper("ssdp_method")
     kind = F.when(method.contains("NOTIFY"), "NOTIFY").when(method.contains("M-SEARCH"), "M-SEARCH").when(method.contains("200"), "200-OK")
+    if "payload" in rows.columns:
+        kind = F.coalesce(kind, sniffed_method(c("payload").cast("binary")))
     seen = lambda name: F.count_if(found & (kind == name)).cast("double")
     place = microbin(width, bins)
     t = rows.groupBy(*KEY).agg(
         F.count("*").cast("double").alias("total_pkts"), of("is_udp").alias("total_udp"), of("is_tcp").alias("total_tcp"), of("tcp_syn").alias("tcp_syn_count"), of("tcp_synack").alias("synack"),
-        F.max(cast.cast("double")).alias("ssdp_multicast_hit"), F.count_if(found).alias("found"),
+        F.max(cast.cast("double")).alias("ssdp_multicast_hit"), F.count_if(found).alias("found"), discovery_asked().alias("asked"), discovery_answered().alias("answered"),
         *[seen(name).alias(out) for name, out in (("M-SEARCH", "ssdp_msearch_count"), ("200-OK", "ssdp_200ok_count"), ("NOTIFY", "ssdp_notify_count"))],
         F.array_sort(F.array(*[F.count_if(place == i) for i in range(bins)])).alias("bins"),
     )
@@ -154,7 +168,7 @@ def gate_snapshots(rows: DataFrame, width: int, bins: int, port: int = DISCOVERY
         *KEY, "total_pkts", "total_udp", "total_tcp", (c("total_pkts") / s).alias("pkts_per_s"), ((c("bins")[(bins - 1) // 2] + c("bins")[bins // 2]) / 2).alias("median_bin_pkts"), c("bins")[bins - 1].cast("double").alias("max_bin_pkts"),
         "tcp_syn_count", (c("tcp_syn_count") / s).alias("tcp_syn_rate"), (c("synack") / (c("tcp_syn_count") + 1e-6)).alias("tcp_synack_completion"), ratio(c("tcp_syn_count"), c("synack")).alias("tcp_syn_over_synack"),
         "ssdp_multicast_hit", (c("found") / F.greatest(c("total_udp"), F.lit(1.0))).alias("udp_1900_fraction"), "ssdp_msearch_count", "ssdp_200ok_count", "ssdp_notify_count",
-        ((c("ssdp_msearch_count") + c("ssdp_notify_count")) / F.greatest(c("ssdp_200ok_count"), F.lit(1.0))).alias("udp_ssdp_req_over_resp"),
+        ratio(c("asked"), c("answered")).alias("udp_ssdp_req_over_resp"),
     )
     return t.join(distributions(rows, ["src_ip", "dst_port", "ttl"]).select(*KEY, "H_src_ip", "H_dst_port", "H_ttl"), KEY, "left")
 

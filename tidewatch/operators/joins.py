@@ -13,13 +13,40 @@ from pyspark.sql import functions as F
 from tidewatch.functions.net import is_private_ipv4
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], least: Column, how: str = "inner") -> DataFrame:
+    """Rows of both whose keys are equal and whose half-open spans (numbers, of one unit) overlap, by buckets of time beside the keys.
+
+    A span of ``right`` stands in buckets of a power of two as wide as itself (and as ``least``, a number of the right row, at
+    the narrowest), so in two or three of them; a row of ``left`` looks into the buckets that it touches at each width that its key has. Spans that lie
+    apart in time never meet, however many a key has; a pair that shares several buckets is joined in the first of them only. ``right`` may not share column names
+    with ``left`` but for the keys; with ``how`` "left" rows that meet nothing stay (several times, where they touch several buckets).
+    """
+    a, b = (F.col(c) for c in left_span)
+    c, d = (F.col(x) for x in right_span)
+    touched = lambda low, high, width: F.sequence(F.floor(low / width).cast("long"), F.greatest(F.ceil(high / width) - 1, F.floor(low / width)).cast("long"))
+    wide = right.where(c < d).withColumn("__level", F.ceil(F.log2(F.greatest(d - c, least, F.lit(1)).cast("double"))).cast("int"))
+    widths = wide.groupBy(*keys).agg(F.array_sort(F.collect_set("__level")).alias("__levels"))
+    wide = wide.withColumn("__bucket", F.explode(touched(c, d, F.pow(F.lit(2.0), "__level"))))
+    near = left.join(widths, keys, how).withColumn("__level", F.explode_outer("__levels")).drop("__levels")
+    near = near.withColumn("__bucket", F.explode_outer(touched(a, b, F.pow(F.lit(2.0), "__level"))))
+    met = near.join(wide, [*keys, "__level", "__bucket"], how)
+    first = F.col("__bucket") == F.floor(F.greatest(a, c) / F.pow(F.lit(2.0), "__level"))
+    overlap = (F.greatest(a, c) < F.least(b, d)) & first
+    if how == "inner":
+        return met.where(overlap).drop("__level", "__bucket")
+    found = [x for x in right.columns if x not in keys]
+    return met.withColumns({x: F.when(overlap, F.col(x)) for x in found}).drop("__level", "__bucket")
+
+
 def label_intervals(windows: DataFrame, intervals: DataFrame, default: str = "normal") -> DataFrame:
     """Windows with attack (0/1) and family of the first interval, in file order, that they overlap; touching ends don't overlap.
 
-    ``windows``: capture, window_index, start, end. ``intervals``: capture, start, end, family, interval_no.
+    ``windows``: capture, window_index, start, end. ``intervals``: capture, start, end (null: open), family, interval_no. A window
+    is compared with the intervals near it in time only (:func:`overlapping`), not with all of its capture.
     """
-    i = intervals.select("capture", F.col("start").alias("i_start"), F.col("end").alias("i_end"), "family", "interval_no")
-    met = windows.join(i, (windows["capture"] == i["capture"]) & (F.greatest(windows["start"], i["i_start"]) < F.least(windows["end"], i["i_end"])), "left").drop(i["capture"])
+    span = windows.groupBy("capture").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.max(F.col("end") - F.col("start")).alias("width"))
+    i = intervals.join(span, "capture").select("capture", F.greatest("start", "low").alias("i_start"), F.least("end", "high").alias("i_end"), "width", "family", "interval_no")
+    met = overlapping(windows.select("capture", "window_index", "start", "end"), i, ["capture"], ("start", "end"), ("i_start", "i_end"), F.col("width"), "left")
     first = met.groupBy("capture", "window_index", "start", "end").agg(F.min_by("family", "interval_no").alias("family"), F.count("interval_no").alias("n"))
     return first.select("capture", "window_index", "start", "end", (F.col("n") > 0).cast("int").alias("attack"), F.coalesce("family", F.lit(default)).alias("family"))
 
@@ -31,19 +58,22 @@ def label_files(windows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("y", F.coalesce(hit, F.lit(False)).cast("int")).drop("attack_label", "attack_start")
 
 
-def campaign_match(packets: DataFrame, campaigns: DataFrame, day: Column) -> DataFrame:
+def campaign_match(packets: DataFrame, campaigns: DataFrame, day: Column, packet: tuple[str, ...] = ("capture", "packet_no")) -> DataFrame:
     """Packets with the campaign that they belong to: by source mac, destination mac, source address, destination
     address, in this order, then in list order; the packet's day within the campaign.
 
-    The four keys become rows of one equality join; the best match goes back by packet.
+    The four keys become rows of one join, by key and day (:func:`overlapping`: a device may have any number of campaigns); the best match goes back by
+    ``packet``, the columns that name one: numbers start anew in each capture.
     """
     rows = packets.withColumn("day", day)
     keys = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("kind"), F.col(c).alias("key")) for i, (k, c) in enumerate((("mac", "src_mac"), ("mac", "dst_mac"), ("ip", "src_ip"), ("ip", "dst_ip"))) if c in packets.columns])
-    long = rows.select("packet_no", "day", F.inline(keys)).where("key is not null")
-    c = campaigns.select("campaign_no", "device", F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.inline(F.array(F.struct(F.lit("mac").alias("kind"), F.col("mac").alias("key")), F.struct(F.lit("ip").alias("kind"), F.col("ip").alias("key")))))
-    met = long.join(c, ["kind", "key"]).where("day between c_start and c_end")
-    best = met.groupBy("packet_no").agg(F.min(F.struct("priority", "campaign_no", "device")).alias("b")).select("packet_no", F.col("b.campaign_no").alias("campaign_no"), F.col("b.priority").alias("matched_on"), F.col("b.device").alias("device"))
-    return rows.join(best, "packet_no", "left")
+    at = F.unix_date("day").cast("long")
+    long = rows.select(*packet, at.alias("at"), (at + 1).alias("next"), F.inline(keys)).where("key is not null")
+    both = F.inline(F.array(F.struct(F.lit("mac").alias("kind"), F.col("mac").alias("key")), F.struct(F.lit("ip").alias("kind"), F.col("ip").alias("key"))))
+    c = campaigns.select("campaign_no", "device", F.unix_date("start").cast("long").alias("c_start"), (F.unix_date("end").cast("long") + 1).alias("c_end"), both).where("key is not null")
+    met = overlapping(long, c, ["kind", "key"], ("at", "next"), ("c_start", "c_end"), F.lit(1))
+    best = met.groupBy(*packet).agg(F.min(F.struct("priority", "campaign_no", "device")).alias("b")).select(*packet, F.col("b.campaign_no").alias("campaign_no"), F.col("b.priority").alias("matched_on"), F.col("b.device").alias("device"))
+    return rows.join(best, list(packet), "left")
 
 
 def with_inventory(hosts: DataFrame, devices: DataFrame) -> DataFrame:
@@ -52,10 +82,10 @@ def with_inventory(hosts: DataFrame, devices: DataFrame) -> DataFrame:
     return hosts.join(d, "mac", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("Unknown-"), F.col("mac")))).withColumn("conn", F.coalesce("conn", F.lit("Unknown")))
 
 
-def first_seen(packets: DataFrame, ip: str = "src_ip", mac: str = "src_mac") -> DataFrame:
-    """For each private address the mac that used it first, in packet order."""
+def first_seen(packets: DataFrame, ip: str = "src_ip", mac: str = "src_mac", order: tuple[str, ...] = ("capture", "packet_no")) -> DataFrame:
+    """For each private address the mac that used it first: in packet order, capture after capture by name."""
     known = packets.where(F.col(ip).isNotNull() & F.col(mac).isNotNull() & is_private_ipv4(F.col(ip)))
-    return known.groupBy(F.col(ip).alias("ip")).agg(F.min_by(F.col(mac), "packet_no").alias("mac"))
+    return known.groupBy(F.col(ip).alias("ip")).agg(F.min_by(F.col(mac), F.struct(*order)).alias("mac"))
 
 
 def rewritten(packets: DataFrame, hosts: DataFrame, sink_ip: str, sink_mac: str) -> DataFrame:

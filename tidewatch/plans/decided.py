@@ -61,12 +61,12 @@ _C = ", ".join(f"({n}, '{m}', '{i}', date '{a}', date '{b}', '{d}')" for n, m, i
 
 
 @query(f"""with {PACKETS}, c(no, mac, ip, a, b, device) as (values {_C}),
-    m as (select packet_no, 0 as pr, no, device from p join c on src_mac = mac and capture::date between a and b union all select packet_no, 2, no, device from p join c on src_ip = ip and capture::date between a and b union all select packet_no, 3, no, device from p join c on dst_ip = ip and capture::date between a and b),
+    m as (select packet_no, 0 as pr, no, device from p join c on src_mac = mac and capture::date between a and b union all select packet_no, 1, no, device from p join c on 'mac-' || (dst_port % 8) = mac and capture::date between a and b union all select packet_no, 2, no, device from p join c on src_ip = ip and capture::date between a and b union all select packet_no, 3, no, device from p join c on dst_ip = ip and capture::date between a and b),
     f as (select *, row_number() over (partition by packet_no order by pr, no) as rn from m)
-    select p.packet_no, f.no::int as campaign_no, case when f.pr = 0 then 0 else f.pr end::int as matched_on, f.device from p left join f on f.packet_no = p.packet_no and rn = 1""")
+    select p.packet_no, f.no::int as campaign_no, f.pr::int as matched_on, f.device from p left join f on f.packet_no = p.packet_no and rn = 1""")
 def campaign_match(spark, sf_dir):
     c = spark.createDataFrame(list(CAMPAIGNS), "campaign_no int, mac string, ip string, start string, end string, device string").withColumns({"start": F.to_date("start"), "end": F.to_date("end")})
-    rows = packets(spark, sf_dir).select("packet_no", "src_mac", F.lit(None).cast("string").alias("dst_mac"), "src_ip", "dst_ip", "capture")
+    rows = packets(spark, sf_dir).select("packet_no", "src_mac", F.concat(F.lit("mac-"), (F.col("dst_port") % 8).cast("string")).alias("dst_mac"), "src_ip", "dst_ip", "capture")
     return jn.campaign_match(rows, c, F.to_date("capture")).select("packet_no", "campaign_no", "matched_on", "device")
 
 
@@ -77,7 +77,7 @@ def inventory_names(spark, sf_dir):
     return jn.with_inventory(packets(spark, sf_dir).select(F.col("src_mac").alias("mac")).distinct(), devices)
 
 
-@query(f"with {PACKETS} select src_ip as ip, arg_min(src_mac, packet_no) as mac from p group by src_ip")
+@query(f"with {PACKETS} select src_ip as ip, arg_min(src_mac, (capture, packet_no)) as mac from p group by src_ip")
 def first_seen_map(spark, sf_dir):
     return jn.first_seen(packets(spark, sf_dir))
 
@@ -229,7 +229,7 @@ def fsm_dos(spark, sf_dir):
 
 #: The gate's whole view. Ports are folded to three and some requests turned into notices, so that discovery is a fair share; scaled as above.
 _SEEN = f"""{WINDOWED}, x as (select * replace (dst_port % 3 as dst_port, case when ssdp_method = 'M-SEARCH' and packet_no % 3 = 0 then 'NOTIFY' else ssdp_method end as ssdp_method) from w),
-    t as (select {K}, count(*) as total_pkts, sum(is_udp) as total_udp, sum(is_tcp) as total_tcp, sum(tcp_syn) as tcp_syn_count, sum(tcp_synack) as synack, bool_or(dst_ip = '10.1.0.3')::int as ssdp_multicast_hit, count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1)) as found,
+    t as (select {K}, count(*) as total_pkts, sum(is_udp) as total_udp, sum(is_tcp) as total_tcp, sum(tcp_syn) as tcp_syn_count, sum(tcp_synack) as synack, bool_or(dst_ip = '10.1.0.3')::int as ssdp_multicast_hit, count(*) filter (is_udp = 1 and ssdp_method in ('M-SEARCH', 'NOTIFY')) as asked, count(*) filter (is_udp = 1 and ssdp_method = '200-OK') as answered, count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1)) as found,
       count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = 'M-SEARCH') as ssdp_msearch_count, count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = '200-OK') as ssdp_200ok_count,
       count(*) filter (is_udp = 1 and (dst_port = 1 or src_port = 1) and ssdp_method = 'NOTIFY') as ssdp_notify_count from x group by all),
     b as (select {K}, unnest(range({BINS})) as i from t), bc as (select b.capture, b.window_index, i, count(x.us) as n from b left join x on x.capture = b.capture and x.window_index = b.window_index and x.bin = b.i group by all),
@@ -238,7 +238,7 @@ _SEEN = f"""{WINDOWED}, x as (select * replace (dst_port % 3 as dst_port, case w
     lh as (select {K}, name, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as h from lc group by all), hw as (select {K}, max(case when name = 'H_src_ip' then h end) as H_src_ip, max(case when name = 'H_dst_port' then h end) as H_dst_port, max(case when name = 'H_ttl' then h end) as H_ttl from lh group by all),
     sn as (select {K}, total_pkts::double as total_pkts, total_udp::double as total_udp, total_tcp::double as total_tcp, round(total_pkts / ({WIDTH} / 1000000), 6) as pkts_per_s, median_bin_pkts, max_bin_pkts, tcp_syn_count::double as tcp_syn_count, round(tcp_syn_count / ({WIDTH} / 1000000), 6) as tcp_syn_rate,
       round(synack / (tcp_syn_count + 1e-6), 6) as tcp_synack_completion, round(case when synack = 0 then 0 else tcp_syn_count / synack end, 6) as tcp_syn_over_synack, ssdp_multicast_hit::double as ssdp_multicast_hit, round(found / greatest(total_udp, 1), 6) as udp_1900_fraction,
-      ssdp_msearch_count::double as ssdp_msearch_count, ssdp_200ok_count::double as ssdp_200ok_count, ssdp_notify_count::double as ssdp_notify_count, round((ssdp_msearch_count + ssdp_notify_count) / greatest(ssdp_200ok_count, 1), 6) as udp_ssdp_req_over_resp, H_src_ip, H_dst_port, H_ttl
+      ssdp_msearch_count::double as ssdp_msearch_count, ssdp_200ok_count::double as ssdp_200ok_count, ssdp_notify_count::double as ssdp_notify_count, round(coalesce(asked / nullif(answered, 0), 0), 6) as udp_ssdp_req_over_resp, H_src_ip, H_dst_port, H_ttl
       from t join bm using (capture, window_index) join hw using (capture, window_index))"""
 
 

@@ -83,7 +83,7 @@ def inferred_labels(spark, sf_dir):
     return rp.inferred_labels(table(spark, sf_dir, "nation").withColumn("path", path)).select("n_name", "label")
 
 
-@query(f"with {PACKETS}, q as (select packet_no, src_ip, src_mac, case when packet_no % 4 = 0 then '8.8.8.8' else dst_ip end as d from p), h as (select src_ip as ip, arg_min(src_mac, packet_no) as mac from p group by src_ip) select q.packet_no, h.mac as src_mac_new, src_ip as src_ip_new, case when d = '8.8.8.8' then '10.9.9.9' else d end as dst_ip_new from q join h on h.ip = q.src_ip")
+@query(f"with {PACKETS}, q as (select packet_no, src_ip, src_mac, case when packet_no % 4 = 0 then '8.8.8.8' else dst_ip end as d from p), h as (select src_ip as ip, arg_min(src_mac, (capture, packet_no)) as mac from p group by src_ip) select q.packet_no, h.mac as src_mac_new, src_ip as src_ip_new, case when d = '8.8.8.8' then '10.9.9.9' else d end as dst_ip_new from q join h on h.ip = q.src_ip")
 def address_rewrite(spark, sf_dir):
     rows = packets(spark, sf_dir).select("packet_no", "src_ip", "src_mac", F.when(F.col("packet_no") % 4 == 0, "8.8.8.8").otherwise(F.col("dst_ip")).alias("dst_ip"))
     hosts = jn.first_seen(packets(spark, sf_dir))

@@ -141,8 +141,8 @@ def window_unique(spark, sf_dir):
     return d.select(*KEY, *[f"n_unique_{c}" for c in _VALUES], rounded(F.col("top_src_mac")).alias("top_src_mac"))
 
 
-@query(f"""{WINDOWED}, s as (select {K}, sum(tcp_syn) as syn, sum(tcp_synack) as synack, count(*) filter (ssdp_method = 'M-SEARCH') as m, count(*) filter (ssdp_method = 'NOTIFY') as n, count(*) filter (ssdp_method = '200-OK') as r, sum(is_udp) as udp, count(*) filter (is_udp = 1 and dst_port = {TOP_PORTS[0]}) as hit from w group by all)
-    select {K}, round(coalesce(syn / nullif(synack, 0), 0), 6) as tcp_syn_over_synack, round(coalesce(m / nullif(r, 0), 0), 6) as udp_ssdp_req_over_resp, 0.0::double as udp_dns_req_over_resp, 0.0::double as udp_ntp_req_over_resp,
+@query(f"""{WINDOWED}, s as (select {K}, sum(tcp_syn) as syn, sum(tcp_synack) as synack, count(*) filter (ssdp_method = 'M-SEARCH') as m, count(*) filter (ssdp_method = 'NOTIFY') as n, count(*) filter (ssdp_method = '200-OK') as r, count(*) filter (is_udp = 1 and ssdp_method in ('M-SEARCH', 'NOTIFY')) as asked, count(*) filter (is_udp = 1 and ssdp_method = '200-OK') as answered, sum(is_udp) as udp, count(*) filter (is_udp = 1 and dst_port = {TOP_PORTS[0]}) as hit from w group by all)
+    select {K}, round(coalesce(syn / nullif(synack, 0), 0), 6) as tcp_syn_over_synack, round(coalesce(asked / nullif(answered, 0), 0), 6) as udp_ssdp_req_over_resp, 0.0::double as udp_dns_req_over_resp, 0.0::double as udp_ntp_req_over_resp,
     round(coalesce(hit / nullif(udp, 0), 0), 6) as udp_port_fraction, round(hit / greatest(udp, 1), 6) as ssdp_multicast_hit_rate, m as ssdp_msearch, n as ssdp_notify, r as ssdp_200ok from s""")
 def window_ratios(spark, sf_dir):
     d = ft.ratios(windowed(spark, sf_dir), TOP_PORTS[0])
@@ -164,12 +164,12 @@ _JOINED = " ".join(f"join ({SQL[n]}) using ({K})" for n in ("window_iat", "windo
 
 @query(f"""with r as ({SQL['window_rates']}), s as ({WINDOWED}, l as ({_SSDP_LONG}), c as (select {K}, name, value, count(*) as n from l group by all), h as (select {K}, name, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from c group by all)
       select {K}, {', '.join(f"max(case when name = '{n}' then h end) as H_{n}" for n in ft.SSDP.values())} from h group by all)
-    select * exclude (median_bin_pkts, top_src_mac, H_ST, H_MAN, H_USER_AGENT), top_src_mac as src_mac_dominance, {', '.join(f'round(coalesce(H_{n}, 0), 6) as H_{n}' for n in ft.SSDP.values())} from r {_JOINED} left join s using ({K})""")
+    select * exclude (median_bin_pkts, top_src_mac, H_ST, H_MAN, H_USER_AGENT), top_src_mac as src_mac_dominance, {', '.join(f'round(coalesce(H_{n}, 0), 6) as H_{n}' for n in ft.SSDP.values())} from r {_JOINED} join ({WINDOWED} select {K}, count(distinct dst_ip) as n_unique_dst_ip from w group by all) using ({K}) left join s using ({K})""")
 def dos_features(spark, sf_dir):
     """All of the static set in one table."""
     d = ft.dos_static(windowed(spark, sf_dir), WIDTH, BINS, TOP_PORTS)
     gaps = [f"iat_{n}" for n in ("mean", "std", "cv", "median", "p95", "p99")]
-    whole = ["max_bin_pkts", *[f"n_unique_{c}" for c in _VALUES], "ssdp_msearch", "ssdp_notify", "ssdp_200ok"]
+    whole = ["max_bin_pkts", *[f"n_unique_{c}" for c in (*_VALUES, "dst_ip")], "ssdp_msearch", "ssdp_notify", "ssdp_200ok"]
     real = [*_RATES, "gini_pkts", *[f"H_{c}" for c in _VALUES], "src_mac_dominance", *[f"H_{n}" for n in ft.SSDP.values()], "pkt_len_mean", "pkt_len_std", "pkt_len_mode"]
     real += ["tcp_syn_over_synack", "udp_ssdp_req_over_resp", "udp_dns_req_over_resp", "udp_ntp_req_over_resp", "udp_port_fraction", "ssdp_multicast_hit_rate"]
     return d.select(*KEY, *whole, *[rounded(F.col(c) + 1e-9).alias(c) for c in gaps], *[rounded(F.col(c)).alias(c) for c in real])
