@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.sources import pcap, tables
+from tidewatch.sources import pcap, ranges, tables
 from tidewatch.streaming import windows as sw
 
 M1, M2 = bytes.fromhex("020000000001"), bytes.fromhex("020000000002")
@@ -72,9 +72,9 @@ def test_captures(spark, tmp_path, data):
 
 
 def test_tick_resolutions():
-    assert pcap.ticks_to_us(3_000, 9) == 3
-    assert pcap.ticks_to_us(1024, 0x80 | 10) == 1_000_000
-    assert pcap.ticks_to_us(512, 256) == 2_000_000
+    assert ranges.ticks_to_us(3_000, 9) == 3
+    assert ranges.ticks_to_us(1024, 0x80 | 10) == 1_000_000
+    assert ranges.ticks_to_us(512, 256) == 2_000_000
 
 
 def test_label_files(spark, tmp_path):

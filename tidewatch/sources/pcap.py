@@ -1,82 +1,33 @@
-"""Packet captures as DataFrames: PCAP and PCAPNG files, one task a file, decoded in bounded batches.
+"""Packet captures as DataFrames: PCAP and PCAPNG files of any size, read by byte range and decoded in bounded batches.
 
-Files come through Spark's own binary reader, so any store that Spark reads will do. A frame that can't be
-decoded is skipped and counted by nothing; a file that breaks off ends there. ``packet_limit`` is per file.
+A file of more than ``range_bytes`` is read twice: a first pass goes from header to header in all ranges at once and finds where each range's
+frames begin and how many there are; after a check of all seams the second decodes them. Smaller files are read once. Tasks read their
+range by themselves; where they can't (a store that only Spark reads), files come whole through Spark's binary reader.
+
+``packet_no`` counts a file's frames from 0, those that can't be decoded included; ``packet_limit`` is per file. What is
+lost - bytes without a header, frames without a meaning - is counted by :func:`damage`.
 """
 
 from __future__ import annotations
 
 import struct
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import net
+from tidewatch.sources import ranges as rg
+from tidewatch.sources.shared import written
 
 SCHEMA = (
     "capture string, packet_no long, us long, frame_len int, ip_len int, src_mac string, dst_mac string, src_ip string, dst_ip string, ttl int, src_port int, dst_port int, "
     "is_tcp int, is_udp int, is_icmp int, tcp_flags int, payload binary, is_arp int, arp_opcode int, arp_sender_mac string, arp_sender_ip string, arp_target_mac string, arp_target_ip string"
 )
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-BATCH, SHOWN = 5000, 2048
-
-
-def _pcap(data: bytes):
-    order = "<" if data[:4] in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
-    nano = data[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, size, full = struct.unpack_from(order + "IIII", data, at)
-        at += 16
-        if at + size > len(data):
-            return
-        yield sec * 1_000_000 + (frac // 1000 if nano else frac), data[at : at + size], full, link
-        at += size
-
-
-def ticks_to_us(ticks: int, resolution: int) -> int:
-    """Resolutions from 256 are a divisor, with the high bit a power of two, else a power of ten."""
-    divisor = resolution if resolution >= 256 else 1 << (resolution & 0x7F) if resolution & 0x80 else 10**resolution
-    return ticks * 1_000_000 // divisor
-
-
-def _pcapng(data: bytes):
-    order, links, at = "<", [], 0
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links = []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        body = data[at + 8 : at + size - 4]
-        if kind == 1 and len(body) >= 8:
-            resolution, o = 6, 8
-            while o + 4 <= len(body):
-                code, n = struct.unpack_from(order + "HH", body, o)
-                if code == 0:
-                    break
-                if code == 9 and n >= 1:
-                    resolution = body[o + 4]
-                o += 4 + n + (-n % 4)
-            links.append((struct.unpack_from(order + "H", body)[0], resolution))
-        elif kind == 6 and len(body) >= 20:
-            i, high, low, kept, full = struct.unpack_from(order + "IIIII", body)
-            link, resolution = links[i] if i < len(links) else (1, 6)
-            yield ticks_to_us(high << 32 | low, resolution), body[20 : 20 + kept], full, link
-        at += size
-
-
-def frames(data: bytes):
-    """(microseconds, frame, length on the wire, link type) of each packet."""
-    if data[:4] == b"\x0a\x0d\x0d\x0a":
-        yield from _pcapng(data)
-    elif len(data) >= 24 and data[:4] in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d"):
-        yield from _pcap(data)
-    elif data:
-        raise ValueError("neither PCAP nor PCAPNG")
+BATCH, SHOWN, RANGE = 5000, 2048, 64 << 20
 
 
 def _mac(b: bytes) -> str:
@@ -121,39 +72,171 @@ def decoded(frame: bytes) -> dict:
     return out
 
 
-def read(spark: SparkSession, path, packet_limit: int | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+def _captures(files: DataFrame) -> DataFrame:
+    """Adds the captures' names: a file's own, with its folder's where several files have the same, and its whole path where even that isn't enough."""
+    own, two = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    several = lambda name: F.count("*").over(W.partitionBy(name)) > 1
+    named = files.withColumns({"__own": own, "__two": two}).withColumns({"__a": several("__own"), "__b": several("__two")})
+    return named.withColumn("capture", F.when(~F.col("__a"), F.col("__own")).when(~F.col("__b"), F.col("__two")).otherwise(F.col("path"))).drop("__own", "__two", "__a", "__b")
+
+
+def _walked(rows: DataFrame, mode: str) -> DataFrame:
+    """``rows`` (path, size, low, high, known, order) with what a walk over each range [low, high) has found: where it began and ended, whether adrift, its
+    frames, bytes lost, and for blocks the byte order taken and left, whether a section began, and its interfaces."""
+
+    def work(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                low, high, known = row["low"], row["high"], row["known"]
+                part, layout = rg.read_part(row["path"], low, high, row["size"])
+                if layout is None and mode == "FAILFAST":
+                    raise ValueError(f"{row['path']}: neither PCAP nor PCAPNG")
+                out = row | {"capture_file": layout is not None, "start": None, "stop": high, "adrift": False, "frames": 0, "lost": high - low, "taken": None, "left": None, "restarted": False, "links": []}
+                if layout is not None:
+                    layout = replace(layout, order=row["order"] or layout.order)
+                    start = rg.first_offset(layout) if low == 0 else known
+                    if start is None:
+                        start = rg.resync(part, low, high, layout)
+                    walk = rg.Walk(high if start is None else start, layout, adrift=start is None)
+                    n = sum(1 for _ in rg.frames(part, walk, high))
+                    out |= {"start": start, "stop": walk.at, "adrift": walk.adrift, "frames": n, "lost": walk.lost, "taken": layout.order, "left": walk.layout.order, "restarted": walk.restarted, "links": [{"link": a, "resolution": b} for a, b in walk.layout.links]}
+                found.append(out)
+            yield pa.RecordBatch.from_pylist(found, _WALKED)
+
+    return rows.mapInArrow(work, f"{_RANGES}, capture_file boolean, start long, stop long, adrift boolean, frames long, lost long, taken string, left string, restarted boolean, links array<struct<link:int,resolution:int>>")
+
+
+_RANGES = "path string, capture string, size long, range_no long, low long, high long, known long, order string"
+_WALKED = pa.schema(
+    [("path", pa.string()), ("capture", pa.string()), *((c, pa.int64()) for c in ("size", "range_no", "low", "high", "known")), ("order", pa.string()), ("capture_file", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("adrift", pa.bool_()), ("frames", pa.int64()), ("lost", pa.int64()),
+     ("taken", pa.string()), ("left", pa.string()), ("restarted", pa.bool_()), ("links", pa.list_(pa.struct([("link", pa.int32()), ("resolution", pa.int32())])))]
+)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """A task for each row (ten thousand at most): the rows are few and small, and what they stand for is large."""
+    return rows.repartition(max(1, min(rows.count(), 10_000)))
+
+
+def index(files: DataFrame, range_bytes: int, mode: str = "PERMISSIVE") -> DataFrame:
+    """``files`` (path, capture, size) by range: where the frames begin, how many they are, the number of the first, and the interfaces known by then.
+
+    All ranges are walked at once, each from the first believable header. Then each is held against the furthest that the ranges before it have come: where
+    it began elsewhere (or took another byte order) it is walked again from there, until all fit. The first wrong range of a file is
+    right after a round, so the rounds end; guesses that are wrong at all are rare.
+    """
+    low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
+    rows = files.select("path", "capture", "size", low.alias("low")).withColumns({"range_no": F.expr(f"low div {range_bytes}"), "high": F.least(F.col("low") + range_bytes, "size"), "known": F.lit(None).cast("long"), "order": F.lit(None).cast("string")})
+    names = [c.split()[0] for c in _RANGES.split(", ")]
+    walked = written(_walked(_spread(rows.select(*names)), mode), "walked")
+    whole = W.partitionBy("path").orderBy("range_no")
+    past = whole.rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        held = walked.withColumns({"__reached": F.max("stop").over(past), "__adrift": F.lag("adrift").over(whole), "__left": F.lag("left").over(whole)})
+        # only behind a range that ended in search of a header a guess has nothing to be held against
+        held = held.withColumn("__free", F.col("__adrift") & (F.col("__reached") <= F.col("low")))
+        elsewhere = ~F.col("__free") & (F.col("start").isNull() | (F.col("start") != F.col("__reached")))
+        wrong = F.col("capture_file") & (F.col("range_no") > 0) & (elsewhere | (F.col("__left") != F.col("taken")))
+        held = held.withColumns({"__wrong": wrong, "known": F.when(~F.col("__free"), F.col("__reached")), "order": F.coalesce("__left", "order")})
+        again = held.where("__wrong").select(*names)
+        if again.isEmpty():
+            break
+        walked = written(held.where("not __wrong").select(*walked.columns).unionByName(_walked(_spread(again), mode)), "walked")
+    section = F.sum(F.col("restarted").cast("int")).over(whole)
+    known = F.flatten(F.collect_list(F.when(F.size("links") > 0, F.col("links"))).over(W.partitionBy("path", "__section").orderBy("range_no").rowsBetween(W.unboundedPreceding, 0)))
+    sought = F.when(F.col("capture_file") & F.col("__free"), F.coalesce("start", "high") - F.col("low")).otherwise(0)
+    out = held.withColumn("lost", F.col("lost") + sought).withColumn("__section", section).withColumn("__links", known)
+    first = F.coalesce(F.sum("frames").over(past), F.lit(0))
+    return out.withColumns({"links": F.lag("__links").over(whole), "first_no": first}).drop(*[c for c in out.columns if c.startswith("__")], "restarted", "left")
+
+
+def _files(spark: SparkSession, path) -> DataFrame:
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.col("length").alias("size"))
+    return _captures(listed)
+
+
+def read(spark: SparkSession, path, packet_limit: int | None = None, mode: str = "PERMISSIVE", range_bytes: int = RANGE) -> DataFrame:
     """Decoded packets of all files that ``path`` (a pattern, folder or list) names. With mode FAILFAST a bad file fails the job."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("capture"), "content")
+    return _found(spark, path, packet_limit, mode, range_bytes).where("packet_no is not null").select(*NAMES)
+
+
+def damage(spark: SparkSession, path, mode: str = "PERMISSIVE", range_bytes: int = RANGE) -> DataFrame:
+    """A row a file: its frames, how many of them couldn't be decoded, and the bytes that belong to no frame or block."""
+    rows = _found(spark, path, None, mode, range_bytes).where("packet_no is null")
+    return rows.groupBy("capture").agg(F.sum("__frames").alias("frames"), F.sum("__undecoded").alias("undecoded"), F.sum("__lost").alias("lost_bytes"))
+
+
+def _found(spark: SparkSession, path, packet_limit: int | None, mode: str, range_bytes: int) -> DataFrame:
+    """Packets, and for each range a row without a number that counts what was in it."""
+    if range_bytes < 1:
+        raise ValueError("range_bytes is positive")
+    files = _files(spark, path)
+    some = files.select("path").first()
+    if some is not None and not rg.reachable(some.path):
+        content = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+        whole = files.join(content, "path")
+    else:
+        whole = files.where(F.col("size") <= range_bytes).withColumn("content", F.lit(None).cast("binary"))
+        whole = whole.repartition(max(1, min(files.count(), 10_000)))
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["path", "capture", "size", "low", "high", "start", "taken", "links", "first_no", "lost", "content"]
+    links = "array<struct<link:int,resolution:int>>"
+    parts = whole.select("path", "capture", "size", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"), none("long").alias("start"), none("string").alias("taken"), none(links).alias("links"), F.lit(0).cast("long").alias("first_no"), none("long").alias("lost"), "content")
+    if some is not None and rg.reachable(some.path):
+        large = files.where(F.col("size") > range_bytes)
+        if not large.isEmpty():
+            ranged = index(large, range_bytes, mode).withColumn("content", none("binary"))
+            if packet_limit is not None:
+                ranged = ranged.where(F.col("first_no") < packet_limit)
+            parts = parts.unionByName(_spread(ranged.select(*columns)))
 
     def work(batches):
-        types = None
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[dict] = []
-                try:
-                    for no, (us, frame, full, link) in enumerate(frames(data.as_py() or b"")):
-                        if packet_limit is not None and no >= packet_limit:
-                            break
-                        row = {"capture": name, "packet_no": no, "us": us, "frame_len": full}
-                        try:
-                            rows.append(row | (decoded(frame) if link == 1 else {}))
-                        except (struct.error, IndexError, ValueError):
-                            continue
-                        if len(rows) == BATCH:
-                            yield _batch(rows)
-                            rows = []
-                except ValueError:
-                    if mode == "FAILFAST":
-                        raise
-                if rows:
-                    yield _batch(rows)
-        return types
-
-    return files.mapInArrow(work, SCHEMA)
+            for row in batch.to_pylist():
+                yield from _packets(row, packet_limit, mode)
+
+    return parts.select(*columns).mapInArrow(work, f"{SCHEMA}, __frames long, __undecoded long, __lost long")
+
+
+def _packets(row: dict, packet_limit: int | None, mode: str):
+    """Batches of the packets of a range (of a whole file, if nothing is known of it), and at the end what was in it."""
+    if row["content"] is not None:
+        part, layout = rg.Part(row["content"], 0, row["size"]), rg.layout_of(row["content"][: rg.HEAD])
+    else:
+        part, layout = rg.read_part(row["path"], row["low"] if row["start"] is None else min(row["start"], row["high"]), row["high"], row["size"])
+    n = undecoded = 0
+    lost = row["lost"]
+    if layout is None:
+        if mode == "FAILFAST":
+            raise ValueError(f"{row['path']}: neither PCAP nor PCAPNG")
+        lost = row["high"] - row["low"]
+    elif lost is None or row["start"] is not None:
+        if row["taken"] is not None:
+            layout = replace(layout, order=row["taken"], links=tuple((x["link"], x["resolution"]) for x in row["links"] or ()))
+        walk = rg.Walk(rg.first_offset(layout) if row["start"] is None else row["start"], layout)
+        rows: list[dict] = []
+        for us, frame, full, link in rg.frames(part, walk, row["high"]):
+            no = row["first_no"] + n
+            if packet_limit is not None and no >= packet_limit:
+                break
+            n += 1
+            try:
+                rows.append({"capture": row["capture"], "packet_no": no, "us": us, "frame_len": full} | (decoded(frame) if link == 1 else {}))
+            except (struct.error, IndexError, ValueError):
+                undecoded += 1
+                continue
+            if len(rows) == BATCH:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+        lost = walk.lost if lost is None else lost
+    yield _batch([{"capture": row["capture"], "__frames": n, "__undecoded": undecoded, "__lost": lost}])
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-_FIELDS = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in SCHEMA.split(", ")])
+_FIELDS = pa.schema([*((c.split()[0], _ARROW[c.split()[1]]) for c in SCHEMA.split(", ")), *((c, pa.int64()) for c in ("__frames", "__undecoded", "__lost"))])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, shared by all executors. Where that is unset, a local one, and only for a session
-    on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: streams need a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{root.rstrip('/')}/stream/{label}-{uuid.uuid4().hex}"
+from tidewatch.sources.shared import scratch
 
 
 def sliding_counts(events: DataFrame, width: str, hop: str, keys: list[str], lateness: str = "0 seconds") -> DataFrame:
@@ -30,8 +17,8 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into files of the shared folder, and reads them back. What is still open at the
     end (windows beyond the watermark) isn't emitted; a batch pass covers it."""
     spark = stream.sparkSession
-    out = scratch(spark, label)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{label}-state")).outputMode(mode).trigger(availableNow=True).start()
+    out = scratch(spark, label, "stream")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{label}-state", "stream")).outputMode(mode).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
         if q.exception():
