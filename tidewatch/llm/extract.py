@@ -35,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in class, id or role that name what is around the text.
 NAMES = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related replies reply share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 ARTICLE = frozenset("article main".split())
+#: An inline end tag closes nothing beyond these.
+WALLS = frozenset("table article main body".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "noframes", "svg", "math")}
@@ -74,6 +76,9 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it is aside, whether it is an article
+    places: dict[str, list[int]] = {}  # where each tag stands in the stack
+    walls: list[int] = []  # where those stand that an inline end tag doesn't close
+    endless: set[str] = set()  # hidden tags of which no end follows
     aside = inside = links = linked = 0
     heading = False
 
@@ -88,11 +93,14 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop_to(at: int) -> None:
         nonlocal aside, inside, links
-        for tag, was_aside, was_inside in stack[at:]:
+        while len(stack) > at:
+            tag, was_aside, was_inside = stack.pop()
             aside -= was_aside
             inside -= was_inside
             links -= tag == "a"
-        del stack[at:]
+            places[tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
 
     at, n = 0, len(page)
     for m in TAG.finditer(page):
@@ -115,9 +123,11 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in RAW_END and not m[3].rstrip().endswith("/"):
                     end = RAW_END[tag].search(page, at)
                     at = end.end() if end else n
-                elif tag not in VOID and tag != "head":
+                elif tag not in VOID and tag != "head" and tag not in endless:
                     end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else at
+                    if end is None:
+                        endless.add(tag)
                 parts.append(" ")
                 continue
             if tag in BLOCKS:
@@ -132,6 +142,9 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in VOID and not m[3].rstrip().endswith("/"):
                 is_aside = tag in ASIDE and not (tag == "header" and inside) or _named_aside(m[3]) and tag not in ("html", "body")
                 is_article = tag in ARTICLE
+                places.setdefault(tag, []).append(len(stack))
+                if tag in WALLS:
+                    walls.append(len(stack))
                 stack.append((tag, is_aside, is_article))
                 aside += is_aside
                 inside += is_article
@@ -140,12 +153,9 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCKS:
                 close_block()
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("table", "article", "main", "body") and tag not in BLOCKS:
-                    break
+            opened = places.get(tag)
+            if opened and (tag in BLOCKS or not walls or walls[-1] <= opened[-1]):
+                pop_to(opened[-1])
     if at < n:
         parts.append(page[at:])
     close_block()
@@ -167,37 +177,46 @@ def _first_pass(b: Block) -> str:
     return "near" if stop >= STOP_LOW else "good" if b.inside and not b.linked else "bad"
 
 
-def main_text(page: str | None) -> str:
-    """The page's article, blocks joined by two line ends."""
-    if not page:
-        return ""
-    found = blocks_of(page)
-    labels = [_first_pass(b) for b in found]
-    n = len(found)
-    # nearest decided neighbour on either side; beyond the page's ends is bad, but what no article holds can't decide within one
-    has_article = any(b.inside and not b.aside for b in found)
+def _nearest(found: list[Block], labels: list[str], has_article: bool, order) -> list[str]:
+    """For each block the decided label that comes last before it in ``order``, a sweep over all blocks. Before the first one, and where an article begins
+    or ends, stands what the block's side of it is taken for."""
+    out, label, side = [""] * len(found), "bad", None
+    for i in order:
+        inside = has_article and found[i].inside
+        if inside != side:
+            label, side = "good" if inside else "bad", inside
+        out[i] = label
+        if labels[i] in ("good", "bad"):
+            label = labels[i]
+    return out
 
-    def nearest(i: int, step: int) -> str:
-        j = i + step
-        while 0 <= j < n:
-            if has_article and found[j].inside != found[i].inside:
-                return "good" if found[i].inside else "bad"
-            if labels[j] in ("good", "bad"):
-                return labels[j]
-            j += step
-        return "good" if has_article and found[i].inside else "bad"
 
+def _second_pass(found: list[Block], labels: list[str], has_article: bool) -> list[str]:
+    """Labels with the ambiguous ones decided by the nearest decided neighbours on both sides."""
+    n = len(found)
+    behind, ahead = _nearest(found, labels, has_article, range(n)), _nearest(found, labels, has_article, range(n - 1, -1, -1))
     second = list(labels)
     for i, label in enumerate(labels):
         if label not in ("short", "near"):
             continue
-        sides = {nearest(i, -1), nearest(i, 1)}
+        sides = {behind[i], ahead[i]}
         if sides == {"good"} or label == "near" and "good" in sides:
             second[i] = "good"
         elif sides == {"bad"}:
             second[i] = "good" if label == "near" and (found[i].inside or not has_article) else "bad"
         else:  # between good and bad: headings go with what follows, others with an article around them
-            second[i] = "good" if found[i].inside or found[i].heading and nearest(i, 1) == "good" else "bad"
+            second[i] = "good" if found[i].inside or found[i].heading and ahead[i] == "good" else "bad"
+    return second
+
+
+def main_text(page: str | None) -> str:
+    """The page's article, blocks joined by two line ends."""
+    if not page:
+        return ""
+    found = blocks_of(page)
+    # what no article holds can't decide within one
+    has_article = any(b.inside and not b.aside for b in found)
+    second = _second_pass(found, [_first_pass(b) for b in found], has_article)
     kept = [b.text for b, label in zip(found, second, strict=True) if label == "good" and (b.inside or not has_article)]
     return "\n\n".join(kept)
 

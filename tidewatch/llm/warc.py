@@ -65,9 +65,12 @@ def lowered(headers: Column) -> Column:
 
 
 def merged_headers(stored_headers: Column, fresh: Column) -> Column:
-    """Names in lower case; those of a 304 win, but for the ones it may not change."""
-    allowed = F.map_filter(fresh, lambda k, _: ~k.isin(*KEPT_HEADERS))
-    return F.map_concat(F.map_filter(stored_headers, lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
+    """Names in lower case; those of a 304 win, but for the ones it may not change. Without headers on one side the other's stay, null without any."""
+    none = F.create_map().cast("map<string,string>")
+    allowed = F.map_filter(F.coalesce(fresh, none), lambda k, _: ~k.isin(*KEPT_HEADERS))
+    old = F.coalesce(stored_headers, none)
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
+    return F.when(stored_headers.isNotNull() | fresh.isNotNull(), merged)
 
 
 def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -77,25 +80,22 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     of the response, valid (null where nothing precedes it) and its merged headers.
     """
     slim = records.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), "seconds", "kind", "status", "digest", lowered(F.col("headers")).alias("headers"))
-    slim = slim.withColumn("bucket", F.floor(F.col("seconds") / bucket_seconds).cast("long"))
     slim = stored(slim, "records")
-    full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("seconds", "record_id", "digest", "headers"))
     usable = slim.where("canonical_url is not null and seconds is not null")
-    # the last response of each bucket, then of all buckets before it: a row for each URL and bucket
-    # (the struct's order is time, then id; a map can't be ordered, so it rides along by max_by)
-    ends = usable.where((F.col("kind") == "response") & (F.col("status") == 200)).groupBy("canonical_url", "bucket").agg(
-        F.max_by(F.struct("seconds", "record_id", "digest", "headers"), F.struct("seconds", "record_id")).alias("last")
-    )
-    asked = usable.where("kind = 'revisit'").select("canonical_url", "bucket").distinct()
-    chain = ends.join(asked, ["canonical_url", "bucket"], "full_outer")
+    # a row for each URL and second that a response or a revisit has, so that of a URL, however often it is asked for, a bucket holds no more rows than seconds
+    ends = usable.where((F.col("kind") == "response") & (F.col("status") == 200)).groupBy("canonical_url", "seconds").agg(F.max_by(F.struct("seconds", "record_id", "digest", "headers"), "record_id").alias("last"))
+    asked = usable.where("kind = 'revisit'").select("canonical_url", "seconds").distinct()
+    points = ends.join(asked.withColumn("asked", F.lit(True)), ["canonical_url", "seconds"], "full_outer").withColumn("bucket", F.floor(F.col("seconds") / bucket_seconds).cast("long"))
+    points = stored(points, "points")
+    # strictly earlier in time: within the bucket, else of the buckets before it
+    inside = W.partitionBy("canonical_url", "bucket").orderBy("seconds").rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy("canonical_url").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = chain.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried is not null")
-    # within a bucket: strictly earlier in time
-    inside = W.partitionBy("canonical_url", "bucket").orderBy("seconds").rangeBetween(W.unboundedPreceding, -1)
-    here = usable.withColumn("here", F.max_by(full, F.when(full.isNotNull(), F.struct("seconds", "record_id"))).over(inside))
-    found = here.where("kind = 'revisit'").join(carried.select("canonical_url", "bucket", "carried"), ["canonical_url", "bucket"], "left")
-    found = found.withColumn("source", F.coalesce("here", "carried")).drop("here", "carried", "kind", "bucket")
-    lost = slim.where("kind = 'revisit' and (canonical_url is null or seconds is null)").withColumn("source", F.lit(None).cast(found.schema["source"].dataType)).drop("kind", "bucket")
+    buckets = points.groupBy("canonical_url", "bucket").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("seconds"))).alias("end"))
+    carried = buckets.withColumn("carried", F.last("end", ignorenulls=True).over(before)).where("carried is not null").select("canonical_url", "bucket", "carried")
+    here = points.withColumn("here", F.last("last", ignorenulls=True).over(inside)).where("asked")
+    sources = here.join(carried, ["canonical_url", "bucket"], "left").select("canonical_url", "seconds", F.coalesce("here", "carried").alias("source"))
+    found = usable.where("kind = 'revisit'").join(sources, ["canonical_url", "seconds"], "left").drop("kind")
+    lost = slim.where("kind = 'revisit' and (canonical_url is null or seconds is null)").withColumn("source", F.lit(None).cast(found.schema["source"].dataType)).drop("kind")
     own, old = F.col("headers"), F.col("source.headers")
     valid = F.when(
         F.col("source").isNotNull(),
@@ -113,7 +113,7 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
         F.when(took, F.col("source.seconds")).alias("resolved_seconds"),
         F.when(took, F.col("source.digest")).alias("digest"),
         "valid",
-        F.when(took, F.coalesce(merged_headers(old, own), old)).otherwise(own).alias("headers"),
+        F.when(took, merged_headers(old, own)).otherwise(own).alias("headers"),
     )
 
 
@@ -127,41 +127,61 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def _members(data: bytes, step: int = 1 << 16):
-    """The parts of a file that is compressed record by record; a plain file as it is. An incomplete part is left out."""
+class Damage:
+    """What of an archive file couldn't be read: parts that don't unpack, records without a usable length, and bytes passed over."""
+
+    def __init__(self) -> None:
+        self.members = self.records = self.bytes = 0
+
+
+def _members(data: bytes, damage: Damage, step: int = 1 << 16):
+    """The parts of a file that is compressed record by record; a plain file as it is. A part that doesn't unpack is counted, and reading goes on at
+    the next one's first bytes."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    at = 0
-    while at < len(data):
-        tool, parts = zlib.decompressobj(31), []
-        while not tool.eof and at < len(data):
-            parts.append(tool.decompress(data[at : at + step]))
-            at += min(step, len(data) - at)
-        if not tool.eof:
-            return
-        at -= len(tool.unused_data)
-        yield b"".join(parts)
-
-
-def records_of(data: bytes):
-    """Response and revisit records of an archive file; a file that breaks off ends there."""
-    try:
-        for member in _members(data):
-            yield from _records(io.BytesIO(member))
-    except (zlib.error, ValueError):
-        return
+    start = 0
+    while start < len(data):
+        tool, parts, at = zlib.decompressobj(31), [], start
+        try:
+            while not tool.eof and at < len(data):
+                parts.append(tool.decompress(data[at : at + step]))
+                at += min(step, len(data) - at)
+        except zlib.error:
+            pass
+        if tool.eof:
+            start = at - len(tool.unused_data)
+            yield b"".join(parts)
+            continue
+        there = data.find(b"\x1f\x8b\x08", start + 1)
+        there = len(data) if there < 0 else there
+        damage.members += 1
+        damage.bytes += there - start
+        start = there
+
 
+def records_of(data: bytes, damage: Damage | None = None):
+    """Response and revisit records of an archive file; what is damaged is passed over and counted."""
+    damage = damage or Damage()
+    for member in _members(data, damage):
+        yield from _records(io.BytesIO(member), damage)
 
-def _records(stream: io.BytesIO):
+
+def _records(stream: io.BytesIO, damage: Damage):
+    size = len(stream.getbuffer())
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
+            damage.bytes += len(line) if line.strip() else 0
             continue
         head = []
         while (line := stream.readline()).strip():
             head.append(line)
         own = _fields(head)
-        block = stream.read(int(own.get("content-length") or 0))
+        length = own.get("content-length", "")
+        if not length.isdigit() or stream.tell() + int(length) > size:
+            damage.records += 1
+            continue
+        block = stream.read(int(length))
         if own.get("warc-type") not in _KINDS:
             continue
         lines = block.split(b"\r\n\r\n", 1)[0].split(b"\r\n")
@@ -182,6 +202,20 @@ def _records(stream: io.BytesIO):
         }
 
 
+def damaged(spark: SparkSession, path) -> DataFrame:
+    """A row a file with what :func:`read` leaves out of it: path, damaged_members, damaged_records, lost_bytes."""
+
+    def work(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Damage()
+                for _ in records_of(data.as_py() or b"", found):
+                    pass
+                yield pa.RecordBatch.from_pylist([{"path": name, "damaged_members": found.members, "damaged_records": found.records, "lost_bytes": found.bytes}])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "path string, damaged_members long, damaged_records long, lost_bytes long")
+
+
 def read(spark: SparkSession, path) -> DataFrame:
     """The records of archive files, by Spark's binary reader: one task a file, in batches, without bodies."""
     kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()))
