@@ -57,8 +57,50 @@ def test_verdicts_agree_with_plain_machine(spark, cfg):
     rng = random.Random(3)
     data = {f"c{n}": [(float(i), rng.choice([0.2, 0.5, 0.6, 0.75, 0.95, 0.99]), rng.random() < 0.7, rng.choice([1.0, 9.0])) for i in range(rng.randint(1, 60))] for n in range(40)}
     df = spark.createDataFrame([(c, i, *r, ["why"]) for c, rows in data.items() for i, r in enumerate(rows)], "capture string, window_index long, start double, prob double, gate_ok boolean, pkts_per_s double, gate_reasons array<string>")
-    got = {r.capture: (r.decision, r.first_attack, r.attack_windows) for r in dc.verdict(df, cfg).collect()}
-    assert got == {c: slow_verdict(rows, cfg, isinstance(cfg, dc.DosConfig)) for c, rows in data.items()}
+    want = {c: slow_verdict(rows, cfg, isinstance(cfg, dc.DosConfig)) for c, rows in data.items()}
+    for segment in (4096, 7, 1):  # cuts anywhere give the same
+        assert {r.capture: (r.decision, r.first_attack, r.attack_windows) for r in dc.verdict(df, cfg, segment).collect()} == want
+
+
+def test_reasons_of_the_promoting_window(spark):
+    """Four reasons at most, of the window that turned the capture, wherever segments are cut; a sure model has a reason of its own."""
+    high = [(0.9, True, 0.0, [f"r{i}", "a", "b", "c", "d"]) for i in range(12)]
+    sure = [(0.99, False, 9.0, []) for _ in range(12)]
+    data = {"gate": high, "model": sure, "quiet": [(0.1, True, 0.0, ["x"])] * 12}
+    df = spark.createDataFrame([(c, i, float(i), *r) for c, rows in data.items() for i, r in enumerate(rows)], "capture string, window_index long, start double, prob double, gate_ok boolean, pkts_per_s double, gate_reasons array<string>")
+    for segment in (4096, 3, 2):
+        got = {r.capture: (r.decision, r.first_attack, r.reasons, r.max_prob) for r in dc.verdict(df, dc.DosConfig(override=True), segment).collect()}
+        assert got == {"gate": ("attack", 2.0, ["r2", "a", "b", "c"], 0.9), "model": ("attack", 2.0, ["model-high-confidence"], 0.99), "quiet": ("normal", None, [], 0.1)}
+
+
+def test_sequence_gate_in_segments(spark):
+    rng = random.Random(8)
+    data = {f"c{n}": [(rng.choice([0.2, 0.6, 0.9]), rng.random() < 0.6) for _ in range(rng.randint(1, 50))] for n in range(20)}
+    want = {}
+    for c, rows in data.items():
+        run = cool = 0
+        marks = []
+        for i, (score, ok) in enumerate(rows):
+            run = run + 1 if score >= 0.5 and not cool else 0
+            cool = max(cool - 1, 0)
+            if run >= 3 and ok:
+                marks.append(i)
+                run, cool = 0, 4
+        top = max(s for s, _ in rows)
+        want[c] = (bool(marks) and top >= 0.8, len(marks), marks[0] if marks else None, top)
+    df = spark.createDataFrame([(c, i, *r) for c, rows in data.items() for i, r in enumerate(rows)], "capture string, window_index long, score double, ok boolean")
+    for segment in (4096, 5):
+        got = dc.sequence_gate(df, 0.5, 0.8, 3, 4, F.col("ok"), segment).collect()
+        assert {r.capture: (r.is_attack, r.marked, r.first_window, r.max_score) for r in got} == want
+
+
+def test_long_captures_in_pieces(spark):
+    """A hundred thousand windows of one capture: no group of the plan has more rows than a segment, and the verdict is the plain machine's."""
+    cfg = dc.DosConfig()
+    df = spark.range(100_000).select(F.lit("c").alias("capture"), F.col("id").alias("window_index"), F.col("id").cast("double").alias("start"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("prob"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < 8).alias("gate_ok"), F.array(F.lit("w")).alias("gate_reasons"))
+    rows = [(r.start, r.prob, r.gate_ok, 0.0) for r in df.orderBy("window_index").collect()]
+    r = dc.verdict(df, cfg, 1000).first()
+    assert (r.decision, r.first_attack, r.attack_windows) == slow_verdict(rows, cfg, True)
 
 
 def test_arp_gate_and_verdict(spark):

@@ -94,23 +94,3 @@ def test_stream_equals_batch_for_closed_windows(spark, tmp_path):
     last = rows.agg(F.max("ts")).first()[0]
     want = {(r.w.start, r.k): r["count"] for r in rows.groupBy(F.window("ts", "10 minutes", "5 minutes").alias("w"), "k").count().collect() if r.w.end <= last}
     assert got == want and got
-
-
-def test_alarms_keep_state_between_batches(spark, tmp_path):
-    data = [("a", i, i % 7 != 0) for i in range(40)]
-    run = cool = 0
-    want = []
-    for _, i, f in data:
-        if cool:
-            cool, run = cool - 1, 0
-        elif f:
-            run += 1
-            if run == 2:
-                want.append(i)
-                run, cool = 0, 3
-        else:
-            run = 0
-    for n in range(2):
-        spark.createDataFrame(data[n * 20 : n * 20 + 20], "u string, order long, flag boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("u string, order long, flag boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    assert sorted(r.order for r in sw.drained(sw.run_alarms(stream, "u", 2, 3), "s").collect()) == want

@@ -1,8 +1,7 @@
 """Decisions over ordered windows: plausibility gates, hysteresis machines, run filters.
 
-Gates are predicates of a row and its capture's baseline, computed in parallel; only narrow structs are folded in
-order. A fold is one expression per capture; captures are independent, and one capture's windows (a day of
-half-second hops is 172,800 rows of a few numbers) fit an array.
+Gates are predicates of a row and its capture's baseline, computed in parallel. The machines behind them have few states, so a
+capture's windows are decided in segments that run beside one another (:mod:`tidewatch.operators.segments`).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fold import folded, let
 from tidewatch.functions.stats import percentile
+from tidewatch.operators.segments import SEGMENT, Machine, through
 
 FAR = 1e9
 
@@ -122,71 +122,73 @@ def arp_gate(windows: DataFrame, cfg: ArpConfig = ArpConfig()) -> DataFrame:
     return windows.withColumns({"gate_ok": ok, "gate_reasons": _reasons(("arp_replies", replies), ("mac_conflict", macs))})
 
 
-def verdict(windows: DataFrame, cfg: DosConfig | ArpConfig = DosConfig()) -> DataFrame:
-    """One row a capture: decision, first_attack (start of the promoting window), attack_windows, max_prob, reasons.
+def _machine(cfg: DosConfig | ArpConfig) -> Machine:
+    """The verdict's hysteresis. Symbols: 1 high, 2 plausible, 4 low, 8 sure; of the state only what still matters is kept."""
+    dos = isinstance(cfg, DosConfig)
+    lows = 2 if dos else max(1, cfg.cooldown_windows)
+    override = dos and cfg.override
+    needed = max(cfg.consecutive_required, cfg.min_attack_windows)
+
+    def step(state, symbol):
+        attack, run, low, cool, sure, forced = state
+        high, ok, is_low, is_sure = (bool(symbol & bit) for bit in (1, 2, 4, 8))
+        if attack:
+            low = low + 1 if is_low else 0
+            gain = int(high and (ok or forced))
+            return ((False, 0, 0, cfg.cooldown_windows, 0, False) if low >= lows else (True, 0, low, 0, 0, forced)), gain, 0
+        sure = sure + 1 if override and is_sure else 0
+        cool = max(cool - 1, 0)
+        run = run + 1 if high and ok and cool == 0 else 0
+        if run >= needed:
+            return (True, 0, 0, 0, 0, False), run, 1
+        if override and sure >= needed:
+            return (True, 0, 0, 0, 0, True), sure, 2
+        return (False, run, 0, cool, sure, False), 0, 0
+
+    return Machine((False, 0, 0, 0, 0, False), 16, step)
+
+
+def verdict(windows: DataFrame, cfg: DosConfig | ArpConfig = DosConfig(), segment: int = SEGMENT) -> DataFrame:
+    """One row a capture: decision, first_attack (start of the promoting window), attack_windows, max_prob, reasons (those of the promoting window, four at most).
 
     ``windows``: capture, window_index, start, prob, gate_ok, gate_reasons (and pkts_per_s for the override). NORMAL turns to ATTACK on enough
     plausible high windows in a row, and back after low ones in a row (two for DoS; the cooldown, at least one, for ARP).
+    Windows are decided in segments (:mod:`operators.segments`), however many a capture has.
     """
-    dos = isinstance(cfg, DosConfig)
-    lows = 2 if dos else max(1, cfg.cooldown_windows)
-    override = dos and cfg.override
-    i = lambda x: F.lit(x).cast("int")
-    rows = windows.select("capture", "window_index", "start", F.col("prob").cast("double").alias("prob"), F.coalesce("gate_ok", F.lit(False)).alias("ok"), F.slice("gate_reasons", 1, 4).alias("why"), (F.col("pkts_per_s").cast("double") if override else F.lit(0.0)).alias("rate"))
-    start = {
-        "attack": F.lit(False), "max_prob": F.lit(0.0), "first": F.lit(None).cast(windows.schema["start"].dataType), "flagged": i(0), "why": F.array().cast("array<string>"),
-        "run": i(0), "low": i(0), "cool": i(0), "sure": i(0), "forced": F.lit(False),
-    }
+    override = isinstance(cfg, DosConfig) and cfg.override
+    prob = F.col("prob").cast("double")
+    sure = (prob >= cfg.override_tau) & (F.col("pkts_per_s").cast("double") >= cfg.override_min_pkts) if override else F.lit(False)
+    bits = (prob >= cfg.tau_high, F.col("gate_ok"), prob <= cfg.tau_low, sure)
+    symbol = sum((F.coalesce(b, F.lit(False)).cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0))
+    tag = F.struct(F.col("start"), F.slice("gate_reasons", 1, 4).alias("why"))
+    state = through(windows, _machine(cfg), symbol, "window_index", tag, prob, segment)
+    why = F.when(F.col("event") == 2, F.array(F.lit("model-high-confidence"))).when(F.col("event") == 1, F.col("tag.why"))
+    return state.select(
+        "capture",
+        F.when(F.col("event") > 0, "attack").otherwise("normal").alias("decision"),
+        F.when(F.col("event") > 0, F.col("tag.start")).alias("first_attack"),
+        F.col("gain").cast("int").alias("attack_windows"),
+        F.greatest("top", F.lit(0.0)).alias("max_prob"),
+        F.coalesce(why, F.array().cast("array<string>")).alias("reasons"),
+    )
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        high, low = x["prob"] >= cfg.tau_high, x["prob"] <= cfg.tau_low
-        sure = F.when((x["prob"] >= cfg.override_tau) & (x["rate"] >= cfg.override_min_pkts), s["sure"] + 1).otherwise(0) if override else i(0)
-        cool = F.greatest(s["cool"] - 1, i(0))
-        run = F.when(high & x["ok"] & (cool == 0), s["run"] + 1).otherwise(0)
-        needed = max(cfg.consecutive_required, cfg.min_attack_windows)
-        by_gate = ~s["attack"] & (run >= needed)
-        by_model = ~s["attack"] & ~by_gate & (sure >= needed) if override else F.lit(False)
-        up = by_gate | by_model
-        low_run = F.when(s["attack"] & low, s["low"] + 1).otherwise(0)
-        down = s["attack"] & (low_run >= lows)
-        new = up & s["first"].isNull()
-        hit = s["attack"] & high & (x["ok"] | s["forced"])
-        return {
-            "attack": (s["attack"] | up) & ~down,
-            "max_prob": F.greatest(s["max_prob"], x["prob"]),
-            "first": F.when(new, x["start"]).otherwise(s["first"]),
-            "flagged": s["flagged"] + F.when(by_gate, run).when(by_model, sure).when(hit, 1).otherwise(0),
-            "why": F.when(new & by_gate, x["why"]).when(new, F.array(F.lit("model-high-confidence"))).otherwise(s["why"]),
-            "run": F.when(down, 0).when(s["attack"], s["run"]).otherwise(run).cast("int"),
-            "low": F.when(down, 0).otherwise(low_run).cast("int"),
-            "cool": F.when(down, cfg.cooldown_windows).when(s["attack"], s["cool"]).otherwise(cool).cast("int"),
-            "sure": F.when(down, 0).otherwise(sure).cast("int"),
-            "forced": (s["forced"] | by_model) & ~down,
-        }
-
-    state = rows.groupBy("capture").agg(folded(["window_index"], ["start", "prob", "ok", "why", "rate"], start, step).alias("s"))
-    return state.select("capture", F.when(F.col("s.first").isNotNull(), "attack").otherwise("normal").alias("decision"), F.col("s.first").alias("first_attack"), F.col("s.flagged").alias("attack_windows"), F.col("s.max_prob").alias("max_prob"), F.col("s.why").alias("reasons"))
-
-
-def sequence_gate(windows: DataFrame, tau_window: float, tau_file: float, required: int, cooldown: int, plausible: Column | None = None) -> DataFrame:
+
+def sequence_gate(windows: DataFrame, tau_window: float, tau_file: float, required: int, cooldown: int, plausible: Column | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row a capture: a window is marked when enough high ones in a row have come and it is plausible; then the run
     starts anew and as many windows as the cooldown are passed over. Attack if any is marked and the largest score reaches tau_file."""
-    rows = windows.withColumn("plausible", plausible if plausible is not None else F.lit(True))
-    start = {"run": F.lit(0), "cool": F.lit(0), "marked": F.lit(0), "first": F.lit(None).cast("long"), "top": F.lit(0.0)}
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        run = F.when((x["score"] >= tau_window) & (s["cool"] == 0), s["run"] + 1).otherwise(0)
-        mark = (run >= required) & x["plausible"]
-        return {
-            "run": F.when(mark, 0).otherwise(run).cast("int"),
-            "cool": F.when(mark, cooldown).otherwise(F.greatest(s["cool"] - 1, F.lit(0))).cast("int"),
-            "marked": s["marked"] + mark.cast("int"),
-            "first": F.coalesce(s["first"], F.when(mark, x["window_index"])),
-            "top": F.greatest(s["top"], x["score"]),
-        }
-
-    state = rows.groupBy("capture").agg(folded(["window_index"], ["score", "plausible"], start, step).alias("s"))
-    return state.select("capture", ((F.col("s.marked") > 0) & (F.col("s.top") >= tau_file)).alias("is_attack"), F.col("s.marked").alias("marked"), F.col("s.first").alias("first_window"), F.col("s.top").alias("max_score"))
+    def step(state, symbol):
+        run, cool = state
+        run = min(run + 1, required) if symbol & 1 and cool == 0 else 0
+        if run >= required and symbol & 2:
+            return (0, cooldown), 1, 1
+        return (run, max(cool - 1, 0)), 0, 0
+
+    ok = F.coalesce(plausible, F.lit(False)) if plausible is not None else F.lit(True)
+    symbol = F.coalesce(F.col("score") >= tau_window, F.lit(False)).cast("int") + 2 * ok.cast("int")
+    state = through(windows, Machine((0, 0), 4, step), symbol, "window_index", F.col("window_index"), F.col("score"), segment)
+    top = F.greatest("top", F.lit(0.0))
+    return state.select("capture", ((F.col("gain") > 0) & (top >= tau_file)).alias("is_attack"), F.col("gain").cast("int").alias("marked"), F.when(F.col("event") > 0, F.col("tag")).alias("first_window"), top.alias("max_score"))
 
 
 def count_gate(windows: DataFrame, tau_window: float, tau_file: float, least: int) -> DataFrame:

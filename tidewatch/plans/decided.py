@@ -159,19 +159,19 @@ def _fold_sql(source: str, needed: int, lows: int, cooldown: int, name: str = ""
     run = "(case when x.prob >= 0.7 and x.ok and greatest(a.cool - 1, 0) = 0 then a.run + 1 else 0 end)"
     low = "(case when a.attack and x.prob <= 0.55 then a.low + 1 else 0 end)"
     up, down = f"(not a.attack and {run} >= {needed})", f"(a.attack and {low} >= {lows})"
-    zero = "'prob': 0.0::double, 'start': -1::bigint, 'ok': false, 'attack': false, 'mx': 0.0::double, 'first': -1::bigint, 'flagged': 0, 'run': 0, 'low': 0, 'cool': 0"
-    item = "prob := prob, start := start, ok := ok, attack := false, mx := 0.0::double, first := -1::bigint, flagged := 0, run := 0, low := 0, cool := 0"
+    zero = "'prob': 0.0::double, 'start': -1::bigint, 'ok': false, 'why': ''::varchar, 'reasons': ''::varchar, 'attack': false, 'mx': 0.0::double, 'first': -1::bigint, 'flagged': 0, 'run': 0, 'low': 0, 'cool': 0"
+    item = "prob := prob, start := start, ok := ok, why := why, reasons := ''::varchar, attack := false, mx := 0.0::double, first := -1::bigint, flagged := 0, run := 0, low := 0, cool := 0"
     return f"""l as (select capture, list(struct_pack({item}) order by window_index) as l from {source} group by capture),
-    f as (select capture, list_reduce([{{{zero}}}] || l, lambda a, x: {{'prob': x.prob, 'start': x.start, 'ok': x.ok, 'attack': (a.attack or {up}) and not {down}, 'mx': greatest(a.mx, x.prob), 'first': case when {up} and a.first < 0 then x.start else a.first end,
+    f as (select capture, list_reduce([{{{zero}}}] || l, lambda a, x: {{'prob': x.prob, 'start': x.start, 'ok': x.ok, 'why': x.why, 'reasons': case when {up} and a.first < 0 then x.why else a.reasons end, 'attack': (a.attack or {up}) and not {down}, 'mx': greatest(a.mx, x.prob), 'first': case when {up} and a.first < 0 then x.start else a.first end,
       'flagged': a.flagged + case when {up} then {run} when a.attack and x.prob >= 0.7 and x.ok then 1 else 0 end, 'run': case when {down} then 0 when a.attack then a.run else {run} end, 'low': case when {down} then 0 else {low} end,
       'cool': case when {down} then {cooldown} when a.attack then a.cool else greatest(a.cool - 1, 0) end}}) as s from l){head}
-    select capture, case when s.first >= 0 then 'attack' else 'normal' end as decision, case when s.first >= 0 then s.first end as first_attack, s.flagged as attack_windows, s.mx as max_prob from f{tail}"""
+    select capture, case when s.first >= 0 then 'attack' else 'normal' end as decision, case when s.first >= 0 then s.first end as first_attack, s.flagged as attack_windows, s.mx as max_prob, s.reasons as reasons from f{tail}"""
 
 
 #: ARP snapshots of a window: replies, and macs whose replies claim several addresses.
 _ARP = f"""{SCORED}, c as (select {K}, arp_sender_mac as mac, count(distinct arp_sender_ip) as ips, count(*) as replies from w where is_arp = 1 and arp_opcode = 2 group by all),
     g as (select {K}, sum(replies)::bigint as arp_replies, count(*) filter (ips >= 2) as reply_conflict_macs from c group by all),
-    z as (select sc.*, coalesce(arp_replies, 0) as arp_replies, coalesce(reply_conflict_macs, 0) as reply_conflict_macs from sc left join g using (capture, window_index)), q as (select *, arp_replies >= 2 and reply_conflict_macs >= 1 as ok from z)"""
+    z as (select sc.*, coalesce(arp_replies, 0) as arp_replies, coalesce(reply_conflict_macs, 0) as reply_conflict_macs from sc left join g using (capture, window_index)), q as (select *, arp_replies >= 2 and reply_conflict_macs >= 1 as ok, array_to_string(list_filter([case when arp_replies >= 2 then 'arp_replies' end, case when reply_conflict_macs >= 1 then 'mac_conflict' end], lambda y: y is not null), ',') as why from z)"""
 
 
 def arp_snapshots(spark, sf_dir):
@@ -183,7 +183,7 @@ def arp_snapshots(spark, sf_dir):
 
 @query(f"{_ARP}, {_fold_sql('q', 2, 1, 1)}")
 def fsm_arp(spark, sf_dir):
-    return dc.verdict(dc.arp_gate(arp_snapshots(spark, sf_dir)), dc.ArpConfig()).drop("reasons")
+    return dc.verdict(dc.arp_gate(arp_snapshots(spark, sf_dir)), dc.ArpConfig()).withColumn("reasons", F.array_join("reasons", ","))
 
 
 #: DoS snapshots. The events are sparse, so that rates are scaled up to where the gate's thresholds lie.
@@ -212,7 +212,7 @@ def gate_baseline(spark, sf_dir):
 
 _GATE = f"""{_BASE}, gt as (select sn.*, (case when pkts_per_s < 50 then pkts_per_s >= med + 8 * sigma and pkts_per_s >= 25 else pkts_per_s >= med + 6 * sigma end or pkts_per_s >= 1500)::int as g1,
       (total_pkts >= 100 and (H_src_ip <= h1 or H_dst_port <= h2 or H_ttl <= h3))::int as g3, (total_pkts >= 120 and max_bin_pkts >= 3 * case when median_bin_pkts <= 0 then greatest(1.0, mb) else median_bin_pkts end)::int as g4 from sn join bs using (capture)),
-    q as (select *, g1 + g3 + g4 >= 2 as ok from gt)"""
+    q as (select *, g1 + g3 + g4 >= 2 as ok, case when g1 + g3 + g4 >= 2 then array_to_string(list_filter([case when g1 = 1 then 'rate spike' end, case when g3 = 1 then 'entropy collapse' end, case when g4 = 1 then 'burstiness' end], lambda y: y is not null), ',') else '' end as why from gt)"""
 
 
 @query(f"{_GATE} select {K}, ok as gate_ok, case when ok then array_to_string(list_filter([case when g1 = 1 then 'rate spike' end, case when g3 = 1 then 'entropy collapse' end, case when g4 = 1 then 'burstiness' end], lambda x: x is not null), ',') else '' end as gate_reasons from q")
@@ -224,7 +224,7 @@ def gate_plausible(spark, sf_dir):
 @query(f"{_GATE}, {_fold_sql('q', 3, 2, 1)}")
 def fsm_dos(spark, sf_dir):
     s = dos_snapshots(spark, sf_dir)
-    return dc.verdict(dc.dos_gate(s, dc.baselines(s)), dc.DosConfig()).drop("reasons")
+    return dc.verdict(dc.dos_gate(s, dc.baselines(s)), dc.DosConfig()).withColumn("reasons", F.array_join("reasons", ","))
 
 
 #: The gate's whole view. Ports are folded to three and some requests turned into notices, so that discovery is a fair share; scaled as above.

@@ -28,35 +28,6 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_alarms(events: DataFrame, key: str, required: int, cooldown: int) -> DataFrame:
-    """Keyed decisions over a stream: an alarm when ``required`` flagged events of a key have come in a row, then
-    ``cooldown`` events are passed over. State is three numbers a key; within a batch a key's events go by order.
-
-    ``events``: key, order (long), flag (boolean).
-    """
-    import pandas as pd
-
-    def step(group, frames, state):
-        run, cool, alarms = state.get if state.exists else (0, 0, 0)
-        found = []
-        for frame in frames:
-            for order, flag in frame.sort_values("order")[["order", "flag"]].itertuples(index=False):
-                if cool:
-                    cool, run = cool - 1, 0
-                elif flag:
-                    run += 1
-                    if run >= required:
-                        alarms, run, cool = alarms + 1, 0, cooldown
-                        found.append((order, alarms))
-                else:
-                    run = 0
-        state.update((run, cool, alarms))
-        yield pd.DataFrame({"key": [group[0]] * len(found), "order": [o for o, _ in found], "alarm_no": [n for _, n in found]})
-
-    rows = events.select(F.col(key).cast("string").alias("key"), "order", "flag")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, order long, alarm_no long", "run long, cool long, alarms long", "append", "NoTimeout")
-
-
 def replayed(packets: DataFrame, speed: float = 1.0) -> DataFrame:
     """When each packet is due, in seconds from the capture's first: for a sink that paces itself."""
     first = packets.groupBy("capture").agg(F.min("us").alias("u0"))
