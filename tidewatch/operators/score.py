@@ -98,10 +98,24 @@ def lstm(x: np.ndarray, w: dict, reverse: bool = False) -> np.ndarray:
     return out
 
 
+def gru(x: np.ndarray, w: dict, reverse: bool = False) -> np.ndarray:
+    """As :func:`lstm`, with gates in the order reset, update, new; the recurrent side has a bias of its own."""
+    n, steps, _ = x.shape
+    h = np.zeros((n, w["hidden"].shape[1]))
+    out = np.zeros((n, steps, h.shape[1]))
+    for t in range(steps - 1, -1, -1) if reverse else range(steps):
+        a, b = np.split(x[:, t] @ w["input"].T + w["bias"], 3, axis=1), np.split(h @ w["hidden"].T + w["again_bias"], 3, axis=1)
+        reset, keep = _sig(a[0] + b[0]), _sig(a[1] + b[1])
+        h = (1 - keep) * np.tanh(a[2] + reset * b[2]) + keep * h
+        out[:, t] = h
+    return out
+
+
 def bilstm_scores(x: np.ndarray, p: dict) -> np.ndarray:
-    """Stacked bidirectional layers with additive attention added to each step; a probability for every step."""
+    """Stacked bidirectional layers (LSTM, or GRU where they have a second bias) with additive attention added to each step; a probability for every step."""
     for forward, backward in p["layers"]:
-        x = np.concatenate([lstm(x, forward), lstm(x, backward, True)], axis=2)
+        one = gru if "again_bias" in forward else lstm
+        x = np.concatenate([one(x, forward), one(x, backward, True)], axis=2)
     e = np.tanh(x @ p["attention_w"].T) @ p["attention_v"]
     a = np.exp(e - e.max(axis=1, keepdims=True))
     a /= a.sum(axis=1, keepdims=True)

@@ -1,8 +1,8 @@
-"""Training of small dense networks over all rows of a table.
+"""Training of small networks over all rows of a table: dense ones, and the sequence networks of :mod:`tidewatch.operators.nets`.
 
 A round is one pass: every task takes the same weights, runs Adam with decoupled decay over its own rows in batches, and hands
-back its weights times its number of rows. Their sum by place, divided by the rows, starts the next round, so the driver only ever
-holds numbers of the network's size. Rows held out (by hash) are scored in the same pass with the weights that it starts from.
+back its weights times its number of rows, as one array. These are added up in a tree; their sum, divided by the rows, starts the next round, so the driver only ever
+holds a few dozen arrays of the network's size. Rows held out (by hash) are scored in the same pass with the weights that it starts from.
 """
 
 from __future__ import annotations
@@ -101,30 +101,81 @@ def started(dims: list[int], seed: int = 0) -> np.ndarray:
     return np.concatenate([np.concatenate([rng.normal(0, np.sqrt(2 / a), a * b), np.zeros(b)]) for a, b in zip(dims[:-1], dims[1:], strict=True)])
 
 
+class _Dense:
+    """What a round needs of a dense network: first weights, a batch's loss, and its gradient."""
+
+    def __init__(self, dims: list[int], labelled: bool, how: Fit):
+        self.dims, self.labelled, self.how, self.inputs = dims, labelled, how, ((dims[0],),)
+
+    def start(self) -> np.ndarray:
+        return started(self.dims, self.how.seed)
+
+    def loss(self, flat, xs, y) -> float:
+        return _loss(_forward(xs[0], _cut(flat, self.dims))[-1], y if self.labelled else xs[0], self.labelled, self.how.positive_weight)[0]
+
+    def gradient(self, flat, xs, y, rng) -> np.ndarray:
+        clean = xs[0]
+        seen = clean + rng.normal(0, self.how.noise, clean.shape) if self.how.noise else clean
+        _, grads = gradient(seen, y if self.labelled else clean, _cut(flat, self.dims), self.labelled, self.how.positive_weight)
+        return np.concatenate([d.ravel() for d in grads])
+
+
+class _Sequence:
+    """The same of a network on a tape (:mod:`tidewatch.operators.nets`)."""
+
+    def __init__(self, net, how: Fit):
+        self.net, self.how, self.inputs = net, how, net.inputs
+
+    def start(self) -> np.ndarray:
+        return self.net.start(self.how.seed)
+
+    def loss(self, flat, xs, y) -> float:
+        return self.net.loss(flat, xs, y, self.how.positive_weight)
+
+    def gradient(self, flat, xs, y, rng) -> np.ndarray:
+        return self.net.gradient(flat, xs, y, self.how.positive_weight)[1]
+
+
 def train(df: DataFrame, array: str, hidden: list[int], label: str | None = None, how: Fit = Fit()) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[float]]:
     """Layers of the best round and the loss of the rows held out (or of all rows, if none are) before each round.
 
-    Rows with a null array or label take no part; ``df`` should be a stored or cached table, since each round reads it.
+    Rows with a null array or label take no part; ``df`` should be a stored or cached table, since each round reads it. The order of rows within tasks is part of the
+    result, so a run repeats itself on the same partitions only.
     """
-    rows = df.where(F.col(array).isNotNull())
-    target = F.lit(0.0)
-    if label is not None:
-        rows, target = rows.where(F.col(label).isNotNull()), F.col(label).cast("double")
-    held = F.pmod(F.xxhash64(F.col(array), F.lit(how.seed)), F.lit(1 << 20)) < int(how.held * (1 << 20))
-    rows = rows.select(F.col(array).cast("array<double>").alias("x"), target.alias("y"), held.alias("held"))
-    first = rows.select(F.size("x").alias("n")).first()
+    first = df.where(F.col(array).isNotNull()).select(F.size(array).alias("n")).first()
     if first is None:
         raise ValueError("there are no rows to train on")
     dims = [first["n"], *hidden, first["n"] if label is None else 1]
-    flat, size = started(dims, how.seed), sum(a * b + b for a, b in zip(dims[:-1], dims[1:], strict=True))
-    labelled = label is not None
+    best, losses = _trained(df, [array], label, _Dense(dims, label is not None, how), how)
+    return [(w.copy(), b.copy()) for w, b in _cut(best, dims)], losses
+
+
+def train_net(df: DataFrame, net, inputs: list[str], label: str, how: Fit = Fit()) -> tuple[np.ndarray, list[float]]:
+    """A network of :mod:`tidewatch.operators.nets` trained over all rows, as :func:`train`: its parameters and the held losses.
+
+    ``inputs``: a flat array column for each of the network's inputs; ``label``: 0/1, or an array of one for each step, of which nulls don't count.
+    """
+    return _trained(df, inputs, label, _Sequence(net, how), how)
+
+
+def _trained(df: DataFrame, inputs: list[str], label: str | None, objective, how: Fit) -> tuple[np.ndarray, list[float]]:
+    rows, target = df, F.array(F.lit(0.0))
+    for c in inputs:
+        rows = rows.where(F.col(c).isNotNull())
+    if label is not None:
+        rows = rows.where(F.col(label).isNotNull())
+        target = F.col(label).cast("array<double>") if df.schema[label].dataType.typeName() == "array" else F.array(F.col(label).cast("double"))
+    held = F.pmod(F.xxhash64(*[F.col(c) for c in inputs], F.lit(how.seed)), F.lit(1 << 20)) < int(how.held * (1 << 20))
+    rows = rows.select(*[F.col(c).cast("array<double>").alias(f"x{i}") for i, c in enumerate(inputs)], target.alias("y"), held.alias("held"))
+    flat = objective.start()
+    size = len(flat)
     state, step, watch, best, losses = np.concatenate([flat, np.zeros(2 * size)]), 0.0, Patience(how.patience), flat, []
     for at in range(how.rounds + 1):
         # the last round only scores
-        sums = _round(rows, dims, state, step, cosine_rate(how.rate, at, how.rounds), labelled, at, how, at < how.rounds)
-        n_held, n_fit = sums.get(-3, 0.0), sums.get(-1, 0.0)
+        sums = _round(rows, objective, state, step, cosine_rate(how.rate, at, how.rounds), at, how, at < how.rounds)
+        n_fit, loss_held, n_held, steps = sums[-4:]
         if n_held:
-            losses.append(sums[-2] / n_held)
+            losses.append(loss_held / n_held)
             if watch.better(losses[-1]):
                 best = state[:size]
             if watch.stop:
@@ -133,39 +184,51 @@ def train(df: DataFrame, array: str, hidden: list[int], label: str | None = None
             best = state[:size]
         if not n_fit or at == how.rounds:
             break
-        state = np.array([sums.get(i, 0.0) for i in range(3 * size)]) / n_fit
-        step = sums.get(-4, 0.0) / n_fit
-    return [(w.copy(), b.copy()) for w, b in _cut(best, dims)], losses
+        state, step = sums[:-4] / n_fit, steps / n_fit
+    return best, losses
+
+
+def summed(parts: DataFrame, fan: int = 32) -> np.ndarray:
+    """The sum by place of ``parts`` (part: a number of the task, v: an array, one a task), in a tree: no step adds up more than about ``fan`` arrays, the driver no more either."""
+    import pyarrow as pa
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(v.values.to_numpy() for v in table.column("v"))
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > fan:
+        tasks = -(-tasks // fan)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("part").applyInArrow(add, "part long, v array<double>")
+    found = parts.toArrow().column("v")
+    return sum((v.values.to_numpy() for v in found), np.zeros(1))
 
 
-def _round(rows: DataFrame, dims: list[int], state: np.ndarray, step: float, rate: float, labelled: bool, at: int, how: Fit, learn: bool) -> dict[int, float]:
-    """Sums over all tasks by place: weights and moments times rows; -1 rows learnt, -2 held loss, -3 rows held, -4 steps times rows."""
-    size = len(state) // 3
+def _round(rows: DataFrame, objective, state: np.ndarray, step: float, rate: float, at: int, how: Fit, learn: bool) -> np.ndarray:
+    """Sums over all tasks: weights and moments times rows learnt; then rows learnt, held loss, rows held, steps times rows learnt."""
+    size, inputs = len(state) // 3, objective.inputs
 
     def work(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        rng = np.random.default_rng([how.seed, at, TaskContext.get().partitionId()])
+        task = TaskContext.get().partitionId()
+        rng = np.random.default_rng([how.seed, at, task])
         mine, t, learnt, n_held, loss_held = state.copy(), step, 0, 0, 0.0
         flat, m, v = mine[:size], mine[size : 2 * size], mine[2 * size :]
-        start = _cut(state[:size], dims)
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims[0])
-            y, out = batch.column(1).to_numpy(zero_copy_only=False)[:, None], batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            xs = [batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, *shape) for i, shape in enumerate(inputs)]
+            y, out = batch.column(len(inputs)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(len(inputs) + 1).to_numpy(zero_copy_only=False).astype(bool)
             if out.any() or how.held <= 0:
-                scored = out if out.any() else np.ones(len(x), bool)
-                loss, _ = _loss(_forward(x[scored], start)[-1], y[scored] if labelled else x[scored], labelled, how.positive_weight)
-                n_held, loss_held = n_held + int(scored.sum()), loss_held + loss * int(scored.sum())
+                scored = np.flatnonzero(out) if out.any() else np.arange(len(y))
+                for part in np.array_split(scored, -(-len(scored) // how.batch)):
+                    loss_held += objective.loss(state[:size], [x[part] for x in xs], y[part]) * len(part)
+                n_held += len(scored)
             if not learn:
                 continue
-            x, y = x[~out], y[~out]
-            order = rng.permutation(len(x))
-            for part in np.array_split(order, max(1, -(-len(x) // how.batch))) if len(x) else []:
-                clean = x[part]
-                seen = clean + rng.normal(0, how.noise, clean.shape) if how.noise else clean
-                _, grads = gradient(seen, y[part] if labelled else clean, _cut(flat, dims), labelled, how.positive_weight)
-                g = np.concatenate([d.ravel() for d in grads])
+            order = rng.permutation(np.flatnonzero(~out))
+            for part in np.array_split(order, -(-len(order) // how.batch)) if len(order) else []:
+                g = objective.gradient(flat, [x[part] for x in xs], y[part], rng)
                 norm = float(np.sqrt(g @ g))
                 if how.clip and norm > how.clip:
                     g *= how.clip / norm
@@ -174,9 +237,7 @@ def _round(rows: DataFrame, dims: list[int], state: np.ndarray, step: float, rat
                 v += 0.001 * (g * g - v)
                 flat -= rate * ((m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + how.decay * flat)
                 learnt += len(part)
-        places = np.concatenate([np.arange(3 * size), [-1, -2, -3, -4]]) if learnt else np.array([-2, -3])
-        values = np.concatenate([mine * learnt, [learnt, loss_held, n_held, t * learnt]]) if learnt else np.array([loss_held, n_held], float)
-        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(values.astype(np.float64))], names=["at", "v"])
+        values = np.concatenate([mine * learnt, [learnt, loss_held, n_held, t * learnt]])
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["part", "v"])
 
-    summed = rows.mapInArrow(work, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    return dict(zip(summed.column("at").to_pylist(), summed.column("v").to_pylist(), strict=True))
+    return summed(rows.mapInArrow(work, "part long, v array<double>"))
