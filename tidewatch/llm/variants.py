@@ -4,9 +4,10 @@ Candidates come from a prefix filter over positional bigrams. All bigrams are or
 rarest first, then by their letters and place. An edit touches two bigrams of a word at most, so of the three rarest of each of
 two near words one is common to both (the order and the edit leave it where it was, counted from one end of the word). Only
 these three are joined, under a limit of position that is as tight as one edit allows: the edit lies on one side of a common
-bigram, so on the other side, the bigram included, both words are the same. A word therefore has six keys - what reaches
-from its start to a rare bigram's end, and what reaches from a rare bigram's start to its end - and meets words of its own
-length and of one more. Each candidate is verified by its edit distance.
+bigram, so on the other side, the bigram included, both words are the same; and of the rest, cut in halves, one is. A word's keys are therefore
+what reaches from its start to a rare bigram's end (or from a rare bigram's start to its end) with one half of what is left, and it meets words of its own
+length and of one more. Each candidate is verified by its edit distance. A bigram that very many words share, even at
+one end of them, so makes no large group of pairs: all but half a rest is the same in a group.
 
 Nothing here is quadratic in a hot word: a word enters once with its count, and has no more near words than its length times twice the
 alphabet. Counts are added up within a task before they are shuffled, ``FLUSH`` words at a time.
@@ -83,12 +84,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # as many rows as the alphabet has bigrams
     common = grams.groupBy("gram").agg(F.countDistinct("word").alias("words"))
     rare = grams.join(F.broadcast(common), "gram").groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("words", "gram", "at"))), 1, RAREST).alias("rare"))
-    ahead = F.transform("rare", lambda g: F.concat(F.lit("<"), F.substring("word", F.lit(1), g["at"] + 2)))
-    behind = F.transform("rare", lambda g: F.concat(F.lit(">"), F.substring("word", g["at"] + 1, letters)))
-    keys = stored(rare.select("word", "n", letters.alias("letters"), F.explode(F.array_distinct(F.concat(ahead, behind))).alias("part")), "parts")
-    short = keys.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("own"), "part", F.explode(F.array("letters", F.col("letters") + 1)).alias("letters"))
-    long = keys.select(F.col("word").alias("b"), F.col("n").alias("b_n"), "part", "letters")
-    met = short.join(long, ["part", "letters"]).where((F.col("own") < F.col("letters")) | (F.col("a") < F.col("b")))
+    ahead = F.transform("rare", lambda g: F.struct(F.lit("<").alias("side"), F.substring("word", F.lit(1), g["at"] + 2).alias("part"), F.substring("word", g["at"] + 3, letters).alias("rest")))
+    behind = F.transform("rare", lambda g: F.struct(F.lit(">").alias("side"), F.substring("word", g["at"] + 1, letters).alias("part"), F.substring("word", F.lit(1), g["at"]).alias("rest")))
+    parts = rare.select("word", "n", letters.alias("letters"), F.inline(F.array_distinct(F.concat(ahead, behind))))
+    # as the shorter word of a pair (or one of two as long) a word has its own length, as the longer one that of the other
+    parts = parts.withColumn("short", F.explode(F.array("letters", F.col("letters") - 1)))
+    left_over = F.col("short") - F.length("part")
+    half = F.floor(left_over / 2).cast("int")
+    halves = F.array(F.concat(F.lit("1"), F.substring("rest", F.lit(1), half)), F.concat(F.lit("2"), F.right("rest", (left_over - half).cast("int"))))
+    keys = parts.where(left_over >= 0).select("word", "n", "letters", "short", F.concat("side", "part").alias("part"), F.explode(halves).alias("half"))
+    keys = stored(keys, "parts")
+    short = keys.where("short = letters").select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("letters").alias("own"), "short", "part", "half")
+    long = keys.select(F.col("word").alias("b"), F.col("n").alias("b_n"), "letters", "short", "part", "half")
+    met = short.join(long, ["short", "part", "half"]).where((F.col("own") < F.col("letters")) | (F.col("a") < F.col("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
 
