@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -54,6 +55,29 @@ def window_lines(windows: DataFrame, real: list[str], times: list[str]) -> DataF
     return windows.select(*[F.col(c).cast("string").alias(c) for c in rest], *[F.format_string("%.6f", F.col(c).cast("double")).alias(c) for c in real], *[iso(F.col(c)).alias(c) for c in times])
 
 
+def ranked(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """Adds a rank (from 1) within each capture, by falling ``by`` and then by name: of actors, for their files."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("capture").orderBy(F.desc(by), *names)))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header, a folder a capture (whose name stands in the folder's, and comes last when it is read)."""
+    rows.select(*[c for c in rows.columns if c != "capture"], "capture").write.mode("overwrite").option("header", True).partitionBy("capture").csv(path)
+
+
+def detail_lines(windows: DataFrame, score: str, threshold: float, kept: Column) -> DataFrame:
+    """A window's score, the threshold, whether it is over it and whether it is kept after filtering: as text where they are real numbers."""
+    text = lambda c: F.format_string("%.6f", c.cast("double"))
+    return windows.select("capture", "window_index", text(F.col(score)).alias(score), text(F.lit(threshold)).alias("threshold"), (F.col(score) >= threshold).alias("raw_flag"), kept.alias("flagged"))
+
+
+def interval_lines(spans: DataFrame, width: int, hop: int) -> DataFrame:
+    """Intervals of windows as seconds from the capture's first window: start of the first and end of the last, windows, largest score."""
+    text = lambda c: F.format_string("%.6f", c.cast("double"))
+    start, end = F.col("first_window") * hop / 1_000_000, (F.col("last_window") * hop + width) / 1_000_000
+    return spans.select("capture", text(start).alias("start"), text(end).alias("end"), F.col("length").alias("windows"), text(F.col("max_score")).alias("max_score"))
+
+
 def verdict_json(verdicts: DataFrame) -> DataFrame:
     """A JSON document a capture."""
     return verdicts.select("capture", F.to_json(F.struct(*verdicts.columns)).alias("json"))
