@@ -32,7 +32,7 @@ ORDER, COVERAGE, DENSE_CELLS = 4, 0.999, 10 << 20
 #: The quantile of trusted documents' log-perplexity in each language, and what a document may exceed it by.
 QUANTILE, MARGIN = 0.99, 0.25
 UNKNOWN, EDGE, SPACE = 0, 1, 2
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 17
 
 
 @functools.lru_cache(1)
