@@ -26,18 +26,51 @@ def is_private_ipv4(ip: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def is_private_ip(ip: Column) -> Column:
-    """Both families, by the standard library: private, and not loopback, link-local, unspecified or multicast."""
-    import ipaddress
+#: IPv6 blocks that are private but not loopback, link-local, unspecified or multicast, and blocks within them that are not: (first two groups and more, bits).
+PRIVATE_V6 = (((0x64, 0xFF9B, 1), 48), ((0x100, 0, 0, 0), 64), ((0x2001, 0), 23), ((0x2001, 0xDB8), 32), ((0x2002,), 16), ((0xFC00,), 7))
+GLOBAL_V6 = (((0x2001, 1, 0, 0, 0, 0, 0, 1), 128), ((0x2001, 1, 0, 0, 0, 0, 0, 2), 128), ((0x2001, 3), 32), ((0x2001, 4, 0x112), 48), ((0x2001, 0x20), 28), ((0x2001, 0x30), 28))
+
+
+def ipv6_groups(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers; null where it isn't one. A zone behind % is left out."""
+    text = F.lower(F.regexp_replace(ip, "%[^%]+$", ""))
+    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    v4 = ipv4_number(F.nullif(tail, F.lit("")))
+    as_groups = F.concat(F.hex(F.shiftright(v4, 16)), F.lit(":"), F.hex(v4.bitwiseAND(0xFFFF)))
+    text = F.when(tail == "", text).otherwise(F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(as_groups)))
+    halves = F.split(text, "::")
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    first, last = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    have = F.size(first) + F.size(last)
+    fits = F.when(F.size(halves) == 1, have == 8).otherwise((F.size(halves) == 2) & (have <= 7))
+    whole = F.concat(first, F.array_repeat(F.lit("0"), F.greatest(8 - have, F.lit(0))), last)
+    valid = fits & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(valid, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def _in_block(groups: Column, block: tuple[tuple[int, ...], int]) -> Column:
+    """Do the first bits of the groups agree with a block's?"""
+    start, bits = block
+    out = F.lit(True)
+    for i in range(-(-bits // 16)):
+        mask = 0xFFFF & ~((1 << max(0, 16 * (i + 1) - bits)) - 1)
+        out = out & (groups[i].bitwiseAND(F.lit(mask)) == start[i])
+    return out
 
-    def one(text) -> bool:
-        try:
-            a = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        return a.is_private and not (a.is_loopback or a.is_link_local or a.is_unspecified or a.is_multicast)
 
-    return F.pandas_udf(lambda ips: ips.map(one), "boolean")(ip)
+def is_private_ip(ip: Column) -> Column:
+    """Both families: private, and not loopback, link-local, unspecified or multicast. An IPv4 address mapped into IPv6 counts as itself."""
+    groups = ipv6_groups(ip)
+    number = F.shiftleft(groups[6].cast("long"), 16) + groups[7]
+    mapped, inside, public = _in_block(groups, ((0, 0, 0, 0, 0, 0xFFFF), 96)), F.lit(False), F.lit(False)
+    own = F.lit(False)
+    for low, high in PRIVATE_V4:
+        own = own | number.between(low, high)
+    for block in PRIVATE_V6:
+        inside = inside | _in_block(groups, block)
+    for block in GLOBAL_V6:
+        public = public | _in_block(groups, block)
+    return is_private_ipv4(ip) | F.coalesce(F.when(mapped, own).otherwise(inside & ~public), F.lit(False))
 
 
 def is_multicast_mac(mac: Column) -> Column:

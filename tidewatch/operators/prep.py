@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.stats import interpolated
 from tidewatch.operators.ordered import quantile_values, quantiles
+from tidewatch.operators.train import summed
 
 
 def finite(c: Column) -> Column:
@@ -82,27 +83,44 @@ def hash_split(df: DataFrame, key: str, share: float) -> DataFrame:
     return df.withColumn("held", place < int(share * (1 << 32)))
 
 
+#: Parts of a label that are ordered by themselves.
+SALTS = 64
+
+
 def balanced(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, chosen by a hash of the key."""
+    """At most ``per_class`` rows of each label, chosen by a hash of the key: the first of each of ``SALTS`` parts of a label, then the first of these, so
+    that no task orders a whole label."""
     order = F.expr(f"cast(({key} * 2654435761) % 4294967296 as long)")
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order, key))
-    return df.withColumn("n", rank).where(F.col("n") <= per_class).drop("n")
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    part = df.withColumn("__n", F.row_number().over(W.partitionBy(label, salt).orderBy(order, key))).where(F.col("__n") <= per_class)
+    return part.withColumn("__n", F.row_number().over(W.partitionBy(label).orderBy(order, key))).where(F.col("__n") <= per_class).drop("__n")
 
 
 def principal(df: DataFrame, columns: list[str], components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, components and share of variance, from one aggregation of sums and products of columns."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)], *[F.covar_samp(a, b).alias(f"c_{i}") for i, (a, b) in enumerate(pairs)]).first()
+    """Means, components and share of variance; rows with a null take no part. One pass for the means, and one in which each task adds up the products of its centred rows
+    as one matrix; these are summed in a tree."""
     d = len(columns)
-    cov = np.zeros((d, d))
-    at = {c: i for i, c in enumerate(columns)}
-    for i, (a, b) in enumerate(pairs):
-        cov[at[a], at[b]] = cov[at[b], at[a]] = row[f"c_{i}"] or 0.0
+    rows = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
+    row = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
+    means = np.array([row[f"m_{i}"] or 0.0 for i in range(d)])
+
+    def work(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        gram = np.zeros((d, d))
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)], 1) - means
+            gram += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([gram.ravel()], pa.list_(pa.float64()))], names=["part", "v"])
+
+    gram = summed(rows.mapInArrow(work, "part long, v array<double>"))
+    cov = np.broadcast_to(gram, (d * d,)).reshape(d, d) / max(row["n"] - 1, 1)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][: min(components, max(row["n"] - 1, 1), d)]
     vectors = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(axis=0), order])
     total = values.sum()
-    return np.array([row[f"m_{i}"] for i in range(d)]), vectors.T, values[order] / total if total else values[order]
+    return means, vectors.T, values[order] / total if total else values[order]
 
 
 def project(df: DataFrame, columns: list[str], means: np.ndarray, components: np.ndarray) -> DataFrame:

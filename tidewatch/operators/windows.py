@@ -126,6 +126,31 @@ def history(windows: DataFrame, column: str, length: int, zero: Column) -> DataF
     return windows.withColumn("history", F.concat(F.array_repeat(zero, F.lit(length) - F.size(got)), got))
 
 
+def before(df: DataFrame, keys: list[str], order: str, column: str, length: int, bucket: int = 4096) -> DataFrame:
+    """Rows with a value, and what came before each of its key: previous (the last value, over any gap), and of the last ``length`` values their
+    number, mean and deviation (population): history_n, history_mean, history_std; null where nothing came before.
+
+    ``order`` is a whole number, of which a key has each once. A key's rows are cut into buckets of it that run beside one another; a bucket hands on its last
+    ``length`` values, and takes those of the buckets before it.
+    """
+    if length < 1:
+        raise ValueError("length is 1 at least")
+    value, latest = F.col(column).cast("double"), lambda a: F.slice(a, F.greatest(F.size(a) - length, F.lit(0)) + 1, length)
+    rows = df.where(F.col(column).isNotNull()).withColumn("__bucket", F.floor(F.col(order) / bucket).cast("long"))
+    group = [*keys, "__bucket"]
+    here = rows.withColumn("__here", F.collect_list(value).over(W.partitionBy(*group).orderBy(order).rowsBetween(-length, -1)))
+    tails = here.groupBy(*group).agg(F.max_by(latest(F.concat("__here", F.array(value))), order).alias("__tail"))
+    # every bucket has a value at least, so as many buckets as values are enough
+    past = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(-length, -1)
+    carried = tails.select(*group, latest(F.flatten(F.collect_list("__tail").over(past))).alias("__carried"))
+    both = here.join(carried, group).withColumn("__past", latest(F.concat("__carried", "__here")))
+    n = F.size("__past")
+    mean = F.aggregate("__past", F.lit(0.0), lambda t, x: t + x) / n
+    out = both.withColumns({"previous": F.when(n > 0, F.element_at("__past", -1)), "history_n": n, "history_mean": F.when(n > 0, mean)})
+    spread = F.sqrt(F.aggregate("__past", F.lit(0.0), lambda t, x: t + (x - F.col("history_mean")) * (x - F.col("history_mean"))) / n)
+    return out.withColumn("history_std", F.when(n > 0, spread)).drop("__bucket", "__here", "__carried", "__past")
+
+
 def bounds(packets: DataFrame) -> DataFrame:
     """Packets, first and last time (as they arrive) and duration of each capture."""
     b = packets.groupBy("capture").agg(F.count("*").alias("packets"), F.min_by("us", "packet_no").alias("first_us"), F.max_by("us", "packet_no").alias("last_us"))

@@ -13,8 +13,9 @@ from tidewatch.operators import features as ft
 from tidewatch.operators import joins as jn
 from tidewatch.operators import score as sc
 from tidewatch.operators import windows as win
-from tidewatch.plans.registry import BINS, HOP, PACKETS, WIDTH, WINDOWED, query
+from tidewatch.plans.registry import SQL, BINS, HOP, PACKETS, WIDTH, WINDOWED, query
 from tidewatch.plans.windowed import windowed
+from tidewatch.sources.shared import written
 from tidewatch.sources.tables import packets, table
 
 KEY = ft.KEY
@@ -223,7 +224,7 @@ def gate_plausible(spark, sf_dir):
 
 @query(f"{_GATE}, {_fold_sql('q', 3, 2, 1)}")
 def fsm_dos(spark, sf_dir):
-    s = dos_snapshots(spark, sf_dir)
+    s = written(dos_snapshots(spark, sf_dir), "snapshots")  # read twice, for the baselines and for the gate
     return dc.verdict(dc.dos_gate(s, dc.baselines(s)), dc.DosConfig()).withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -271,7 +272,7 @@ _HINTS = f"""{_SEEN}, sc as (select * replace (total_pkts * 4 as pkts_per_s, tot
 @query(f"{_HINTS} select {K}, several or hinted as gate_ok, array_to_string(case when several then generic when hinted then list_concat(case when len(ssdp) > 0 then ssdp else surge end, generic) else [] end, ',') as gate_reasons from k")
 def gate_hints(spark, sf_dir):
     """The gate over whole snapshots, with the branches of discovery and of SYN floods."""
-    s = gate_snapshots(spark, sf_dir)
+    s = written(gate_snapshots(spark, sf_dir), "snapshots")
     n = F.col
     s = s.withColumns({"pkts_per_s": n("total_pkts") * 4, "total_pkts": n("total_pkts") * 10, "tcp_syn_rate": n("tcp_syn_count") * 20, "tcp_syn_count": n("tcp_syn_count") * 10, "ssdp_notify_count": n("ssdp_notify_count") * 3, "tcp_synack_completion": n("tcp_synack_completion") / 4})
     return dc.dos_gate(s, dc.baselines(s)).select(*KEY, "gate_ok", F.array_join("gate_reasons", ",").alias("gate_reasons"))
@@ -395,11 +396,8 @@ def latency(spark, sf_dir):
     return d.select("count", rounded(F.col("mean"), 4).alias("mean"), rounded(F.col("p95"), 4).alias("p95"))
 
 
-@query(None)
+@query(f"select v.*, s.host as suspect, s.suspect_ip, s.score as suspect_score from ({SQL['fsm_dos']}) v left join ({SQL['suspect_pair']}) s using (capture)")
 def flagship(spark, sf_dir):
     """Windows, gate, verdict and first suspect of each capture."""
-    s = dos_snapshots(spark, sf_dir)
-    v = dc.verdict(dc.dos_gate(s, dc.baselines(s)), dc.DosConfig())
-    r = at.actor_rank(_hosts(spark, sf_dir), s.select(*KEY, "prob"), 0.5, least_packets=2, window_seconds=3600.0)
-    top = at.suspect_pair(r, packets(spark, sf_dir).groupBy("capture", F.col("src_mac").alias("ip"), F.col("src_ip").alias("mac")).agg(F.count("*").alias("cnt")))
-    return v.join(top.select("capture", F.col("host").alias("suspect"), F.col("suspect_mac").alias("suspect_ip"), rounded(F.col("score")).alias("suspect_score")), "capture", "left")
+    suspects = suspect_pair(spark, sf_dir).select("capture", F.col("host").alias("suspect"), "suspect_ip", F.col("score").alias("suspect_score"))
+    return fsm_dos(spark, sf_dir).join(suspects, "capture", "left")

@@ -10,7 +10,7 @@ from tidewatch.operators import augment as au
 from tidewatch.operators import features as ft
 from tidewatch.operators import joins as jn
 from tidewatch.plans.decided import SCORED, scores
-from tidewatch.plans.registry import PACKETS, WIDTH, query
+from tidewatch.plans.registry import PACKETS, WIDTH, WINDOWED, query
 from tidewatch.plans.windowed import windowed
 from tidewatch.sources import reports as rp
 from tidewatch.sources.tables import packets, table
@@ -23,11 +23,13 @@ def time_warp(spark, sf_dir):
     return au.time_warped(packets(spark, sf_dir), 1.25).select("packet_no", "us")
 
 
-@query(f"with {PACKETS}, n as (select count(distinct src_ip) as a, count(distinct src_mac) as b, count(*) as c from p) select a as ips, b as macs, c as packets from n")
+@query(f"with {PACKETS}, l as (select 'ip' as kind, src_ip as v, packet_no from p union all select 'ip', dst_ip, packet_no from p union all select 'mac', src_mac, packet_no from p), g as (select kind, min(packet_no) as first_packet, count(*) as packets from l group by kind, v) select kind, first_packet, packets, count(*) as names from g group by all")
 def header_remap(spark, sf_dir):
-    """Renaming keeps values apart: as many addresses and macs as before."""
-    r = au.remapped(packets(spark, sf_dir).withColumn("g", F.lit(1)), ["g"])
-    return r.agg(F.count_distinct("src_ip").alias("ips"), F.count_distinct("src_mac").alias("macs"), F.count("*").alias("packets"))
+    """Renaming is one to one: each new name has the packets that one old name had."""
+    r = au.remapped(packets(spark, sf_dir).select("packet_no", "src_ip", "dst_ip", "src_mac").withColumn("g", F.lit(1)), ["g"])
+    long = r.select("packet_no", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("v")) for k, c in (("ip", "src_ip"), ("ip", "dst_ip"), ("mac", "src_mac"))])))
+    per = long.groupBy("kind", "v").agg(F.min("packet_no").alias("first_packet"), F.count("*").alias("packets"))
+    return per.groupBy("kind", "first_packet", "packets").agg(F.count("*").alias("names"))
 
 
 @query(f"with {PACKETS} select src_mac, arg_max(src_port, us) as in_port from p group by src_mac")
@@ -61,11 +63,13 @@ def window_report(spark, sf_dir):
     return rp.window_lines(scores(spark, sf_dir).select(*KEY, "prob", "start"), ["prob"], ["start"])
 
 
-@query(f"with {PACKETS}, a as (select capture, min(us) as u0, max(us) as u1, count(*) as n from p group by capture) select capture, n as packets, round((u1 - u0) / 1000000, 6) as duration from a")
+_MANIFEST_COLUMNS = ["pkts_per_s", "bytes_per_s"]
+
+
+@query(f"{WINDOWED}, n as (select capture, min(us) as u0, max(us) as u1, count(*) as packets from p group by capture), d as (select capture, count(distinct window_index) as windows from w group by capture) select capture, windows, packets, round((u1 - u0) / 1000000, 6) as duration, '{','.join(_MANIFEST_COLUMNS)}' as columns from n join d using (capture)")
 def capture_manifest(spark, sf_dir):
-    rows = packets(spark, sf_dir)
-    m = rp.manifest(windowed(spark, sf_dir).select(*KEY).distinct(), rows, ["pkts_per_s"])
-    return m.select("capture", "packets", F.round("duration", 6).alias("duration"))
+    m = rp.manifest(windowed(spark, sf_dir).select(*KEY).distinct(), packets(spark, sf_dir), _MANIFEST_COLUMNS)
+    return m.select("capture", "windows", "packets", F.round("duration", 6).alias("duration"), "columns")
 
 
 @query(f"with {PACKETS}, w as (select *, (us // {WIDTH}) as window_index from p) select capture, window_index::bigint as window_index, src_mac as host, count(*) as cnt from w group by all")

@@ -87,6 +87,25 @@ def win_rolling(spark, sf_dir):
     return rows.select(*KEY, F.concat(F.lit("["), F.array_join(F.transform("history", lambda x: x.cast("string")), ", "), F.lit("]")).alias("history"))
 
 
+def _history_sql(keys: str) -> str:
+    past = f"over (partition by {keys} order by window_index rows between 5 preceding and 1 preceding)"
+    return f"""select {keys}, window_index, cnt, (lag(cnt) over (partition by {keys} order by window_index))::double as previous, (count(cnt) {past})::int as history_n, round(avg(cnt) {past}, 6) as history_mean, round(stddev_pop(cnt) {past}, 6) as history_std from c"""
+
+
+@query(f"{WINDOWED}, c as (select {K}, src_mac as host, count(*) as cnt from w group by all) {_history_sql('capture, host')}")
+def host_history(spark, sf_dir):
+    """What each host sent in the windows before: the last one that has it, and the last five. Buckets of 16 windows, so that most histories cross one."""
+    rows = win.before(ft.host_counts(windowed(spark, sf_dir), "src_mac"), ["capture", "host"], "window_index", "cnt", 5, 16)
+    return rows.withColumns({c: rounded(F.col(c)) for c in ("history_mean", "history_std")})
+
+
+@query(f"{COUNTS_SQL.replace('c as (select', 'cc as (select').replace('from c)', 'from cc)')}, c as (select {K}, pkts as cnt from cc) {_history_sql('capture')}")
+def rate_history(spark, sf_dir):
+    """A capture's rates before each window."""
+    rows = win.before(counted(spark, sf_dir).withColumnRenamed("pkts", "cnt"), ["capture"], "window_index", "cnt", 5, 7)
+    return rows.withColumns({c: rounded(F.col(c)) for c in ("history_mean", "history_std")})
+
+
 @query(f"with {PACKETS} select capture, count(*) as packets, arg_min(us, packet_no) as first_us, arg_max(us, packet_no) as last_us, arg_max(us, packet_no) - arg_min(us, packet_no) as duration_us from p group by capture")
 def capture_bounds(spark, sf_dir):
     return win.bounds(packets(spark, sf_dir))
