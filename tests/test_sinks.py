@@ -94,3 +94,35 @@ def test_label_files(spark, tmp_path):
     (tmp_path / "i.csv").write_text("pcap,start,end,family\na.pcap,1970-01-01T00:00:05Z,10.5,syn\na.pcap,1,2,\n")
     got = [tuple(r) for r in tables.read_intervals(spark, f"{tmp_path}/i.csv").orderBy("interval_no").collect()]
     assert [r[:4] for r in got] == [("a.pcap", 5.0, 10.5, "syn"), ("a.pcap", 1.0, 2.0, "attack")]
+
+
+def test_captures_written_and_read(spark, tmp_path):
+    """Frames of all protocols come back; a failed job leaves no capture that a pattern would find."""
+    from tidewatch.sources import capture_files, pcap
+
+    rows = [(5, "02:00:00:00:00:0a", "10.1.2.3", "10.9.8.7", 1, 0, 0, 1234, 80, 1, 1, 64), (3, "nomac", "10.1.2.3", None, 0, 1, 0, 5, 1900, None, None, 3), (9, None, "x", "8.8.8.8", 0, 0, 1, 7, 7, None, None, None), (None, None, "10.0.0.1", None, 0, 1, 0, 1, 1, None, None, 1)]
+    df = spark.createDataFrame(rows, "us long, src_mac string, src_ip string, dst_ip string, is_tcp int, is_udp int, is_icmp int, src_port int, dst_port int, tcp_syn int, tcp_synack int, ttl int").coalesce(1)
+    capture_files.write(capture_files.framed(df), f"{tmp_path}/c")
+    got = [(r.us, r.src_mac, r.src_ip, r.dst_ip, r.is_tcp, r.is_udp, r.is_icmp, r.src_port, r.dst_port, r.tcp_flags, r.ttl) for r in pcap.read(spark, f"{tmp_path}/c/*.pcap").orderBy("packet_no").collect()]
+    zero = "00:00:00:00:00:00"
+    assert got == [(3, zero, "10.1.2.3", "0.0.0.0", 0, 1, 0, 5, 1900, None, 3), (5, "02:00:00:00:00:0a", "10.1.2.3", "10.9.8.7", 1, 0, 0, 1234, 80, 18, 64), (9, zero, "0.0.0.0", "8.8.8.8", 0, 0, 1, None, None, None, 0)]
+
+    @F.udf("long")
+    def breaks(i):
+        if i == 9:
+            raise RuntimeError("lost")
+        return i
+
+    with pytest.raises(Exception, match="lost"):
+        capture_files.write(capture_files.framed(df.where("us is not null")).withColumn("us", breaks("us")).repartition(3), f"{tmp_path}/d")
+    assert not [f for f in (os.listdir(f"{tmp_path}/d") if os.path.isdir(f"{tmp_path}/d") else []) if f.endswith(".pcap") and not f.startswith(".")]
+
+
+def test_replay_and_actions(spark):
+    from tidewatch.streaming import windows as sw
+
+    packets = spark.createDataFrame([("a", 1_000_000), ("a", 3_500_000), ("b", 7)], "capture string, us long")
+    assert sorted((r.capture, r.us, r.due) for r in sw.replayed(packets, 2.0).collect()) == [("a", 1_000_000, 0.0), ("a", 3_500_000, 1.25), ("b", 7, 0.0)]
+    hits = spark.createDataFrame([("h", 10), ("h", 40), ("g", 5)], "host string, s long").select("host", F.timestamp_seconds("s").alias("at"))
+    got = {r.host: (r["mode"], int(r.expires.timestamp())) for r in sw.actions(hits, "drop", 15).collect()}
+    assert {h: (m, t % 1000) for h, (m, t) in got.items()} == {"h": ("drop", 55), "g": ("drop", 20)}
