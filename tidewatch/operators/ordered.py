@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.sources.shared import written
+
 #: Parts into which the order is cut, and the accuracy of the cuts.
 PARTS, ACCURACY = 256, 10_000
 
@@ -58,12 +60,13 @@ def _merged(f, a: Column, b: Column) -> Column:
 def quantiles(df: DataFrame, columns: list[str], qs: list[float], keys: list[str] = ()) -> DataFrame:
     """(keys, name, q, value): exact quantiles of several columns, linear between order statistics; nulls are left out.
 
-    Values are counted first, so what is put in order are distinct values.
+    Values are counted first, and the counts kept as a table, so what is put in order (and read three times for it) are distinct values.
     """
     keys = list(keys)
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("__v"))
     group = [*keys, "name"]
     counts = long.select(*keys, "__v.name", "__v.value").where("value is not null").groupBy(*group, "value").agg(F.count("*").alias("n"))
+    counts = written(counts, "counts")
     upto = running(counts, group, "value", {"upto": (F.sum, "n")})
     total = counts.groupBy(*group).agg((F.sum("n") - 1).alias("last"))
     rows = upto.alias("here").join(total.alias("there"), _same(group)).select(*[F.col(f"here.`{k}`") for k in group], "value", "n", "upto", "last")
