@@ -80,6 +80,16 @@ def test_tokens():
         assert only(bad) == []
 
 
+def test_secrets_within_digits():
+    pem = b"-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(PKCS8) + b"\n-----END PRIVATE KEY-----\n"
+    signed = token({"alg": "HS512"}, 64).encode()
+    for raw, kind in ((pem, "key"), (signed, "token")):
+        digits = base64.b64encode(raw).decode()
+        assert only(f"data: {digits}\n") == [(kind, digits)] and only(f"data: {raw.hex()}\n") == [(kind, raw.hex())]
+    for raw in (pem.replace(b"PRIVATE", b"PUBLIC"), signed[:-3], b"-----BEGIN " * 20, b"eyJ." * 40, b"openssh-key-v1" * 9):
+        assert only(base64.b64encode(raw).decode()) == [] == only(raw.hex())
+
+
 def plain(text: str) -> list[tuple[int, int, str]]:
     """The base patterns, letter by letter."""
     found = []

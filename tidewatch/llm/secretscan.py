@@ -8,6 +8,8 @@ Base spans come from three patterns alone. Beyond them, everything that might be
   fields are those of a PKCS #1, PKCS #8, encrypted PKCS #8, SEC 1 or DSA key, or the length-prefixed fields of an OpenSSH key;
 * ``pem``: an armoured private key whose body, freed of headers, white space and escaped line ends, is such a key.
 
+Digits may also hold an armoured key (``key``) or a signed token (``token``), as configuration files keep them.
+
 Public keys, certificates, random base64 and digests don't parse as any of these, and aren't reported.
 
 Every candidate is found in one scan over maximal runs, each decoded once: the work is linear in the text, which is never cut.
@@ -184,10 +186,9 @@ def signed_token(header: str, claims: str, signature: str) -> bool:
     return size in SIGNED.get(named["alg"], ()) or named["alg"] in RSA_SIGNED and size >= 128 and size % 8 == 0
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what decodes to a secret. An armoured key isn't reported again for its body."""
-    found: list[tuple[int, int, str]] = []
-    done = 0
+def armoured_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the armoured private keys, from the left and apart."""
+    found, done = [], 0
     for m in _PEM.finditer(text):
         if m.start() < done:
             continue
@@ -195,31 +196,49 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         if key_in(unwrapped(re.sub(r"[\x20\t\r\n]|\\[nrt]", "", body.group()))):
             close = f"-----END {m[1]}-----"
             done = body.end() + len(close) * text.startswith(close, body.end())
-            found.append((m.start(), done, "pem"))
-    starts, ends = [s[0] for s in found], [s[1] for s in found]
-    if "." in text:
-        for m in _DOTTED.finditer(text):
-            parts, at, i = m.group().split("."), m.start(), 0
-            while i + 2 < len(parts):
-                # an object's first character gives its first digit
-                if parts[i][:1] == "e" and signed_token(*parts[i : i + 3]):
-                    size = sum(map(len, parts[i : i + 3])) + 2
-                    found.append((at, at + size, "token"))
-                    at, i = at + size + 1, i + 3
-                else:
-                    at, i = at + len(parts[i]) + 1, i + 1
-    spans: set[tuple[int, int]] = set()
+            found.append((m.start(), done))
+    return found
+
+
+def secret_in(raw: bytes) -> str | None:
+    """Which kind of secret decoded digits are: a key's bytes, an armoured key's text, or a signed token's."""
+    if raw[:1] == b"\x30" or raw[:1] == b"o":
+        return "key" if key_in(raw) else None
+    if raw.startswith(b"-----BEGIN "):
+        return "key" if armoured_spans(raw.decode("latin-1")) else None
+    if raw[:1] == b"e":
+        parts = raw.decode("latin-1").strip().split(".")
+        return "token" if len(parts) == 3 and signed_token(*parts) else None
+    return None
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what decodes to a secret. An armoured key isn't reported again for its body."""
+    armour = armoured_spans(text)
+    found = [(a, b, "pem") for a, b in armour]
+    starts, ends = [s[0] for s in armour], [s[1] for s in armour]
+    for m in _DOTTED.finditer(text):
+        parts, at, i = m.group().split("."), m.start(), 0
+        while i + 2 < len(parts):
+            # an object's first character gives its first digit
+            if parts[i][:1] == "e" and signed_token(*parts[i : i + 3]):
+                size = sum(map(len, parts[i : i + 3])) + 2
+                found.append((at, at + size, "token"))
+                at, i = at + size + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    spans: dict[tuple[int, int], str] = {}
     for m in _DIGITS.finditer(text):
-        # a sequence's tag, or the first letters of the other format
-        if m.group()[0] in "Mb" and key_in(unwrapped(m.group())):
-            spans.add(m.span())
+        # the first digit of a sequence's tag, of the other format, of an armour and of a token
+        if m.group()[0] in "MbLZ" and (kind := secret_in(unwrapped(m.group()))):
+            spans[m.span()] = kind
     for m in _HEX.finditer(text):
-        if len(m.group()) % 2 == 0 and m.group()[:2] in ("30", "6f", "6F") and key_in(bytes.fromhex(m.group())):
-            spans.add(m.span())
-    for a, b in spans:
+        if len(m.group()) % 2 == 0 and m.group()[:2].lower() in ("30", "6f", "2d", "65") and (kind := secret_in(bytes.fromhex(m.group()))):
+            spans[m.span()] = kind
+    for (a, b), kind in spans.items():
         i = bisect_right(starts, a) - 1
         if i < 0 or b > ends[i]:
-            found.append((a, b, "key"))
+            found.append((a, b, kind))
     return found
 
 
