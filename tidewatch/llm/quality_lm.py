@@ -262,10 +262,13 @@ def scored(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
 
 
 def thresholds(known: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, limit) from ``known`` (lang, score), the log-perplexities of all trusted documents; the row with a null lang holds for other languages."""
-    rows = known.where("score is not null")
+    """(lang, limit) from ``known`` (lang, score), the log-perplexities of all trusted documents; the row with a null lang holds for other languages.
+
+    Quantiles are exact over scores in steps of 1/10,000, counted first, so they are the same however rows are dealt, and no more values are held than there are steps.
+    """
+    rows = known.where("score is not null").groupBy("lang", F.round("score", 4).alias("score")).agg(F.count("*").alias("n"))
     # one aggregation: a row a language and a row over all
-    found = rows.rollup("lang").agg(F.percentile_approx("score", quantile, 1000).alias("limit"), F.grouping("lang").alias("all"))
+    found = rows.rollup("lang").agg(F.percentile("score", quantile, F.col("n")).alias("limit"), F.grouping("lang").alias("all"))
     return found.where("all = 1 or lang is not null").select("lang", (F.col("limit") + margin).alias("limit"))
 
 
