@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def rounded(c: Column, places: int = 6) -> Column:
     return F.when(y < 2.0**52, F.signum(c) * up / 10.0**places + 0.0).otherwise(c)
 
 
+def wrapped_sum(c: Column) -> Column:
+    """The exact sum of whole numbers, brought into 64 bits by whole turns of 2^64 where it doesn't fit them: a check value that no number of rows breaks."""
+    turn, half = F.lit(Decimal(1 << 64)), F.lit(Decimal(1 << 63))
+    return (F.pmod(F.sum(c.cast("decimal(19,0)")) + half, turn) - half).cast("long")
+
+
 def single(c: Column) -> Column:
     """Rounded to a 32-bit float and widened again."""
     return c.cast("float").cast("double")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.stats import rounded
+from tidewatch.functions import net
+from tidewatch.functions.stats import rounded, wrapped_sum
 from tidewatch.operators import attribute as at
 from tidewatch.operators import decide as dc
 from tidewatch.operators import evaluate as ev
@@ -26,14 +27,18 @@ KEY, K = ft.KEY, ", ".join(ft.KEY)
 @query(f"""with {PACKETS}, i as (select *, string_split(src_ip, '.') as s, string_split(dst_ip, '.') as d from p) select strftime(make_timestamp(us), '%Y-%m-%d') as day, count(*) as packets, sum(us)::bigint as times, sum(len)::bigint as bytes, sum(is_tcp)::bigint as tcp, sum(is_udp)::bigint as udp, sum(is_icmp)::bigint as icmp, sum(tcp_syn)::bigint as syn, sum(tcp_fin)::bigint as fin,
     sum(case when is_icmp = 0 then src_port end)::bigint as src_ports, sum(ttl)::bigint as ttls, count(distinct src_ip) as sources, min(dst_ip) as first_target from i group by 1""")
 def capture_roundtrip(spark, sf_dir):
-    """Events written as captures, one a task, and read again in ranges of 32 KB: every packet comes back once, with its time, lengths, addresses, ports and flags."""
+    """Events written as captures, one a task, and read again in ranges of 32 KB: every packet comes back once, with its time, lengths, addresses, ports and flags.
+
+    ``times`` is a check on all packets' times: their exact sum in 64 bits, wrapped where it doesn't fit (a day of more than about 5,400 packets, at which SQL's cast
+    has no value). Users are numbered past an address's octets, so what a frame holds is the address carried into 32 bits.
+    """
     folder = scratch(spark, "captures")
-    rows = packets(spark, sf_dir).repartition(3, "packet_no")
+    rows = packets(spark, sf_dir).withColumn("src_ip", net.carried(F.col("src_ip"))).repartition(3, "packet_no")
     capture_files.write(capture_files.framed(rows), folder, 100 + F.col("len"))
     got = pcap.dos_packets(pcap.read(spark, f"{folder}/*.pcap", range_bytes=1 << 15))
     total = lambda c, name: F.sum(c).cast("long").alias(name)
     return got.groupBy(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("day")).agg(
-        F.count("*").alias("packets"), total("us", "times"), total(F.col("frame_len") - 100, "bytes"), *[total(f"is_{p}", p) for p in ("tcp", "udp", "icmp")], total("tcp_syn", "syn"), total("tcp_fin", "fin"),
+        F.count("*").alias("packets"), wrapped_sum(F.col("us")).alias("times"), total(F.col("frame_len") - 100, "bytes"), *[total(f"is_{p}", p) for p in ("tcp", "udp", "icmp")], total("tcp_syn", "syn"), total("tcp_fin", "fin"),
         total("src_port", "src_ports"), total("ttl", "ttls"), F.count_distinct("src_ip").alias("sources"), F.min("dst_ip").alias("first_target"),
     )
 

@@ -27,7 +27,7 @@ SCHEMA = (
     "is_tcp int, is_udp int, is_icmp int, tcp_flags int, payload binary, is_arp int, arp_opcode int, arp_sender_mac string, arp_sender_ip string, arp_target_mac string, arp_target_ip string"
 )
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-BATCH, SHOWN, RANGE = 5000, 2048, 64 << 20
+BATCH, SHOWN, RANGE, TASK = 5000, 2048, 64 << 20, 4 << 20
 
 
 def _mac(b: bytes) -> str:
@@ -115,8 +115,11 @@ _WALKED = pa.schema(
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """A task for each row (ten thousand at most): the rows are few and small, and what they stand for is large."""
-    return rows.repartition(max(1, min(rows.count(), 10_000)))
+    """Ranges (rows with low and high) dealt out to tasks, each with one range or about ``TASK`` bytes of small ones (ten thousand tasks at most, and enough to use
+    all cores): the rows are few and small, and what they stand for is large. A task holds one range at a time."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0))).first()
+    wanted = max(-(-size // TASK), 3 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, min(n, wanted, 10_000)))
 
 
 def index(files: DataFrame, range_bytes: int, mode: str = "PERMISSIVE") -> DataFrame:
