@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_ranges import blocks, classic, udp
 from tidewatch.operators import augment as au
 from tidewatch.operators import windows as win
+from tidewatch.plans import streamed
 from tidewatch.sources import pcap
 from tidewatch.streaming import live
 from tidewatch.streaming import state as st
@@ -82,6 +83,44 @@ def test_meters_end_by_timer(spark, tmp_path):
     assert sorted(map(key, got)) == sorted(map(key, au.meters(batch, 5).collect()))
 
 
+def test_meters_share_state_by_buckets(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted(((f"h{rng.randrange(300)}", rng.randrange(100_000_000)) for _ in range(2000)), key=lambda r: r[1])
+    end = [(None, 10**9)]
+    stream = batches(spark, rows + end, "host string, us long", tmp_path / "in", 3).select("host", F.timestamp_micros("us").alias("ts"))
+    out, check = tmp_path / "out", tmp_path / "check"
+    q = st.meter_spans(stream, 5, buckets=7).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(check)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
+    # a row of state for each bucket, not for each of 300 hosts
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress} == {7}
+    key = lambda r: (r.host, r.span, r.from_us, r.until_us, r.hits)
+    want = au.meters(spark.createDataFrame(rows, "host string, us long"), 5).collect()
+    assert sorted(map(key, spark.read.parquet(str(out)).collect())) == sorted(map(key, want)) and len(want) > 600
+
+
+def test_meters_take_late_hits(spark, tmp_path):
+    # the third of x lies between its first two spans, the fourth joins the first; y waits for the watermark
+    at = [("x", 1000), ("x", 1020), ("x", 1010), ("x", 1004), ("y", 990), ("y", 1050), (None, 2000)]
+    rows = [(h, s * 1_000_000) for h, s in at]
+    stream = batches(spark, rows, "host string, us long", tmp_path / "in", 4).select("host", F.timestamp_micros("us").alias("ts"))
+    got = sw.drained(st.meter_spans(stream, 5, "60 seconds"), "meters").collect()
+    key = lambda r: (r.host, r.span, r.from_us, r.until_us, r.hits)
+    want = au.meters(spark.createDataFrame(rows[:-1], "host string, us long"), 5).collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) == 5
+
+
+def test_parts_of_several_files_keep_their_triggers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streamed, "FILE_ROWS", 50)
+    rows = spark.range(323).select("id", F.expr("case when id < 200 then 1 when id < 320 then 2 else 3 end").alias("part"))
+    stream = streamed._in_parts(rows, "part", "parts", 3).select("id", F.input_file_name().alias("file"))
+    q = stream.writeStream.format("memory").queryName("parts").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None and [p["numInputRows"] for p in q.recentProgress] == [200, 120, 3]
+    # two files for each of the first parts, where one task wrote each of them before
+    assert spark.table("parts").groupBy("file").count().count() >= 5 and spark.table("parts").count() == 323
+
+
 def test_alarms_by_runs(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), i, rng.random() < 0.7) for i in range(300)]
@@ -102,3 +141,24 @@ def test_alarms_by_runs(spark, tmp_path):
     stream = batches(spark, rows, "u string, order long, flag boolean", tmp_path / "in", 3)
     got = sw.drained(st.alarms(stream, "u", 3, 4), "alarms").collect()
     assert sorted((r.key, r.order, r.alarm_no) for r in got) == sorted(want)
+
+
+def test_alarms_share_state_by_buckets(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *map(str, range(60))]), i, rng.random() < 0.8) for i in range(1500)]
+    want = []
+    for k in {r[0] for r in rows}:
+        run_, cool, n = 0, 0, 0
+        for _, i, flag in (r for r in rows if r[0] == k):
+            if cool:
+                cool, run_ = cool - 1, 0
+                continue
+            run_ = run_ + 1 if flag else 0
+            if run_ == 2:
+                n, run_, cool = n + 1, 0, 3
+                want.append((k or "none", i, n))
+    stream = batches(spark, rows, "u string, order long, flag boolean", tmp_path / "in", 3)
+    q = st.alarms(stream, "u", 2, 3, 5).writeStream.format("memory").queryName("alarms").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None and {p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress} == {5}
+    assert sorted((r.key or "none", r.order, r.alarm_no) for r in spark.table("alarms").collect()) == sorted(want)

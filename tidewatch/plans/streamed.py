@@ -30,6 +30,11 @@ def stream_windows(spark, sf_dir):
     return rows.select("event_type", "start_us", "n", F.round("value", 4).alias("value"))
 
 
+def _buckets(keys: int) -> int:
+    """Buckets that about 256 keys share."""
+    return keys // 256 + 1
+
+
 @query("""with l as (select user_id, list(struct_pack(flag := event_type in ('error', 'view'), ord := event_id, run := 0, cool := 0, hits := []::bigint[]) order by event_id) as l from events group by user_id),
     f as (select user_id, list_reduce([{'flag': false, 'ord': -1::bigint, 'run': 0, 'cool': 0, 'hits': []::bigint[]}] || l, lambda a, x: {'flag': x.flag, 'ord': x.ord, 'run': case when a.cool = 0 and x.flag and a.run + 1 < 2 then a.run + 1 else 0 end,
       'cool': case when a.cool > 0 then a.cool - 1 when x.flag and a.run + 1 >= 2 then 3 else 0 end, 'hits': case when a.cool = 0 and x.flag and a.run + 1 >= 2 then list_append(a.hits, x.ord) else a.hits end}) as s from l)
@@ -37,16 +42,26 @@ def stream_windows(spark, sf_dir):
 def stream_alarms(spark, sf_dir):
     """Alarms by user: two flagged events in a row, then three are passed over."""
     e = _events(spark, sf_dir).select(F.col("user_id"), F.col("event_id").alias("order"), F.col("event_type").isin("error", "view").alias("flag"))
-    return sw.drained(st.alarms(e, "user_id", 2, 3), "alarms")
+    return sw.drained(st.alarms(e, "user_id", 2, 3, _buckets(table(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0])), "alarms")
+
+
+#: Rows of a file of a stream that is dealt out in parts.
+FILE_ROWS = 250_000
 
 
 def _in_parts(rows: DataFrame, part: str, label: str, last: int) -> DataFrame:
-    """Rows as a stream of files that come part after part, a trigger each."""
+    """Rows as a stream of files that come part after part, a trigger each.
+
+    A trigger takes as many files as each part but the last has. None of them is empty: rows are dealt in turn, and one of the tasks that
+    deal has as many as there are files, for there are fewer than ``FILE_ROWS`` tasks.
+    """
     spark, path = rows.sparkSession, scratch(rows.sparkSession, label, "stream")
     rows = written(rows, label)
+    sizes = dict(rows.groupBy(part).count().collect())
+    files = max(1, min(sizes.get(i, 0) for i in range(1, last)) // FILE_ROWS)
     for i in range(1, last + 1):
-        rows.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.col(part) == i).drop(part).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(SQL["win_late_drop"].replace("min(packet_no) as least_packet", "sum(packet_no)::bigint as packet_nos, min(u0 + window_index * %d) as w_start" % HOP))
@@ -64,8 +79,8 @@ def stream_late_drop(spark, sf_dir):
 def stream_meters(spark, sf_dir):
     """Meters that a timer ends, of two triggers by time and a marker that moves the watermark behind all of them."""
     rows = packets(spark, sf_dir).where("is_icmp = 1").select(F.col("src_mac").alias("host"), "us")
-    middle = rows.agg(F.avg("us").alias("middle"), (F.max("us") + 10 * 7_200_000_000).alias("far"))
-    parts = rows.join(F.broadcast(middle.select("middle")), F.lit(True)).select("host", "us", F.when(F.col("us") < F.col("middle"), 1).otherwise(2).alias("part"))
-    ends = middle.select(F.lit(None).cast("string").alias("host"), F.col("far").alias("us"), F.lit(3).alias("part"))
+    middle, far, hosts = rows.agg(F.avg("us"), F.max("us") + 10 * 7_200_000_000, F.approx_count_distinct("host")).first()
+    parts = rows.withColumn("part", F.when(F.col("us") < F.lit(middle).cast("double"), 1).otherwise(2))
+    ends = spark.range(1).select(F.lit(None).cast("string").alias("host"), F.lit(far).cast("long").alias("us"), F.lit(3).alias("part"))
     stream = _in_parts(parts.unionByName(ends), "part", "meters", 3).select("host", F.timestamp_micros("us").alias("ts"))
-    return sw.drained(st.meter_spans(stream, 7200), "meters")
+    return sw.drained(st.meter_spans(stream, 7200, buckets=_buckets(hosts)), "meters")
